@@ -92,3 +92,136 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.posexplode(F.array(*[F.lit(h) for h in EVENT_HEADER])).alias("_pos", "text"),
     ).select("case_id", "file", (F.col("_pos") + 1).cast("bigint").alias("line_no"), "text")
     return rows.unionByName(headers)
+
+
+def doc_slices(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
+    from sweeplog.operators.slices import build_slices
+
+    return build_slices(doc_lines(spark, sf_dir).drop("doc_id"), budget=budget)
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert per source: an address and a domain that its documents mention, and two words of its first document."""
+    documents = table(spark, sf_dir, "documents").filter("text <> ''")
+    per_case = documents.groupBy(F.col("source").alias("case_id")).agg(
+        F.min("doc_id").alias("doc_id"),
+        F.min_by("text", "doc_id").alias("_first"),
+        F.max(F.regexp_extract("text", L.IPV4, 0)).alias("_ip"),
+        F.max(F.regexp_extract("text", L.DOMAIN, 0)).alias("_domain"),
+    )
+    words = F.regexp_extract_all("_first", F.lit("[a-z]{4,7}"), F.lit(0))
+    entity = lambda kind, value: F.struct(
+        F.lit(kind).alias("kind"), value.alias("value"), F.lit("").alias("note")
+    )
+    return per_case.select(
+        "case_id",
+        F.concat(F.lit("ALERT-"), "case_id").alias("alert_id"),
+        F.lit("corpus-monitor").alias("detector"),
+        F.lit("Unusual vocabulary").alias("rule_name"),
+        F.lit("open").alias("status"),
+        F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("doc_id") % 3 + 1).cast("int")).alias("severity"),
+        F.lit("2024-01-01T00:00:00Z").alias("first_seen"),
+        F.lit("2024-01-30T00:00:00Z").alias("last_seen"),
+        F.concat(F.lit("Seen: "), "_ip", F.lit(" and "), "_domain", F.lit(" in "), "case_id").alias("summary"),
+        F.array(entity("word", F.coalesce(F.get(words, F.lit(0)), F.lit(""))),
+                entity("word", F.coalesce(F.get(words, F.lit(2)), F.lit("")))).alias("entities"),
+        F.create_map(F.lit("version"), F.lit("1"), F.lit("first_document"), F.col("doc_id").cast("string")).alias("raw_detector_fields"),
+    )
+
+
+def event_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directive of the event case: two event types and a value that occurs in the log."""
+    events = table(spark, sf_dir, "events").agg(F.max("props").alias("props"))
+    return events.select(
+        F.lit("events").alias("case_id"),
+        F.lit("errors and purchases").alias("alert_restatement"),
+        F.array(F.lit(" error "), F.lit(" purchase "), F.col("props")).alias("indicators"),
+        F.lit("any line that names one of the indicators").alias("relevance_criteria"),
+        F.array(F.lit(" view "), F.lit("value=1")).alias("explicitly_irrelevant"),
+        F.lit("2024-01-05T00:00:00Z/2024-01-20T12:00:00Z").alias("time_window"),
+    )
+
+
+def report_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker answers for labelled documents, some of them wrong in every way the rules know.
+
+    quality says whether the slice is called relevant, toxic adds a ref that does not resolve.
+    """
+    labels = table(spark, sf_dir, "labels")
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.size(text_lines(F.col("text"))).cast("bigint").alias("n")
+    )
+    base = labels.join(documents, "doc_id").withColumn("file", F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")))
+    d, file = F.col("doc_id"), F.col("file")
+    ref = lambda n: F.concat(file, F.lit(":L"), n.cast("string"))
+    count = d % 7
+    plain = F.when(count > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(count, F.lit(1).cast("bigint"))), ref)).otherwise(
+        F.array().cast("array<string>")
+    )
+    bad = F.when((F.col("toxic") == 1) & (d % 2 == 0), F.array(ref(F.col("n") + 1))).when(
+        F.col("toxic") == 1, F.array(F.lit("bad ref L1"))
+    ).otherwise(F.array().cast("array<string>"))
+    zero = F.when(d % 16 == 3, F.array(F.concat(file, F.lit(":L01")))).otherwise(F.array().cast("array<string>"))
+    refs = F.concat(plain, bad, zero)
+
+    def finding(description, matches, refs, first, last, confidence):
+        return F.struct(
+            F.lit(description).alias("description"), matches.cast("bigint").alias("match_count"),
+            refs.alias("representative_refs"), first.alias("first_ref"), last.alias("last_ref"),
+            F.lit(confidence).alias("confidence"),
+        )
+
+    main = finding("main pattern", count + d % 4 - 1, refs, ref(F.lit(1)),
+                   F.when(d % 4 == 0, F.lit("")).otherwise(ref(F.col("n"))), "medium")
+    extra = finding("second pattern", F.lit(1), F.array(ref(F.lit(1))), ref(F.lit(1)), F.lit(""), "low")
+    findings = F.when(d % 10 == 9, F.filter(F.array(main), lambda f: F.lit(False))).when(
+        d % 3 == 0, F.array(main, extra)
+    ).otherwise(F.array(main))
+    # Irrelevant answers mostly come without findings, as they should.
+    kept = F.when((F.col("quality") == 0) & (d % 5 != 0), F.filter(F.array(main), lambda f: F.lit(False))).otherwise(findings)
+    checks = F.array(
+        F.struct(F.concat(F.lit("language "), "lang").alias("checked_for"), (d % 13 == 0).alias("found"),
+                 F.lit("by label").alias("result")),
+        F.struct(F.concat(F.lit("topic "), (d % 40).cast("string")).alias("checked_for"), F.lit(False).alias("found"),
+                 F.lit("not seen").alias("result")),
+    )
+    slice_id = F.concat(file, F.lit("-0001"))
+    report = F.struct(
+        F.struct(F.when(d % 11 == 0, F.lit("other-0001")).otherwise(slice_id).alias("slice_id"), file.alias("file"),
+                 F.col("n").alias("lines_examined")).alias("slice_metadata"),
+        (F.col("quality") == 1).alias("relevant"), kept.alias("findings"), checks.alias("checked_for"),
+    )
+    return base.select(
+        F.concat_ws("/", "source", F.lit("sweep"), slice_id).alias("task_id"),
+        F.col("source").alias("case_id"), slice_id.alias("slice_id"), "doc_id",
+        (d % 2 + 1).cast("bigint").alias("attempts"), report.alias("report"),
+    )
+
+
+def brief_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One written body per labelled document: timeline claims on its first lines and one hypothesis."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    base = table(spark, sf_dir, "labels").join(documents, "doc_id").withColumn(
+        "file", F.concat(F.lit("doc-"), "doc_id", F.lit(".txt"))
+    )
+    d = F.col("doc_id")
+    rows = text_lines(F.col("text"))
+    ref = lambda n: F.concat("file", F.lit(":L"), n.cast("string"))
+    nothing = F.array().cast("array<string>")
+    event = lambda i: F.struct(
+        F.coalesce(F.get(rows, i - 1), F.lit("no such line")).alias("description"),
+        F.when((d + i) % 3 == 0, nothing).otherwise(F.array(ref(i), ref(i + 2))).alias("raw_line_refs"),
+    )
+    evidence = lambda text, refs: F.struct(text.alias("description"), refs.alias("raw_line_refs"))
+    hypothesis = F.struct(
+        F.array(evidence(F.concat(F.lit("written in "), "lang"), F.array(ref(F.lit(1))))).alias("supporting_evidence"),
+        F.array(evidence(F.lit("no second source"), F.when(d % 2 == 0, nothing).otherwise(F.array(ref(F.lit(50)))))).alias(
+            "contradicting_evidence"
+        ),
+    )
+    return base.select(
+        F.col("source").alias("case_id"), F.col("file").alias("investigation_id"),
+        F.col("text").alias("investigation_narrative"),
+        F.transform(F.sequence(F.lit(1), (d % 4 + 1).cast("int")), event).alias("timeline"),
+        F.array(hypothesis).alias("hypotheses"),
+    )

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sweeplog.functions import injection as INJ
+from sweeplog.functions import lines as L
+from sweeplog.operators import brief as B
+from sweeplog.operators import citations as C
+from sweeplog.operators import drilldown as D
+from sweeplog.operators import indicators as I
+from sweeplog.operators import outcomes as O
+from sweeplog.operators import slices as S
+
 
 def case_preview(inventory: DataFrame) -> DataFrame:
     """What a sweep will cost, per case: files, lines, slices, average lines per slice."""
@@ -15,3 +24,71 @@ def case_preview(inventory: DataFrame) -> DataFrame:
     )
     average = F.floor(F.col("total_lines") / F.greatest(F.col("slices"), F.lit(1))).cast("bigint")
     return per_case.withColumn("lines_per_slice", F.greatest(F.lit(1).cast("bigint"), average))
+
+
+def slice_case_logs(lines: DataFrame, files: DataFrame | None = None, **sizing) -> dict[str, DataFrame]:
+    """Slices, inventory and both audits of a set of log lines."""
+    built = S.build_slices(lines, files, **sizing)
+    budget = sizing.get("budget", L.DEFAULT_SLICE_TOKEN_BUDGET)
+    return {
+        "slices": built,
+        "inventory": S.file_inventory(lines, built),
+        "coverage_audit": S.coverage_audit(lines, built),
+        "budget_audit": S.budget_audit(lines, built, budget=budget),
+    }
+
+
+def sweep(lines: DataFrame, slices: DataFrame, directive: DataFrame, *, budget: int) -> DataFrame:
+    """Outcome of every task: each slice of every case is read against its directive by literal match.
+
+    Matching runs on the lines where they lie; only hits meet the slices.
+    """
+    hits = I.indicator_hits(lines, directive)
+    found = I.findings(hits, slices, budget=budget)
+    answered = I.reports(I.taskings(slices, directive), found)
+    return answered.select(
+        "task_id", "case_id", "iteration", "slice_id", "file", "window_index", "instruction", "commander_intent",
+        F.lit("report").alias("outcome"),
+        F.lit(1).cast("bigint").alias("attempts"),
+        F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("string").alias("detail"),
+        F.array().cast("array<string>").alias("validation_errors"),
+        "report",
+    )
+
+
+def validate_reports(answers: DataFrame, slices: DataFrame, tasks: DataFrame, *rules, compat: bool = False) -> DataFrame:
+    """Outcomes of given answers: each report is held against its slice, rejected ones become failures."""
+    return O.settle(tasks, C.with_problems(answers, slices, *rules), compat=compat)
+
+
+def collapse(outcomes: DataFrame) -> DataFrame:
+    """One bounded row per case: counts, coverage text and counted negatives."""
+    return O.coverage_text(outcomes)
+
+
+def drilldown(outcomes: DataFrame, slices: DataFrame, *, max_drilldowns: int = 2, max_tasks: int = D.MAX_TASKS) -> DataFrame:
+    """Tasks of the next closer reads."""
+    return D.taskings(D.choose(outcomes, max_drilldowns=max_drilldowns, max_tasks=max_tasks), slices)
+
+
+def scan_injection(lines: DataFrame) -> DataFrame:
+    """Text that addresses an AI system, with the ref of its line."""
+    return INJ.scan(lines.select("case_id", "file", "line_no", "text")).select(
+        "case_id", L.line_ref(F.col("file"), F.col("line_no")).alias("location"), "signal", "why", "excerpt"
+    )
+
+
+def assemble_brief(alerts: DataFrame, outcomes: DataFrame, bodies: DataFrame, inventory: DataFrame,
+                   lines: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the evidence brief: one row per case, plus ledger, claims without support and flagged text."""
+    signals = scan_injection(lines)
+    found = B.claims(bodies)
+    return {
+        "briefs": B.briefs(alerts, O.coverage(outcomes), signals),
+        "ledger": O.ledger(outcomes),
+        "uncited_claims": B.uncited_claims(found),
+        "unresolved_citations": C.unresolved_refs(B.claim_refs(found), inventory),
+        "quality": B.quality_counts(bodies, inventory),
+        "injection_signals": signals,
+    }
