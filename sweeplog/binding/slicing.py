@@ -103,7 +103,7 @@ def pack_windows_docs(spark, sf_dir):
 @register("pack_windows_events", f"""WITH RECURSIVE {S.EVENT_LINES}, {S.packed('event_lines', EVENT_BUDGET, True)}
 SELECT * FROM windows""")
 def pack_windows_events(spark, sf_dir):
-    return SL.windows_of(V.event_lines(spark, sf_dir), budget=EVENT_BUDGET)
+    return SL.pack_windows(V.event_lines(spark, sf_dir), SL.KEYS, budget=EVENT_BUDGET, charge_header=True)
 
 
 @register("slices", f"""WITH RECURSIVE {S.EVENT_LINES}, {S.packed('event_lines', EVENT_BUDGET, True)}, {FILE_TIMES}
@@ -124,7 +124,7 @@ SELECT case_id, file, t.line_count, time_range, w.slice_count
 FROM file_times t JOIN (SELECT case_id, file, count(*) AS slice_count FROM windows GROUP BY ALL) w USING (case_id, file)""")
 def file_inventory(spark, sf_dir):
     lines = V.event_lines(spark, sf_dir)
-    return SL.file_inventory(lines, SL.build_slices(lines, budget=EVENT_BUDGET))
+    return SL.file_inventory(lines, SL.slice_places(lines, budget=EVENT_BUDGET))
 
 
 @register("slice_contents", f"""WITH RECURSIVE {S.DOC_LINES}, {S.packed('doc_lines', DOC_BUDGET, False)}
@@ -133,7 +133,7 @@ SELECT case_id, file, printf('%s-%04d', file, window_index) AS slice_id, start_l
 FROM windows JOIN doc_lines USING (case_id, file) WHERE line_no BETWEEN start_line AND end_line GROUP BY ALL""")
 def slice_contents(spark, sf_dir):
     lines = V.doc_lines(spark, sf_dir).drop("doc_id")
-    contents = SL.slice_lines(lines, SL.build_slices(lines, budget=DOC_BUDGET), budget=DOC_BUDGET)
+    contents = SL.slice_lines(lines, SL.slice_places(lines, budget=DOC_BUDGET), budget=DOC_BUDGET)
     body = F.array_join(F.transform("lines", lambda r: F.concat(r["ref"], F.lit("\t"), r["text"])), "\n")
     return contents.select(
         "case_id", "file", "slice_id", "start_line", "end_line",
@@ -146,7 +146,7 @@ SELECT case_id, file, count(*) AS line_count, count(*) AS lines_in_slices, CAST(
 FROM doc_lines GROUP BY ALL""")
 def coverage_audit(spark, sf_dir):
     lines = V.doc_lines(spark, sf_dir).drop("doc_id")
-    return SL.coverage_audit(lines, SL.build_slices(lines, budget=DOC_BUDGET))
+    return SL.coverage_audit(lines, SL.slice_places(lines, budget=DOC_BUDGET))
 
 
 @register("budget_audit", f"""WITH RECURSIVE {S.DOC_LINES}, {S.packed('doc_lines', DOC_BUDGET, False)},
@@ -156,7 +156,7 @@ SELECT *, chars / 1.4::DOUBLE + line_count * 12::DOUBLE AS estimated_tokens,
        (line_count = 1 OR chars / 1.4::DOUBLE + line_count * 12::DOUBLE <= {DOC_BUDGET} + 1e-6) AS within_budget FROM s""")
 def budget_audit(spark, sf_dir):
     lines = V.doc_lines(spark, sf_dir).drop("doc_id")
-    return SL.budget_audit(lines, SL.build_slices(lines, budget=DOC_BUDGET), budget=DOC_BUDGET)
+    return SL.budget_audit(lines, SL.slice_places(lines, budget=DOC_BUDGET), budget=DOC_BUDGET)
 
 
 @register("case_preview", f"""WITH RECURSIVE {S.DOC_LINES}, {S.packed('doc_lines', DOC_BUDGET, False)},
@@ -166,4 +166,4 @@ SELECT case_id, files, total_lines, slices, greatest(1, total_lines // greatest(
 FROM n JOIN w USING (case_id)""")
 def case_preview(spark, sf_dir):
     lines = V.doc_lines(spark, sf_dir).drop("doc_id")
-    return jobs.case_preview(SL.file_inventory(lines, SL.build_slices(lines, budget=DOC_BUDGET)))
+    return jobs.case_preview(SL.file_inventory(lines, SL.slice_places(lines, budget=DOC_BUDGET)))

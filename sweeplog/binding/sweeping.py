@@ -81,7 +81,7 @@ def doc_outcomes(spark, sf_dir):
 def event_findings(spark, sf_dir):
     lines = V.event_lines(spark, sf_dir)
     hits = I.indicator_hits(lines, V.event_alert(spark, sf_dir))
-    return I.findings(hits, SL.build_slices(lines, budget=EVENT_BUDGET), budget=EVENT_BUDGET)
+    return I.findings(hits, SL.slice_places(lines, budget=EVENT_BUDGET), budget=EVENT_BUDGET)
 
 
 @register("text_indicators", f"""

@@ -95,9 +95,9 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_slices(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
-    from sweeplog.operators.slices import build_slices
+    from sweeplog.operators.slices import slice_places
 
-    return build_slices(doc_lines(spark, sf_dir).drop("doc_id"), budget=budget)
+    return slice_places(doc_lines(spark, sf_dir).drop("doc_id"), budget=budget)
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
 from sweeplog.functions import problems as P
+from sweeplog.operators.slices import chunk, per_chunk
 
 
 def _given(prefix: str = "") -> dict:
@@ -40,10 +41,17 @@ def fabricated_refs(reports: DataFrame, slices: DataFrame) -> DataFrame:
 
 def unresolved_refs(cited: DataFrame, inventory: DataFrame) -> DataFrame:
     """Distinct cited refs (case_id, ref) that no line of the case carries, from the line count of each file."""
-    refs = cited.select("case_id", "ref").distinct().withColumn("file", L.ref_file(F.col("ref")))
-    known = inventory.select("case_id", "file", "line_count")
-    exists = L.ref_line(F.col("ref")).between(F.lit(1), F.col("line_count"))
-    return refs.join(known, ["case_id", "file"], "left").filter(~F.coalesce(exists, F.lit(False))).select("case_id", "ref")
+    refs = cited.select("case_id", "ref").distinct().select(
+        "case_id", "ref", L.ref_file(F.col("ref")).alias("file"), L.ref_line(F.col("ref")).alias("_line")
+    )
+    known = per_chunk(inventory.select("case_id", "file", "line_count"))
+    exists = F.col("_line").between(F.lit(1), F.col("line_count"))
+    return (
+        refs.withColumn("_chunk", chunk(F.col("_line")))
+        .join(known, ["case_id", "file", "_chunk"], "left")
+        .filter(~F.coalesce(exists, F.lit(False)))
+        .select("case_id", "ref")
+    )
 
 
 def known_refs(lines: DataFrame) -> DataFrame:

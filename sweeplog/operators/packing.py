@@ -16,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
+from sweeplog.session import materialize
 
 BLOCK_LINES = 65_536
+# Blocks composed in one group, and how often: 256 ** 3 blocks of 65,536 lines bound the longest file.
 FAN_IN = 256
+LEVELS = 3
 ROUNDING = 1e-3
 
 
@@ -77,8 +80,8 @@ def _compose(rows: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _block_entries(tables: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """True opening offset of every block. `tables` has one row per block with its exits; `top` is the largest block."""
+def _block_entries(tables: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """True opening offset of every block. `tables` has one row per block with its exits; each level covers FAN_IN times more."""
     types = {f.name: f.dataType.simpleString() for f in tables.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
@@ -99,12 +102,11 @@ def _block_entries(tables: DataFrame, keys: list[str], top: int) -> DataFrame:
         return out
 
     walked = f"{key_ddl}, block bigint, entry bigint"
-    if top < FAN_IN:
+    if levels == 1:
         return tables.withColumn("entry", F.lit(0).cast("bigint")).groupBy(*keys).applyInPandas(walk, walked)
     grouped = tables.withColumn("parent", F.floor(F.col("block") / FAN_IN).cast("bigint"))
-    # The last block of a file has nothing after it, so its table is never followed; a parent that ends there is the last too.
     parents = grouped.groupBy(*keys, "parent").applyInPandas(compose, f"{key_ddl}, block bigint, exits array<bigint>")
-    parent_entries = _block_entries(parents, keys, top // FAN_IN).withColumnRenamed("block", "parent")
+    parent_entries = _block_entries(parents, keys, levels - 1).withColumnRenamed("block", "parent")
     return (
         grouped.join(parent_entries, [*keys, "parent"])
         .groupBy(*keys, "parent")
@@ -117,125 +119,145 @@ def _cut(keys: list[str], chars_per_token: float, entered: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            parts = []
-            for row in rows.itertuples(index=False):
-                lengths = np.asarray(row.lengths, dtype=np.float64)
-                entry = int(row.entry) if entered else 0
-                openings = np.asarray(
-                    _windows(lengths, int(row.own), entry, float(row.budget), chars_per_token), dtype=np.int64
-                )
-                if len(openings):
-                    start = openings + int(row.first_line)
-                    part = pd.DataFrame({"start_line": start})
-                    part["ordinal"] = np.arange(1, len(start) + 1, dtype=np.int64)
-                    part["end_line"] = np.append(start[1:] - 1, int(row.first_line) + int(row.own) - 1)
-                    part["n"] = len(start)
-                    part["own"] = int(row.own)
-                    part["block"] = row.block
-                    for k in keys:
-                        part[k] = getattr(row, k)
-                    parts.append(part)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            starts, ends, counts = [], [], []
+            for i, (lengths, own, first, budget) in enumerate(
+                zip(rows["lengths"], rows["own"], rows["first_line"], rows["budget"])
+            ):
+                entry = int(rows["entry"].iat[i]) if entered else 0
+                opened = np.asarray(_windows(np.asarray(lengths, dtype=np.float64), own, entry, budget, chars_per_token))
+                counts.append(len(opened))
+                if len(opened):
+                    opened = opened + first
+                    starts.append(opened)
+                    ends.append(np.append(opened[1:] - 1, first + own - 1))
+            if not starts:
+                continue
+            taken = np.repeat(np.arange(len(rows)), counts)
+            out = rows[[*keys, "block", "own"]].iloc[taken].reset_index(drop=True)
+            out["n"] = np.asarray(counts, dtype=np.int64)[taken]
+            out["start_line"] = np.concatenate(starts).astype(np.int64)
+            out["end_line"] = np.concatenate(ends).astype(np.int64)
+            out["ordinal"] = out.index.to_numpy() - np.concatenate(([0], np.cumsum(counts)[:-1]))[taken] + 1
+            yield out
 
     return run
 
 
+def _blocks(lines: DataFrame, keys: list[str], budget: float, chars_per_token: float, block_lines: int, halo: int,
+            charge_header: bool) -> DataFrame:
+    """One row per file and block: lengths of its lines plus the first lines of the next block, which close its last window.
+
+    Only lengths are shuffled. The header is gathered in the same shuffle; only block 0 of a file holds it.
+    """
+    index = F.floor((F.col("line_no") - 1) / F.lit(block_lines)).cast("bigint")
+    columns = [*keys, "line_no", F.length("text").alias("length"), index.alias("block")]
+    aggregates = [F.array_sort(F.collect_list(F.struct("line_no", "length"))).alias("_lines")]
+    if charge_header:
+        columns.append(((F.col("line_no") <= L.MAX_HEADER_LINES) & ~L.is_header_line(F.col("text"))).alias("plain"))
+        aggregates.append(F.min(F.when(F.col("plain"), F.col("line_no"))).alias("_plain"))
+    placed = lines.select(*columns)
+    offset = F.col("line_no") - 1 - F.col("block") * block_lines
+    owners = F.when((F.col("block") > 0) & (offset < halo), F.array(F.col("block"), F.col("block") - 1)).otherwise(F.array("block"))
+    grouped = placed.withColumn("block", F.explode(owners)).groupBy(*keys, "block").agg(*aggregates)
+    left = F.lit(float(budget))
+    if charge_header:
+        # A file shorter than the header limit and made of header lines only has no plain line.
+        stop = F.coalesce(F.col("_plain"), F.lit(L.MAX_HEADER_LINES + 1))
+        head = F.filter(F.slice("_lines", 1, L.MAX_HEADER_LINES), lambda r: r["line_no"] < stop)
+        chars = F.aggregate(head, F.lit(0), lambda n, r: n + r["length"])
+        left = packing_budget(chars, budget, chars_per_token).cast("double")
+    return grouped.select(
+        *keys,
+        "block",
+        F.transform("_lines", lambda r: r["length"]).alias("lengths"),
+        (F.col("block") * block_lines + 1).alias("first_line"),
+        F.least(F.size("_lines"), F.lit(block_lines)).cast("bigint").alias("own"),
+        ((F.col("block") > 0) | (F.size("_lines") > block_lines)).alias("spans"),
+        left.alias("budget"),
+    )
+
+
+def packing_budget(header_chars: Column, budget: float, chars_per_token: float) -> Column:
+    """What is left for lines after the header rides on every slice; never below 500."""
+    left = (F.lit(float(budget)) - header_chars / F.lit(float(chars_per_token))).cast("bigint")
+    return F.greatest(F.lit(L.MIN_PACKING_BUDGET).cast("bigint"), left)
+
+
 def pack_windows(
     lines: DataFrame,
     keys: list[str],
-    budgets: DataFrame | None = None,
     *,
-    budget: int = L.DEFAULT_SLICE_TOKEN_BUDGET,
+    budget: float = L.DEFAULT_SLICE_TOKEN_BUDGET,
     chars_per_token: float = L.DEFAULT_CHARS_PER_TOKEN,
     block_lines: int = BLOCK_LINES,
-    longest_file: int | None = None,
+    charge_header: bool = False,
 ) -> DataFrame:
     """Windows of every file: keys, window_index, start_line, end_line, window_count, line_count.
 
-    `lines` needs keys, line_no (1-based, dense) and text. `budgets` (keys, budget) replaces `budget` per file and must
-    not exceed it. Only the length of a line is shuffled, keyed by file and block.
+    `lines` needs keys, line_no (1-based, dense) and text. With `charge_header` the leading `#` lines of a file come
+    out of its budget first.
     """
-    halo = reach(budget)
+    halo = reach(max(budget, L.MIN_PACKING_BUDGET))
     block_lines = max(block_lines, 4 * halo)
-    narrow = lines.select(*keys, "line_no", F.length("text").alias("length"))
-    if longest_file is None:
-        longest_file = narrow.agg(F.max("line_no").alias("n")).first()["n"] or 0
-    many = longest_file > block_lines
+    # Written once in the shared folder: several steps read the lengths, none of them scans text again.
+    blocks = materialize(_blocks(lines, keys, budget, chars_per_token, block_lines, halo, charge_header), "line-lengths")
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    opened = f"{key_ddl}, block bigint, ordinal bigint, start_line bigint, end_line bigint, n bigint, own bigint"
 
-    index = F.floor((F.col("line_no") - 1) / F.lit(block_lines)).cast("bigint")
-    placed = narrow.withColumn("block", index)
-    if many:
-        # The first lines of a block also close the last window of the block before.
-        offset = F.col("line_no") - 1 - F.col("block") * block_lines
-        shared = (F.col("block") > 0) & (offset < halo)
-        owners = F.when(shared, F.array(F.col("block"), F.col("block") - 1)).otherwise(F.array("block"))
-        placed = placed.withColumn("block", F.explode(owners))
-    blocks = placed.groupBy(*keys, "block").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("line_no", "length"))), lambda r: r["length"]
-        ).alias("lengths")
+    whole = blocks.filter(~F.col("spans")).mapInPandas(_cut(keys, chars_per_token, False), opened).select(
+        *keys,
+        F.col("ordinal").alias("window_index"),
+        "start_line",
+        "end_line",
+        F.col("n").alias("window_count"),
+        F.col("own").alias("line_count"),
     )
-    blocks = blocks.withColumn("first_line", F.col("block") * block_lines + 1).withColumn(
-        "own", F.least(F.size("lengths"), F.lit(block_lines)).cast("bigint")
+    if blocks.filter("spans").isEmpty():
+        return whole
+    return whole.unionByName(
+        _pack_long_files(blocks.filter("spans"), keys, key_ddl, opened, chars_per_token, halo, charge_header)
     )
-    if budgets is None:
-        blocks = blocks.withColumn("budget", F.lit(float(budget)))
-    else:
-        per_file = budgets.select(*keys, F.col("budget").cast("double").alias("budget"))
-        blocks = blocks.join(per_file, keys, "left").withColumn(
-            "budget", F.coalesce(F.col("budget"), F.lit(float(budget)))
-        )
 
-    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    if many:
-        def reduce_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                out = rows[[*keys, "block"]].copy()
-                out["exits"] = [
-                    _exits(np.asarray(r.lengths, dtype=np.float64), int(r.own), float(r.budget), chars_per_token, halo)
-                    for r in rows.itertuples(index=False)
-                ]
-                yield out
-
-        tables = blocks.filter(F.size("lengths") > 0).mapInPandas(
-            reduce_blocks, f"{key_ddl}, block bigint, exits array<bigint>"
-        )
-        entries = _block_entries(tables, keys, (longest_file - 1) // block_lines)
-        blocks = blocks.join(entries, [*keys, "block"])
-    openings = blocks.mapInPandas(
-        _cut(keys, chars_per_token, many),
-        f"{key_ddl}, block bigint, ordinal bigint, start_line bigint, end_line bigint, n bigint, own bigint",
+
+def _pack_long_files(blocks: DataFrame, keys: list[str], key_ddl: str, opened: str, chars_per_token: float, halo: int,
+                     charge_header: bool) -> DataFrame:
+    """Windows of files longer than one block. Every join is by file and block, so no file gathers in one task."""
+    per_file = blocks.groupBy(*keys).agg(
+        F.max("block").alias("_last"),
+        F.max(F.col("first_line") + F.col("own") - 1).alias("line_count"),
+        F.max(F.when(F.col("block") == 0, F.col("budget"))).alias("_budget"),
     )
-    if not many:
-        return openings.select(
-            *keys,
-            F.col("ordinal").alias("window_index"),
-            "start_line",
-            "end_line",
-            F.col("n").alias("window_count"),
-            F.col("own").alias("line_count"),
-        )
-    return _number_windows(openings, lines, keys)
-
-
-def _number_windows(openings: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the windows of files that span blocks, and close each one before the next opens."""
-    sizes = lines.groupBy(*keys).agg(F.max("line_no").cast("bigint").alias("line_count"))
+    if charge_header:
+        budgets = per_file.select(*keys, "_budget", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("block"))
+        blocks = blocks.join(budgets, [*keys, "block"]).withColumn("budget", F.col("_budget")).drop("_budget")
+
+    def reduce_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = rows[[*keys, "block"]].copy()
+            out["exits"] = [
+                _exits(np.asarray(r.lengths, dtype=np.float64), int(r.own), float(r.budget), chars_per_token, halo)
+                for r in rows.itertuples(index=False)
+            ]
+            yield out
+
+    tables = blocks.mapInPandas(reduce_blocks, f"{key_ddl}, block bigint, exits array<bigint>")
+    entered = blocks.join(_block_entries(tables, keys, LEVELS), [*keys, "block"])
+    openings = entered.mapInPandas(_cut(keys, chars_per_token, True), opened)
+
     per_block = openings.groupBy(*keys, "block").agg(F.max("n").alias("n"), F.min("start_line").alias("first"))
     by_file = Window.partitionBy(*keys)
     earlier = by_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
+    offsets = per_block.join(per_file.select(*keys, "line_count"), keys).select(
         *keys,
         "block",
+        "line_count",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
         F.lead("first").over(by_file.orderBy("block")).alias("next_first"),
         F.sum("n").over(by_file).alias("window_count"),
     )
     last_here = F.col("ordinal") == F.col("n")
-    closed = openings.join(offsets, [*keys, "block"]).join(sizes, keys)
-    return closed.select(
+    return openings.join(offsets, [*keys, "block"]).select(
         *keys,
         (F.col("before") + F.col("ordinal")).alias("window_index"),
         "start_line",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
-from sweeplog.operators.packing import BLOCK_LINES, pack_windows, reach
+from sweeplog.operators.packing import BLOCK_LINES, pack_windows, packing_budget, reach
 
 KEYS = ["case_id", "file"]
 
@@ -32,12 +32,6 @@ def format_headers(lines: DataFrame) -> DataFrame:
     )
 
 
-def packing_budget(header_chars: Column, budget: int, chars_per_token: float) -> Column:
-    """What is left for lines after the header rides on every slice; never below 500."""
-    left = (F.lit(float(budget)) - header_chars / F.lit(float(chars_per_token))).cast("bigint")
-    return F.greatest(F.lit(L.MIN_PACKING_BUDGET).cast("bigint"), left)
-
-
 def file_times(lines: DataFrame) -> DataFrame:
     """Line count, raw time range (text minimum and maximum) and typed range per file."""
     stamped = lines.select(*KEYS, L.first_timestamp(F.col("text")).alias("raw"))
@@ -70,53 +64,62 @@ def line_sizes(lines: DataFrame, chars_per_token: float = L.DEFAULT_CHARS_PER_TO
     )
 
 
-def windows_of(
-    lines: DataFrame,
-    *,
-    budget: int = L.DEFAULT_SLICE_TOKEN_BUDGET,
-    chars_per_token: float = L.DEFAULT_CHARS_PER_TOKEN,
-    block_lines: int = BLOCK_LINES,
-    longest_file: int | None = None,
-) -> DataFrame:
-    """Windows packed under the budget left by each file's header."""
-    budgets = format_headers(lines).select(
-        *KEYS, packing_budget(F.col("header_chars"), budget, chars_per_token).alias("budget")
-    )
-    return pack_windows(
-        lines, KEYS, budgets, budget=max(budget, L.MIN_PACKING_BUDGET), chars_per_token=chars_per_token,
-        block_lines=block_lines, longest_file=longest_file,
-    )
+CHUNK_LINES = 4_000_000
+
+
+def chunk(line: Column) -> Column:
+    return F.floor((line - 1) / F.lit(CHUNK_LINES)).cast("bigint")
 
 
-def build_slices(
+def per_chunk(per_file: DataFrame) -> DataFrame:
+    """Repeat one-row-per-file data once per 4 million lines of the file (`line_count`), as column `_chunk`.
+
+    Rows that carry a line position then join on file and chunk, and a file with a third of all lines does not
+    gather in one task.
+    """
+    last = F.greatest(F.lit(0).cast("bigint"), chunk(F.col("line_count")))
+    return per_file.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+
+
+def slice_places(
     lines: DataFrame,
     files: DataFrame | None = None,
     *,
     budget: int = L.DEFAULT_SLICE_TOKEN_BUDGET,
     chars_per_token: float = L.DEFAULT_CHARS_PER_TOKEN,
     block_lines: int = BLOCK_LINES,
-    longest_file: int | None = None,
 ) -> DataFrame:
-    """One row per slice. `files` (case_id, file) adds files without lines as one empty slice (1, 0)."""
-    windows = windows_of(
-        lines, budget=budget, chars_per_token=chars_per_token, block_lines=block_lines, longest_file=longest_file
+    """Id, file, window numbers and line range of every slice; what joins need, without describing texts.
+
+    `files` (case_id, file) adds files without lines as one empty slice (1, 0).
+    """
+    windows = pack_windows(
+        lines, KEYS, budget=budget, chars_per_token=chars_per_token, block_lines=block_lines, charge_header=True
     )
     if files is not None:
-        empty = files.select(*KEYS).join(windows.select(*KEYS).distinct(), KEYS, "left_anti").select(
-            *KEYS,
-            F.lit(1).cast("bigint").alias("window_index"),
-            F.lit(1).cast("bigint").alias("start_line"),
-            F.lit(0).cast("bigint").alias("end_line"),
-            F.lit(1).cast("bigint").alias("window_count"),
-            F.lit(0).cast("bigint").alias("line_count"),
+        filled = lines.filter("line_no = 1").select(*KEYS)
+        number = lambda n: F.lit(n).cast("bigint")
+        empty = files.select(*KEYS).join(filled, KEYS, "left_anti").select(
+            *KEYS, number(1).alias("window_index"), number(1).alias("start_line"), number(0).alias("end_line"),
+            number(1).alias("window_count"), number(0).alias("line_count"),
         )
         windows = windows.unionByName(empty)
-    per_file = file_times(lines).select(*KEYS, "time_range").join(
+    return windows.withColumn("slice_id", slice_id(F.col("file"), F.col("window_index")))
+
+
+def build_slices(lines: DataFrame, files: DataFrame | None = None, **sizing) -> DataFrame:
+    """One row per slice with its reason, time range and format header."""
+    return describe(slice_places(lines, files, **sizing), lines)
+
+
+def describe(places: DataFrame, lines: DataFrame) -> DataFrame:
+    per_file = file_times(lines).select(*KEYS, "line_count", "time_range").join(
         format_headers(lines).select(*KEYS, "format_header"), KEYS, "left"
     )
-    return windows.join(per_file, KEYS, "left").select(
+    windows = places.withColumn("_chunk", chunk(F.col("start_line")))
+    return windows.join(per_chunk(per_file).drop("line_count"), [*KEYS, "_chunk"], "left").select(
         "case_id",
-        slice_id(F.col("file"), F.col("window_index")).alias("slice_id"),
+        "slice_id",
         "file",
         L.stem(F.col("file")).alias("source"),
         F.lit("").alias("host"),
@@ -220,21 +223,26 @@ def budget_audit(lines: DataFrame, slices: DataFrame, *, budget: int,
     sized = locate(
         lines.select(*KEYS, "line_no", F.length("text").alias("chars")), slices, budget=budget, columns=("slice_id",)
     )
-    headers = format_headers(lines).select(*KEYS, "header_chars")
     per_slice = sized.groupBy(*KEYS, "slice_id").agg(
-        F.count("*").alias("line_count"), F.sum("chars").cast("bigint").alias("chars")
+        F.count("*").alias("line_count"), F.sum("chars").cast("bigint").alias("chars"), F.min("line_no").alias("_start")
+    )
+    sizes = lines.groupBy(*KEYS).agg(F.count("*").alias("line_count"))
+    headers = per_chunk(sizes.join(format_headers(lines).select(*KEYS, "header_chars"), KEYS)).drop("line_count")
+    header_chars = F.coalesce("header_chars", F.lit(0))
+    tokens = (F.col("chars") + header_chars) / F.lit(float(chars_per_token)) + F.col("line_count") * F.lit(
+        float(L.REF_OVERHEAD_TOKENS)
     )
-    tokens = (
-        (F.col("chars") + F.coalesce("header_chars", F.lit(0))) / F.lit(float(chars_per_token))
-        + F.col("line_count") * F.lit(float(L.REF_OVERHEAD_TOKENS))
+    # A header longer than the budget still leaves the packing minimum.
+    allowed = F.greatest(
+        F.lit(float(budget)),
+        packing_budget(header_chars, budget, chars_per_token) + header_chars / F.lit(float(chars_per_token)),
     )
-    left = packing_budget(F.coalesce("header_chars", F.lit(0)), budget, chars_per_token)
-    floor_budget = F.greatest(F.lit(float(budget)), left + F.coalesce("header_chars", F.lit(0)) / F.lit(float(chars_per_token)))
     return (
-        per_slice.join(headers, KEYS, "left")
+        per_slice.withColumn("_chunk", chunk(F.col("_start")))
+        .join(headers, [*KEYS, "_chunk"], "left")
         .withColumn("estimated_tokens", tokens)
         .select(
             *KEYS, "slice_id", "line_count", "chars", "estimated_tokens",
-            ((F.col("line_count") == 1) | (F.col("estimated_tokens") <= floor_budget + 1e-6)).alias("within_budget"),
+            ((F.col("line_count") == 1) | (F.col("estimated_tokens") <= allowed + 1e-6)).alias("within_budget"),
         )
     )

@@ -42,19 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so a lost executor costs a re-read and not a re-run."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a table that two stages must read identically."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as a parquet table in the shared folder and read it back.
+
+    For intermediate results that several steps use: they are computed once, later reads prune columns, and a lost
+    executor costs a re-read.
+    """
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of a frame by summing the text form of each row; one aggregate pass, one number back."""
     row_size = F.length(F.to_json(F.struct(*df.columns))) + F.lit(32)
