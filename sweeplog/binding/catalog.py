@@ -1,4 +1,4 @@
 """Import every binding module so that its queries are registered."""
 
-from sweeplog.binding import reporting, slicing, sweeping  # noqa: F401
+from sweeplog.binding import reporting, running, slicing, sweeping  # noqa: F401
 from sweeplog.binding.registry import REGISTRY  # noqa: F401

@@ -225,3 +225,102 @@ def brief_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.sequence(F.lit(1), (d % 4 + 1).cast("int")), event).alias("timeline"),
         F.array(hypothesis).alias("hypotheses"),
     )
+
+
+# Problem texts as validators write them, one per reason.
+REJECTIONS = (
+    "findings[0] returned 9 representative_refs; the limit is 5.",
+    "findings[0] has match_count 1 but cites 3 lines.",
+    "findings[1] cites 'a.log:L9', which is not in slice a.log-0001 (lines 1-8 of a.log).",
+    "relevant is false, but checked_for records a positive result for 'lease'.",
+    "findings[0] has no representative_refs; cite a line of slice a.log-0001.",
+    "Response was not valid JSON. Return one JSON object and nothing else.",
+    "field relevant: Field required",
+    "findings[0] citation 'x' is malformed; the required form is 'a.log:L<line-number>'.",
+    "Your reply was cut off at the token limit (900 tokens); report an aggregate with few representative_refs.",
+)
+
+
+def event_k() -> Column:
+    return F.get_json_object("props", "$.k").cast("bigint")
+
+
+def run_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run log of every user as JSON lines: transitions, calls and validations; every 50th line is torn."""
+    from sweeplog.operators.runstats import STATES
+
+    e, k = F.col("event_id"), F.col("k")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    is_call, is_step = F.col("event_type").isin("click", "purchase"), F.col("event_type").isin("signup", "view")
+    when_call = lambda value: F.when(is_call, value)
+    problem = lambda at: pick(REJECTIONS, at % len(REJECTIONS))
+    ok = k % 3 == 0
+    listed = F.when(ok, F.array().cast("array<string>")).otherwise(
+        F.array(problem(e), problem(F.floor(e / 9)), problem(e))
+    )
+    usage = F.struct(k.alias("prompt_tokens"), F.when(k % 10 != 0, k * 2).alias("completion_tokens"))
+    record = F.struct(
+        e.alias("event_id"),
+        F.concat(F.lit("run-"), "user_id").alias("investigation_id"),
+        F.when(e % 29 == 0, F.lit("not a time"))
+        .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00"))).alias("ts"),
+        F.when(is_call, F.lit("llm_call")).when(is_step, F.lit("state_transition")).otherwise(F.lit("grunt_validation")).alias("kind"),
+        F.when(is_step, pick(STATES, e % 14)).alias("from_state"),
+        F.when(is_step, pick(STATES, k % 14)).alias("to_state"),
+        when_call(F.when(F.col("event_type") == "click", F.lit("grunt")).otherwise(F.lit("commander"))).alias("role"),
+        when_call(F.concat(F.lit("task-"), (e % 500).cast("string"))).alias("task_id"),
+        when_call(F.when(e % 4 != 0, e % 3 + 1)).alias("attempt"),
+        when_call(F.when(e % 6 == 0, F.lit("length")).otherwise(F.lit("stop"))).alias("finish_reason"),
+        when_call(F.when(e % 19 != 0, usage)).alias("usage"),
+        when_call(F.col("value")).alias("latency_ms"),
+        when_call(F.when(e % 17 == 0, F.lit("transport"))).alias("error"),
+        F.when(~is_call & ~is_step, F.struct(ok.alias("ok"), listed.alias("problems"))).alias("payload"),
+    )
+    events = table(spark, sf_dir, "events").withColumn("k", event_k())
+    text = events.select("user_id", "event_id", F.to_json(record).alias("value"))
+    return text.withColumn(
+        "value", F.when(e % 50 == 0, F.left("value", F.length("value") - 5)).otherwise(F.col("value"))
+    )
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.sources import runlog
+
+    return runlog.records(run_log_text(spark, sf_dir))
+
+
+def scrape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposition text per run, role and snapshot: one metric line per event."""
+    from sweeplog.sources.metrics import COUNTERS
+
+    names = [*COUNTERS, "vllm:num_requests_running", "python_info"]
+    e = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (e % len(names) + 1).cast("int"))
+    number = F.when(e % 31 == 0, F.lit("n/a")).otherwise(F.col("value").cast("decimal(18,2)").cast("string"))
+    text = F.when(e % 37 == 0, F.concat(F.lit("# HELP "), name)).otherwise(
+        F.concat(name, F.lit('{model="m'), (e % 3).cast("string"), F.lit('",engine="0"} '), number)
+    )
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("run-"), F.col("user_id") % 10).alias("investigation_id"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("grunt")).otherwise(F.lit("commander")).alias("role"),
+        F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.lit("before")).otherwise(F.lit("after")).alias("snapshot"),
+        text.alias("text"),
+    )
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier runs as the estimate reads them: backend, worker calls, slices, collecting seconds, concurrency."""
+    from sweeplog.operators import runstats as R
+
+    log = run_log(spark, sf_dir)
+    user = F.regexp_extract("investigation_id", r"(\d+)$", 1).cast("bigint")
+    worker = R.role_counts(log).filter("role = 'grunt'").select("investigation_id", F.col("calls").alias("worker_calls"))
+    checked = R.validations(log).select("investigation_id", F.col("validations").alias("slices"))
+    collecting = R.phase_durations(log).filter("state = 'COLLECTING'").select(
+        "investigation_id", F.col("seconds").alias("collecting_s")
+    )
+    return worker.join(checked, "investigation_id").join(collecting, "investigation_id").select(
+        "*",
+        F.when(user % 2 == 0, F.lit("vllm")).otherwise(F.lit("stub")).alias("backend"),
+        (user % 3 * 4).cast("double").alias("concurrency_configured"),
+    )
