@@ -324,3 +324,67 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user % 2 == 0, F.lit("vllm")).otherwise(F.lit("stub")).alias("backend"),
         (user % 3 * 4).cast("double").alias("concurrency_configured"),
     )
+
+
+def address(user: Column) -> Column:
+    return F.concat(F.lit("10.0."), F.floor(user / 250).cast("string"), F.lit("."), (user % 250).cast("string"))
+
+
+def dns_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as DNS logs of four sensors; the last sensor lists its columns in reverse."""
+    from sweeplog.sources.typed import DNS_COLUMNS
+
+    e, k, user = F.col("event_id"), F.col("k"), F.col("user_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    text = lambda c: c.cast("string")
+    digest = F.md5(text(e))
+    domain = F.concat("event_type", F.lit("-sync.net"))
+    query = F.when(k % 4 != 0, F.concat(F.substr(digest, F.lit(1), (k % 24 + 8).cast("int")), F.lit(".t."), domain)).otherwise(domain)
+    txt, ok, answered = k % 5 < 3, e % 7 != 0, k % 3 != 0
+    row = {
+        "ts": F.concat(text(F.floor(micros / 1_000_000)), F.lit("."), F.lpad(text(micros % 1_000_000), 6, "0")),
+        "uid": F.concat(F.lit("C"), text(e)), "id.orig_h": address(user), "id.orig_p": text(e % 16384 + 49152),
+        "id.resp_h": F.lit("10.9.0.53"), "id.resp_p": F.lit("53"), "proto": F.lit("udp"), "trans_id": text(e % 65536),
+        "rtt": F.concat(F.lit("0."), F.lpad(text(k), 3, "0")), "query": F.when(e % 41 == 0, F.lit("-")).otherwise(query),
+        "qclass": F.lit("1"), "qclass_name": F.lit("C_INTERNET"),
+        "qtype": F.when(txt, F.lit("16")).otherwise(F.lit("5")), "qtype_name": F.when(txt, F.lit("TXT")).otherwise(F.lit("CNAME")),
+        "rcode": F.when(ok, F.lit("0")).otherwise(F.lit("3")), "rcode_name": F.when(ok, F.lit("NOERROR")).otherwise(F.lit("NXDOMAIN")),
+        "AA": F.lit("F"), "TC": F.lit("F"), "RD": F.lit("T"), "RA": F.lit("T"), "Z": F.lit("0"),
+        "answers": F.when(answered, F.concat(digest, F.lit(",x"))).otherwise(F.lit("-")),
+        "TTLs": F.when(answered, F.lit("60,30.5")).otherwise(F.lit("-")), "rejected": F.when(e % 3 == 0, F.lit("T")).otherwise(F.lit("F")),
+    }
+    names = [name for name, _ in DNS_COLUMNS]
+    types = [kind for _, kind in DNS_COLUMNS]
+    forward, backward = (F.concat_ws("\t", *[row[n] for n in order]) for order in (names, names[::-1]))
+    sensor = user % 4
+    file = lambda s: F.concat(F.lit("dns-"), text(s), F.lit(".log"))
+    events = table(spark, sf_dir, "events").withColumn("k", event_k())
+    data = events.select(
+        F.lit("dns").alias("case_id"), file(sensor).alias("file"), (e + 9).alias("line_no"),
+        F.when(sensor == 3, backward).otherwise(forward).alias("text"),
+    )
+    head = lambda order: F.array(
+        F.lit("#separator \\x09"), F.lit("#set_separator\t,"), F.lit("#empty_field\t(empty)"), F.lit("#unset_field\t-"),
+        F.lit("#path\tdns"), F.lit("#open\t2024-01-01-00-00-00"),
+        F.lit("#fields\t" + "\t".join(names[::order])), F.lit("#types\t" + "\t".join(types[::order])),
+    )
+    sensors = events.select(sensor.alias("s")).distinct()
+    headers = sensors.select(
+        F.lit("dns").alias("case_id"), file(F.col("s")).alias("file"),
+        F.posexplode(F.when(F.col("s") == 3, head(-1)).otherwise(head(1))).alias("_pos", "text"),
+    ).select("case_id", "file", (F.col("_pos") + 1).cast("bigint").alias("line_no"), "text")
+    return data.unionByName(headers)
+
+
+def lease_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups written as lease lines."""
+    e = F.col("event_id")
+    events = table(spark, sf_dir, "events").filter("event_type = 'signup'")
+    return events.select(
+        F.lit("dhcp").alias("case_id"), F.lit("leases.log").alias("file"), (e + 1).alias("line_no"),
+        F.concat_ws(
+            " ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(e % 2 == 0, F.lit("ACK")).otherwise(F.lit("RENEW")),
+            address(F.col("user_id")), F.lit("00:1b:44:00:00:01"), F.concat(F.lit("wks-"), e.cast("string")),
+            F.concat(F.lit("lease="), ((event_k() + 1) * 3600).cast("string")),
+        ).alias("text"),
+    )

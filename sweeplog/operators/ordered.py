@@ -88,3 +88,13 @@ def with_running_total(df: DataFrame, keys: list[str], order: list[str], value:
     )
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(name, F.sum("_value").over(local) + F.col("_before")).drop("_value", "_before")
+
+
+def with_latest(df: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """Most recent non-null value of `column` at or before each row of the key."""
+    joined = _with_edges(
+        df, keys, [F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*order))).alias("_last")],
+        {"_carried": F.last("_last", ignorenulls=True).over(_earlier(keys))},
+    )
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(name, F.coalesce(F.last(column, ignorenulls=True).over(local), F.col("_carried"))).drop("_carried")
