@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
+from sweeplog.functions.lines import REF_OVERHEAD_TOKENS
 from sweeplog.session import materialize
 
 BLOCK_LINES = 65_536
@@ -31,7 +32,7 @@ ROUNDING = 1e-3
 
 def reach(max_budget: float) -> int:
     """Most lines one window can hold, plus the line that closes it."""
-    return int(max_budget // L.REF_OVERHEAD_TOKENS) + 2
+    return int(max_budget // REF_OVERHEAD_TOKENS) + 2
 
 
 def next_openings(costs: np.ndarray, budget: float) -> np.ndarray:
@@ -54,7 +55,7 @@ def next_openings(costs: np.ndarray, budget: float) -> np.ndarray:
 
 def _exits(lengths: np.ndarray, own: int, budget: float, chars_per_token: float, width: int) -> np.ndarray:
     """Opening offset in the next block for each possible opening offset here."""
-    jump = next_openings(lengths / chars_per_token + float(L.REF_OVERHEAD_TOKENS), budget)
+    jump = next_openings(lengths / chars_per_token + float(REF_OVERHEAD_TOKENS), budget)
     position = np.arange(min(width, own))
     while (inside := position < own).any():
         position[inside] = jump[position[inside]]
@@ -63,7 +64,7 @@ def _exits(lengths: np.ndarray, own: int, budget: float, chars_per_token: float,
 
 def _windows(lengths: np.ndarray, own: int, entry: int, budget: float, chars_per_token: float) -> list[int]:
     """Offsets at which windows open in this block."""
-    jump = next_openings(lengths / chars_per_token + float(L.REF_OVERHEAD_TOKENS), budget)
+    jump = next_openings(lengths / chars_per_token + float(REF_OVERHEAD_TOKENS), budget)
     openings, at = [], entry
     while at < own:
         openings.append(at)
