@@ -35,9 +35,14 @@ def text_lines(text: Column) -> Column:
     return F.when(text != "", F.split(body, "\n", -1))
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def doc_lines(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """One file per document, one case per source."""
-    documents = table(spark, sf_dir, "documents")
+    documents = read(spark, sf_dir, "documents")
     return documents.select(
         F.col("source").alias("case_id"),
         F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("file"),
@@ -46,9 +51,9 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("case_id", "file", "doc_id", (F.col("_pos") + 1).cast("bigint").alias("line_no"), "text")
 
 
-def planted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted_lines(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """doc_lines with one of PLANTED appended to every line where doc_id + line_no is a multiple of 97."""
-    lines = doc_lines(spark, sf_dir)
+    lines = doc_lines(spark, sf_dir, read)
     mark = F.col("doc_id") + F.col("line_no")
     choice = F.element_at(F.array(*[F.lit(p) for p in PLANTED]), (F.floor(mark / 97) % len(PLANTED) + 1).cast("int"))
     return lines.withColumn("text", F.when(mark % 97 == 0, F.concat("text", F.lit(" "), choice)).otherwise(F.col("text")))
@@ -245,7 +250,7 @@ def event_k() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-def run_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_log_text(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Run log of every user as JSON lines: transitions, calls and validations; every 50th line is torn."""
     from sweeplog.operators.runstats import STATES
 
@@ -276,17 +281,17 @@ def run_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         when_call(F.when(e % 17 == 0, F.lit("transport"))).alias("error"),
         F.when(~is_call & ~is_step, F.struct(ok.alias("ok"), listed.alias("problems"))).alias("payload"),
     )
-    events = table(spark, sf_dir, "events").withColumn("k", event_k())
+    events = read(spark, sf_dir, "events").withColumn("k", event_k())
     text = events.select("user_id", "event_id", F.to_json(record).alias("value"))
     return text.withColumn(
         "value", F.when(e % 50 == 0, F.left("value", F.length("value") - 5)).otherwise(F.col("value"))
     )
 
 
-def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_log(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     from sweeplog.sources import runlog
 
-    return runlog.records(run_log_text(spark, sf_dir))
+    return runlog.records(run_log_text(spark, sf_dir, read))
 
 
 def scrape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
