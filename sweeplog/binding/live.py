@@ -64,7 +64,7 @@ t AS (SELECT investigation_id, arg_max(to_state, event_id) FILTER (WHERE moment
 SELECT investigation_id, t.state, illegal_transitions, CAST(0 AS BIGINT) AS disordered, phases.state AS phase, seconds
 FROM t LEFT JOIN phases USING (investigation_id)""")
 def live_run_states(spark, sf_dir):
-    states = live.run_states(V.run_log(spark, sf_dir, V.stream), drop_finished=False)
+    states = live.run_states(V.run_log(spark, sf_dir, V.stream), drop_finished=False, ttl_days=None)
     rows = live.latest(live.run_available(states, "update", "run-states"), ["investigation_id", "phase"])
     return rows.withColumn("seconds", F.col("micros") / F.lit(1e6)).drop("micros")
 

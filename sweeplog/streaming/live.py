@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sweeplog.functions import injection as INJ
@@ -19,7 +19,6 @@ from sweeplog.sources import runlog
 from sweeplog.sources.casefiles import LOGS_DIR, _path_part
 
 CALL_WINDOW = "5 seconds"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_log_stream(spark: SparkSession, parent: str, max_files: int = 1000) -> DataFrame:
@@ -70,75 +69,66 @@ def running_findings(lines: DataFrame, directive: DataFrame) -> DataFrame:
     )
 
 
-class RunState(StatefulProcessor):
-    """Current state, time per phase and illegal transitions of one run.
+_STATE = "state string, entered bigint, last_event bigint, illegal bigint, disordered bigint, phases string"
+_OUT = "investigation_id string, state string, illegal_transitions bigint, disordered bigint, phase string, micros bigint"
 
-    Events at or before the last one seen are counted as out of order and not applied. State of a run goes when it
-    reaches a terminal state (`drop_finished`) or after `ttl_ms` without an event.
-    """
 
-    def __init__(self, legal: set[str], terminal: set[str], drop_finished: bool, ttl_ms: int) -> None:
-        self.legal, self.terminal, self.drop_finished, self.ttl_ms = legal, terminal, drop_finished, ttl_ms
+def _follow(legal: set[str], terminal: set[str], drop_finished: bool, ttl_ms: int | None):
+    """State of one run: current state, time per phase (14 at most), illegal transitions.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState(
-            "current", "state string, entered bigint, last_event bigint, illegal bigint, disordered bigint", self.ttl_ms
-        )
-        self.phases = handle.getMapState("phases", "state string", "micros bigint", self.ttl_ms)
+    Events at or before the last one seen are counted as out of order and not applied. The state goes when the run
+    reaches a terminal state (`drop_finished`) or, with `ttl_ms`, after that time without an event.
+    """
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self.current.exists():
-            state, entered, last, illegal, disordered = self.current.get()
-        else:
-            state, entered, last, illegal, disordered = None, None, None, 0, 0
+    def step(key: tuple, rows: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
+        if store.hasTimedOut:
+            store.remove()
+            return
+        state, entered, last, illegal, disordered, phases = store.get if store.exists else (None, None, None, 0, 0, "{}")
+        micros = json.loads(phases)
         batch = pd.concat(list(rows)).sort_values("event_id")
-        added: dict[str, int] = {}
         for event, before, after, at in zip(batch["event_id"], batch["from_state"], batch["to_state"], batch["at"]):
             if last is not None and event <= last:
                 disordered += 1
                 continue
             last = int(event)
-            illegal += f"{before}>{after}" not in self.legal
+            illegal += int(f"{before}>{after}" not in legal)
             if pd.isna(at):
                 continue
             if entered is not None:
-                added[state] = added.get(state, 0) + int(at) - entered
+                micros[state] = micros.get(state, 0) + int(at) - entered
             state, entered = after, int(at)
-        for phase, micros in added.items():
-            known = self.phases.getValue((phase,))[0] if self.phases.containsKey((phase,)) else 0
-            self.phases.updateValue((phase,), (known + micros,))
-        totals = sorted((k[0], v[0]) for k, v in self.phases.iterator())
-        self.current.update((state, entered, last, illegal, disordered))
-        listed = totals or [(None, None)]
+        if drop_finished and state in terminal:
+            store.remove()
+        else:
+            store.update((state, entered, last, illegal, disordered, json.dumps(micros)))
+            if ttl_ms:
+                store.setTimeoutDuration(ttl_ms)
+        listed = sorted(micros.items()) or [(None, None)]
         yield pd.DataFrame(
             {
                 "investigation_id": key[0], "state": state, "illegal_transitions": illegal, "disordered": disordered,
                 "phase": [p for p, _ in listed], "micros": pd.array([m for _, m in listed], dtype="Int64"),
             }
         )
-        if self.drop_finished and state in self.terminal:
-            self.current.clear()
-            self.phases.clear()
 
-    def close(self) -> None:
-        pass
+    return step
 
 
-def run_states(records: DataFrame, *, drop_finished: bool = True, ttl_days: int = 7) -> DataFrame:
+def run_states(records: DataFrame, *, drop_finished: bool = True, ttl_days: int | None = 7) -> DataFrame:
     """Per run and phase, after each batch that touched the run: current state, illegal transitions, time in the phase.
 
-    Needs the RocksDB state store, which this sets for the session.
+    A batch holds at most what the source's file limit lets in, so the rows of one run in one batch are few. A query that
+    should end by itself (availableNow) needs `ttl_days=None`: waiting for an expiry keeps it running.
     """
-    records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     steps = R.transitions(records).select(
         "investigation_id", "event_id", "from_state", "to_state", F.unix_micros(R.instant()).alias("at")
     )
     legal = {f"{a}>{b}" for a, targets in R.LEGAL_TRANSITIONS.items() for b in targets}
-    return steps.groupBy("investigation_id").transformWithStateInPandas(
-        RunState(legal, set(R.TERMINAL_STATES), drop_finished, ttl_days * 86_400_000),
-        outputStructType="investigation_id string, state string, illegal_transitions bigint, disordered bigint, phase string, micros bigint",
-        outputMode="update",
-        timeMode="ProcessingTime",
+    follow = _follow(legal, set(R.TERMINAL_STATES), drop_finished, ttl_days and ttl_days * 86_400_000)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_days else GroupStateTimeout.NoTimeout
+    return steps.groupBy("investigation_id").applyInPandasWithState(
+        follow, _OUT, _STATE, "update", timeout
     )
 
 
