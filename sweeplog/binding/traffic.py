@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sweeplog.binding import views as V
 from sweeplog.binding.registry import register
 from sweeplog.operators import traffic as T
+from sweeplog.session import materialize
 from sweeplog.sources import typed
 
 SESSION_GAP_S = 86_400
@@ -26,7 +27,7 @@ dns AS (
 
 
 def dns(spark, sf_dir):
-    return typed.tab_separated(V.dns_lines(spark, sf_dir))
+    return typed.tab_separated(materialize(V.dns_lines(spark, sf_dir), "dns-log"))
 
 
 @register("dns_records", f"""WITH {DNS}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
 from sweeplog.operators import ordered
+from sweeplog.session import materialize
 
 EVENT_HEADER = (
     "#fields\tts\tevent\tvalue\tprops",
@@ -291,7 +292,8 @@ def run_log_text(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
 def run_log(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     from sweeplog.sources import runlog
 
-    return runlog.records(run_log_text(spark, sf_dir, read))
+    text = run_log_text(spark, sf_dir, read)
+    return runlog.records(text if text.isStreaming else materialize(text, "run-log-text"))
 
 
 def scrape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

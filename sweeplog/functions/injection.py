@@ -38,6 +38,39 @@ def _excerpt(text: Column, pattern: str) -> Column:
     return F.substring(python_strip(window), 1, EXCERPT_CHARS)
 
 
+# Words without which a pattern cannot match: any of the groups, all words of a group. Lower case.
+REQUIRED = {
+    "instruction_override": (("ignore",),),
+    "role_marker": (("system", ":"), ("assistant", ":"), ("user", ":")),
+    "prompt_reference": (("system", "prompt"), ("your", "instructions"), ("developer", "message")),
+    "model_address": (("you", "are"), ("dear",)),
+    "output_steering": (("mark",), ("classify",), ("report",)),
+    "control_tokens": (("<|",), ("inst]",), ("<<sys>>",)),
+    "tool_call_shape": (("tool_call",), ("function_call",)),
+}
+# Letters outside ASCII that match an ASCII letter when case is ignored; lower() does not fold them.
+FOLDED = ("\u017f", "\u212a", "\u0130", "\u0131")
+
+
+def candidate(text: Column) -> Column:
+    """Substring test that is true for every line some pattern could match, and false for most others."""
+
+    def any_group(lowered: Column) -> Column:
+        test = F.lit(False)
+        for groups in REQUIRED.values():
+            for words in groups:
+                every = F.lit(True)
+                for word in words:
+                    every = every & F.contains(lowered, F.lit(word))
+                test = test | every
+        return test
+
+    test = F.exists(F.array(F.lower(text)), any_group)
+    for letter in FOLDED:
+        test = test | F.contains(text, F.lit(letter))
+    return test
+
+
 def signals(text: Column) -> Column:
     """One struct per pattern that occurs in the text, in the order of SIGNALS."""
     found = [
@@ -53,5 +86,5 @@ def signals(text: Column) -> Column:
 def scan(lines: DataFrame, text: str = "text") -> DataFrame:
     """Signals of every line, one row per line and pattern. Narrow: no shuffle, works on streams."""
     others = [c for c in lines.columns if c != text]
-    hits = lines.select(*others, F.explode(signals(F.col(text))).alias("_s"))
+    hits = lines.filter(candidate(F.col(text))).select(*others, F.explode(signals(F.col(text))).alias("_s"))
     return hits.select(*others, "_s.signal", "_s.why", "_s.excerpt")

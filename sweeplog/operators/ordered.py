@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweeplog.session import materialize
+
 TARGET_ROWS = 1_000_000
 # Candidate bucket widths in seconds, widest first.
 WIDTHS = (30 * 86_400, 86_400, 3_600, 60, 1)
@@ -24,12 +26,13 @@ def _seconds(ts: str) -> Column:
 
 
 def bucket_width(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_ROWS) -> int:
-    """Widest bucket that keeps every (key, bucket) below `target_rows`, from partial counts per second.
+    """Widest bucket that keeps every (key, bucket) below `target_rows`.
 
-    One aggregate pass with map-side combining; the driver receives one number per candidate width.
+    One aggregate pass per width tried, with map-side combining; the driver receives one number each. Keys below the
+    target need no bucket at all, which the first pass tells.
     """
-    total = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if total <= target_rows:
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= target_rows:
         return WIDTHS[0]
     for width in WIDTHS[1:-1]:
         counts = df.groupBy(*keys, _bucket(_seconds(ts), width).alias("_b")).agg(F.count("*").alias("n"))
@@ -39,8 +42,9 @@ def bucket_width(df: DataFrame, keys: list[str], ts: str, target_rows: int = TAR
 
 
 def with_bucket(df: DataFrame, keys: list[str], ts: str, width: int | None = None) -> DataFrame:
-    width = width or bucket_width(df, keys, ts)
-    return df.withColumn("_bucket", _bucket(_seconds(ts), width))
+    """Rows with their time bucket, as a written table: the steps below read it several times, its source once."""
+    rows = materialize(df, "ordered-rows")
+    return rows.withColumn("_bucket", _bucket(_seconds(ts), width or bucket_width(rows, keys, ts)))
 
 
 def _with_edges(df: DataFrame, keys: list[str], aggregates: list[Column], derived: dict[str, Column]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweeplog.session import materialize
+
 
 def _value_bucket(value: Column) -> Column:
     """Monotone bucket of a double: about 90 buckets per power of ten, mirrored for negatives."""
@@ -60,6 +62,7 @@ def latency_spread(df: DataFrame, keys: list[str], value: str, digits: int = 2)
     p95 is the value at 0-based position min(n-1, floor(0.95 n)), which differs from a standard percentile when
     0.95 n is whole. Totals add decimals with `digits` places, so the result does not depend on row order.
     """
+    df = materialize(df.select(*keys, value), "values")
     n = F.col("n")
     ranks = at_ranks(
         df, keys, value,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sweeplog.functions import problems as P
 from sweeplog.operators.ordered import with_previous
 from sweeplog.operators.quantiles import latency_spread
+from sweeplog.session import materialize
 
 RUN = "investigation_id"
 EVENTS_PER_BUCKET = 1_000_000
@@ -35,6 +36,12 @@ LEGAL_TRANSITIONS = {
 TERMINAL_STATES = ("DONE", "FAILED_PREFLIGHT", "FAILED_PLANNING", "FAILED_SYNTHESIS", "ABORTED_BY_OPERATOR")
 
 
+STATS_FIELDS = (
+    RUN, "event_id", "ts", "kind", "from_state", "to_state", "role", "task_id", "attempt", "finish_reason", "usage",
+    "latency_ms", "error", "payload",
+)
+
+
 def instant(ts: str = "ts"):
     return F.try_to_timestamp(F.col(ts))
 
@@ -103,7 +110,7 @@ def transitions(log: DataFrame) -> DataFrame:
 def phase_gaps(log: DataFrame) -> DataFrame:
     """Microseconds between consecutive transitions of a run, charged to the state entered by the earlier one."""
     timed = transitions(log).withColumn("_at", F.unix_micros(instant())).filter("_at IS NOT NULL")
-    timed = timed.select(RUN, "event_id", "to_state", "_at").withColumn(
+    timed = materialize(timed.select(RUN, "event_id", "to_state", "_at"), "transitions").withColumn(
         "_bucket", F.floor(F.col("event_id") / EVENTS_PER_BUCKET).cast("bigint")
     )
     linked = with_previous(timed, [RUN], ["event_id"], ["to_state", "_at"])
@@ -222,8 +229,10 @@ def estimate(workload: DataFrame, history: DataFrame, concurrency: int) -> DataF
 def run_stats(log: DataFrame) -> DataFrame:
     """One row per run with nested structs for roles, phases, work and rejections.
 
-    The maps are bounded: roles of a run, 14 states, 8 reasons.
+    The maps are bounded: roles of a run, 14 states, 8 reasons. The log is parsed once and written with the fields that
+    count.
     """
+    log = materialize(log.select(*STATS_FIELDS), "run-log")
     by_role = role_counts(log).join(role_latency(log), [RUN, "role"], "left")
     role = F.struct(
         "calls", "retries", "errors",

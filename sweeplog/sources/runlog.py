@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sweeplog import schemas
 from sweeplog.functions.lines import python_strip
@@ -19,14 +20,24 @@ def read_run_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return records(spark.read.text(paths))
 
 
+def _one_object(text: Column, ddl: str) -> Column:
+    """The JSON object a line holds, as an array of one; null or another size when the line is not exactly one object.
+
+    The reader ignores what follows a complete value, so the line is parsed as the only element of a list: anything
+    behind the object then breaks the list.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{ddl}>>", {"allowSingleQuotes": "false"})
+    return F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), listed)
+
+
 def _is_object(text: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT<")), F.lit(False))
+    return F.coalesce(F.size(_one_object(text, "event_id:string")) == 1, F.lit(False))
 
 
 def records(lines: DataFrame, text: str = "value") -> DataFrame:
     """Parse JSON lines, skipping malformed ones."""
-    parsed = lines.filter(_is_object(F.col(text))).select(F.from_json(text, schemas.RUN_LOG_DDL).alias("r"))
-    return parsed.select("r.*")
+    ddl = StructType.fromDDL(schemas.RUN_LOG_DDL).simpleString().removeprefix("struct<").removesuffix(">")
+    return lines.filter(_is_object(F.col(text))).select(_one_object(F.col(text), ddl)[0].alias("r")).select("r.*")
 
 
 def tolerant(lines: DataFrame, text: str = "value") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweeplog.functions.lines import MAX_HEADER_LINES
 from sweeplog.session import join_small
 
 KEYS = ["case_id", "file"]
@@ -38,8 +39,8 @@ def _typed(raw: Column, kind: str, separator: Column) -> Column:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """Field names and marks of each file from its `#` lines."""
-    top = lines.filter(F.startswith("text", F.lit("#")))
+    """Field names and marks of each file from its leading `#` lines, at most 12."""
+    top = lines.filter((F.col("line_no") <= MAX_HEADER_LINES) & F.startswith("text", F.lit("#")))
     value = lambda mark: F.max(
         F.when(F.startswith("text", F.lit(f"#{mark}\t")), F.substring("text", len(mark) + 3, 1 << 30))
     )
@@ -57,16 +58,23 @@ def tab_separated(lines: DataFrame, columns: tuple[tuple[str, str], ...] = DNS_C
     differs from the header are marked `malformed`.
     """
     data = lines.filter(~F.startswith("text", F.lit("#")) & (F.col("text") != "")).select(*KEYS, "line_no", "text")
-    joined = join_small(data, headers(lines), KEYS, spread=["line_no"])
+    # Where each column sits is looked up once per file, not once per line.
+    places = headers(lines).select(
+        *KEYS, "_unset", "_separator", F.size("_fields").alias("_width"),
+        F.array(*[F.array_position("_fields", F.lit(name)) - 1 for name, _ in columns]).cast("array<int>").alias("_at"),
+    )
+    joined = join_small(data, places, KEYS, spread=["line_no"])
     parts = joined.withColumn("_parts", F.split("text", "\t", -1))
-
-    def pick(name: str, kind: str) -> Column:
-        raw = F.get("_parts", (F.array_position("_fields", F.lit(name)) - 1).cast("int"))
-        return _typed(F.when(raw != F.col("_unset"), raw), kind, F.col("_separator")).alias(name.replace(".", "_"))
-
-    return parts.select(
-        *KEYS, "line_no", (F.size("_parts") != F.size("_fields")).alias("malformed"),
-        *[pick(name, kind) for name, kind in columns],
+    raw = parts.select(
+        *KEYS, "line_no", "_separator", (F.size("_parts") != F.col("_width")).alias("malformed"),
+        *[F.nullif(F.get("_parts", F.col("_at")[i]), F.col("_unset")).alias(f"_raw{i}") for i in range(len(columns))],
+    )
+    return raw.select(
+        *KEYS, "line_no", "malformed",
+        *[
+            _typed(F.col(f"_raw{i}"), kind, F.col("_separator")).alias(name.replace(".", "_"))
+            for i, (name, kind) in enumerate(columns)
+        ],
     )
 
 
