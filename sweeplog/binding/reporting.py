@@ -243,7 +243,8 @@ def outcomes_query(spark, sf_dir):
 
 
 @register("collapse_buckets", f"""WITH {OUTCOMES}
-SELECT case_id, count(*) AS tasks, count(*) FILTER (WHERE bucket = 'detailed') AS detailed, count(*) FILTER (WHERE bucket = 'empty') AS empty,
+SELECT case_id, count(*) AS tasks, count(*) AS slices_swept, CAST(1 AS BIGINT) AS iterations_used,
+       count(*) FILTER (WHERE bucket = 'detailed') AS detailed, count(*) FILTER (WHERE bucket = 'empty') AS empty,
        count(*) FILTER (WHERE bucket = 'failed') AS failed, CAST(sum(stray) AS BIGINT) AS stray_hits,
        count(*) FILTER (WHERE outcome = 'report' AND relevant AND NOT has_main) AS relevant_without_findings,
        CAST(sum(findings) AS BIGINT) AS findings, CAST(sum(matches) AS BIGINT) AS matching_lines
@@ -421,6 +422,17 @@ def reply_parse(spark, sf_dir):
     )
 
 
+@register("directive_problems", """
+SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 5 = 0 THEN 'relevance_criteria is empty; without it workers can only match strings.' END,
+       CASE WHEN doc_id % 5 = 0 AND NOT regexp_matches(text, '(?:[0-9]{1,3}\\.){3}[0-9]{1,3}') THEN 'give at least one indicator or a relevance rule.' END) AS problems
+FROM documents""")
+def directive_problems(spark, sf_dir):
+    relevance = F.when(F.col("doc_id") % 5 == 0, F.lit(" \t ")).otherwise(F.lit("lines about it"))
+    found = F.regexp_extract_all("text", F.lit(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), F.lit(0))
+    problems = P.directive_problems(relevance, found)
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(problems, "|").alias("problems"))
+
+
 @register("split_multiline", """
 SELECT doc_id, len(string_split(text, chr(10))) AS line_count, string_split(text, chr(10))[1] AS first_line,
        array_to_string(string_split(text, chr(10)), chr(10)) = text AS reversible FROM documents""")

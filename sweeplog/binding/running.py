@@ -154,6 +154,23 @@ parallel AS (
 )"""
 
 
+@register("final_states", f"""WITH {LOG}
+SELECT investigation_id, arg_max(to_state, event_id) AS final_state, bool_or(to_state IN ('ABORTING', 'ABORTED_BY_OPERATOR')) AS aborted_by_operator,
+       count(*) AS transitions, arg_max(to_state, event_id) IN ({', '.join(S.text(t) for t in R.TERMINAL_STATES)}) AS terminal
+FROM log WHERE kind = 'state_transition' GROUP BY investigation_id""")
+def final_states(spark, sf_dir):
+    return R.final_states(V.run_log(spark, sf_dir))
+
+
+@register("truncated_calls", f"""WITH {LOG}
+SELECT investigation_id, event_id, task_id, 'Your reply was cut off at the token limit ('
+       || CASE WHEN event_id % 19 <> 0 AND prompt_tokens % 10 <> 0 THEN CAST(completion_tokens AS VARCHAR) ELSE 'max' END
+       || ' tokens); report an aggregate with few representative_refs.' AS problem
+FROM log WHERE kind = 'llm_call' AND truncated""")
+def truncated_calls(spark, sf_dir):
+    return R.truncated_calls(V.run_log(spark, sf_dir))
+
+
 @register("parallelism", f"WITH {PARALLEL} SELECT * FROM parallel")
 def parallelism(spark, sf_dir):
     return R.parallelism(V.run_log(spark, sf_dir))

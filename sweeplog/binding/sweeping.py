@@ -361,10 +361,10 @@ def injection_by_signal(spark, sf_dir):
 
 
 @register("briefs", f"""WITH RECURSIVE {SWEPT}, {SIGNALS.replace(S.DOC_LINES + ',', '', 1)},
-c AS (SELECT case_id, count(*) AS slices_swept, count(*) FILTER (WHERE findings > 0) AS detailed, count(*) FILTER (WHERE findings = 0) AS empty,
+c AS (SELECT case_id, count(*) AS slices_swept, CAST(1 AS BIGINT) AS iterations_used, count(*) FILTER (WHERE findings > 0) AS detailed, count(*) FILTER (WHERE findings = 0) AS empty,
              CAST(0 AS BIGINT) AS failed, CAST(sum(findings) AS BIGINT) AS findings, CAST(sum(matches) AS BIGINT) AS matching_lines
       FROM swept GROUP BY ALL)
-SELECT case_id, alert_id, detector, rule_name, status, severity, slices_swept, detailed, empty, failed, findings, matching_lines,
+SELECT case_id, alert_id, detector, rule_name, status, severity, slices_swept, iterations_used, detailed, empty, failed, findings, matching_lines,
        coalesce(n, 0) AS injection_signals
 FROM alerts JOIN c USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n FROM signals GROUP BY ALL) USING (case_id)""")
 def briefs(spark, sf_dir):

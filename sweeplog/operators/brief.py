@@ -94,8 +94,7 @@ def briefs(alerts: DataFrame, coverage: DataFrame, signals: DataFrame) -> DataFr
         alert_copy(alerts).join(coverage, "case_id", "left").join(flagged, "case_id", "left")
         .select(
             "case_id", *ALERT_FIELDS,
-            F.coalesce("tasks", zero).alias("slices_swept"),
-            *[F.coalesce(c, zero).alias(c) for c in ("detailed", "empty", "failed", "findings", "matching_lines")],
+            *[F.coalesce(c, zero).alias(c) for c in ("slices_swept", "iterations_used", "detailed", "empty", "failed", "findings", "matching_lines")],
             F.coalesce("injection_signals", zero).alias("injection_signals"),
         )
     )

@@ -47,23 +47,18 @@ def token_hits(lines: DataFrame, indicators: DataFrame) -> DataFrame:
 
     A domain also matches under each of its parent domains.
     """
-    tokens = F.concat(
-        F.regexp_extract_all("text", F.lit(L.UNICODE + L.DOMAIN), F.lit(0)),
-        F.regexp_extract_all("text", F.lit(L.UNICODE + L.IPV4), F.lit(0)),
-    )
-    labels = F.split(F.col("_token"), r"\.")
-    parents = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    is_address = F.col("_token").rlike("^" + L.IPV4 + "$")
-    spelled = F.when(is_address, F.array("_token")).otherwise(parents)
-    found = (
-        lines.select(*KEYS, "line_no", F.explode(F.array_distinct(tokens)).alias("_token"))
-        .select(*KEYS, "line_no", F.explode(spelled).alias("indicator"))
-        .distinct()
-    )
-    return found.join(indicators.select("case_id", "indicator").distinct(), ["case_id", "indicator"])
+    domains = F.regexp_extract_all("text", F.lit(L.UNICODE + L.DOMAIN), F.lit(0))
+    addresses = F.regexp_extract_all("text", F.lit(L.UNICODE + L.IPV4), F.lit(0))
+
+    def parents(domain: Column) -> Column:
+        labels = F.split(domain, r"\.")
+        starts = F.sequence(F.lit(1), F.size(labels) - 1)
+        return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+    spelled = F.array_distinct(F.concat(F.flatten(F.transform(domains, parents)), addresses))
+    found = lines.select(*KEYS, "line_no", F.explode(spelled).alias("indicator"))
+    wanted = indicators.select("case_id", "indicator").distinct()
+    return join_small(found, wanted, ["case_id", "indicator"], spread=["file", "line_no"])
 
 
 def _refs(numbers: Column) -> Column:

@@ -70,6 +70,9 @@ def coverage(outcomes: DataFrame) -> DataFrame:
     hollow = F.col("report.relevant") & (F.size("report.findings") == 0)
     return marked.groupBy("case_id").agg(
         F.count("*").alias("tasks"),
+        # Closer reads are later iterations; only the first pass counts as swept.
+        F.count_if(F.col("iteration") == 0).alias("slices_swept"),
+        (F.max("iteration") + 1).alias("iterations_used"),
         F.count_if(F.col("bucket") == "detailed").alias("detailed"),
         F.count_if(F.col("bucket") == "empty").alias("empty"),
         F.count_if(F.col("bucket") == "failed").alias("failed"),

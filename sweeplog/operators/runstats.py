@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplog.functions import problems as P
@@ -133,6 +133,22 @@ def illegal_transitions(log: DataFrame) -> DataFrame:
     )
 
 
+def final_states(log: DataFrame) -> DataFrame:
+    """Last state entered by each run, whether it is terminal, and whether an operator aborted the run."""
+    steps = transitions(log)
+    return steps.groupBy(RUN).agg(
+        F.max_by("to_state", "event_id").alias("final_state"),
+        F.bool_or(F.col("to_state").isin("ABORTING", "ABORTED_BY_OPERATOR")).alias("aborted_by_operator"),
+        F.count("*").alias("transitions"),
+    ).withColumn("terminal", F.col("final_state").isin(*TERMINAL_STATES))
+
+
+def truncated_calls(log: DataFrame) -> DataFrame:
+    """Calls whose reply was cut at the token limit, with the problem that names the cause."""
+    texts = P.truncation_problems(F.col("finish_reason"), F.col("usage.completion_tokens"))
+    return calls(log).select(RUN, "event_id", "task_id", F.explode(texts).alias("problem"))
+
+
 def parallelism(log: DataFrame) -> DataFrame:
     """Worker seconds over seconds spent collecting; null when nothing was collected."""
     worked = calls(log).filter(F.col("role") == WORKER).groupBy(RUN).agg(
@@ -193,6 +209,17 @@ def sample_spread(samples: DataFrame, keys: list[str], value: str = "value", dig
     )
 
 
+def history_rows(stats: DataFrame) -> DataFrame:
+    """What the estimate needs from stored run statistics."""
+    return stats.select(
+        RUN, "backend",
+        F.try_element_at("roles", F.lit(WORKER))["calls"].alias("worker_calls"),
+        F.col("work.slices").alias("slices"),
+        F.try_element_at("time.by_phase_s", F.lit(SWEEP_STATE)).alias("collecting_s"),
+        F.col("concurrency_configured").cast("double").alias("concurrency_configured"),
+    )
+
+
 def latest_run(history: DataFrame) -> DataFrame:
     """Newest run on a real backend that called its workers: one row, or none."""
     real = history.filter((F.col("backend") == REAL_BACKEND) & (F.col("worker_calls") > 0))
@@ -226,33 +253,53 @@ def estimate(workload: DataFrame, history: DataFrame, concurrency: int) -> DataF
     )
 
 
-def run_stats(log: DataFrame) -> DataFrame:
+def run_stats(log: DataFrame, *, inventory: DataFrame | None = None, metrics: DataFrame | None = None,
+              samples: DataFrame | None = None) -> DataFrame:
     """One row per run with nested structs for roles, phases, work and rejections.
 
-    The maps are bounded: roles of a run, 14 states, 8 reasons. The log is parsed once and written with the fields that
-    count.
+    Optional parts: `inventory` (see work_totals), `metrics` (see metric_delta) and `samples` (investigation_id, name,
+    value). The maps are bounded: roles of a run, 14 states, 8 reasons, the kinds of sample. The log is parsed once and
+    written with the fields that count.
     """
     log = materialize(log.select(*STATS_FIELDS), "run-log")
+
+    def as_map(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        return df.groupBy(RUN).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+
     by_role = role_counts(log).join(role_latency(log), [RUN, "role"], "left")
     role = F.struct(
         "calls", "retries", "errors",
         F.struct(F.col("count"), "median", "p95", "max", "total").alias("latency_s"),
         "prompt_tokens", "completion_tokens",
     )
-    roles = by_role.groupBy(RUN).agg(F.map_from_entries(F.collect_list(F.struct("role", role))).alias("roles"))
-    phases = phase_durations(log).groupBy(RUN).agg(
-        F.map_from_entries(F.collect_list(F.struct("state", "seconds"))).alias("by_phase_s")
-    )
-    reasons = rejection_reasons(log).groupBy(RUN).agg(
-        F.map_from_entries(F.collect_list(F.struct("reason", "reports"))).alias("rejection_reasons")
-    )
-    runs = log.select(RUN).distinct()
-    out = runs
-    for part in (roles, phases, parallelism(log), validations(log), reasons):
+    parts = [
+        as_map(by_role, "role", role, "roles"),
+        as_map(phase_durations(log), "state", F.col("seconds"), "by_phase_s"),
+        parallelism(log), validations(log), final_states(log),
+        as_map(rejection_reasons(log), "reason", F.col("reports"), "rejection_reasons"),
+    ]
+    work = ["validations", "rejections", "rejection_rate", "rejection_reasons"]
+    extra = []
+    if inventory is not None:
+        parts.append(work_totals(log, inventory))
+        work = ["files", "lines_swept", "slices", "llm_calls", *work]
+    if metrics is not None:
+        fields = ("requests", "prompt_tokens", "generation_tokens", "prefix_cache_hit_rate", "mean_e2e_latency_s",
+                  "mean_time_to_first_token_s")
+        parts.append(as_map(metric_delta(metrics), "role", F.struct(*fields), "server"))
+        extra.append("server")
+    if samples is not None:
+        parts.append(as_map(sample_spread(samples, [RUN, "name"]), "name", F.struct("mean", "peak", "min"), "machine"))
+        extra.append("machine")
+    out = log.select(RUN).distinct()
+    for part in parts:
         out = out.join(part, RUN, "left")
     return out.select(
         RUN,
+        F.col("final_state").alias("terminal_state"),
+        "aborted_by_operator",
         F.struct("by_phase_s", "effective_parallelism").alias("time"),
-        F.struct("validations", "rejections", "rejection_rate", "rejection_reasons").alias("work"),
+        F.struct(*work).alias("work"),
         "roles",
+        *extra,
     )

@@ -111,6 +111,30 @@ def test_estimate(spark, rows, concurrency, low, high):
     assert low < got.minutes < high
 
 
+STATS = {
+    "investigation_id": "run-1", "concurrency_configured": 8, "backend": "vllm", "time": {"by_phase_s": {"COLLECTING": 1880.0}},
+    "work": {"slices": 83}, "roles": {"grunt": {"calls": 136}},
+}
+
+
+def test_run_stats_with_all_parts(spark):
+    log = runlog.records(lines(spark, [
+        step(1, "2026-08-14T10:00:00.000+00:00", "COLLECTING"), step(2, "2026-08-14T10:00:30.000+00:00", "DONE"),
+        call(3, "grunt", 60_000.0), call(4, "commander", 1000.0),
+        {"event_id": 5, "investigation_id": "r", "kind": "grunt_validation", "payload": {"ok": False, "problems": ["x"]}},
+    ]))
+    inventory = spark.createDataFrame([("r", 10, 2)], "investigation_id string, line_count bigint, slice_count bigint")
+    samples = spark.createDataFrame([("r", "gpu_util", 10.0), ("r", "gpu_util", 30.0)], "investigation_id string, name string, value double")
+    metric = spark.createDataFrame([("r", "grunt", "after", "vllm:request_success_total", 9.0)],
+                                   "investigation_id string, role string, snapshot string, metric string, value double")
+    got = R.run_stats(log, inventory=inventory, metrics=metric, samples=samples).first()
+    assert (got.terminal_state, got.aborted_by_operator) == ("DONE", False)
+    assert got.time.by_phase_s == {"COLLECTING": 30.0} and got.time.effective_parallelism == 2.0
+    assert (got.work.files, got.work.lines_swept, got.work.slices, got.work.llm_calls) == (1, 10, 2, 2)
+    assert got.work.rejection_reasons == {"other": 1} and got.roles["grunt"].latency_s.total == 60.0
+    assert got.server["grunt"].requests == 9 and got.machine["gpu_util"].mean == 20.0
+
+
 def test_append_only_log_and_history(spark, tmp_path):
     ddl = "investigation_id string, ts timestamp_ntz, sequence bigint, kind string"
     import datetime as dt
@@ -129,10 +153,13 @@ def test_append_only_log_and_history(spark, tmp_path):
     assert rows[0].ts == "2026-01-01T01:00:00.000Z"
 
     out = tmp_path / "out"
-    for name, body in (("run-1", {"investigation_id": "run-1", "backend": "vllm"}), ("run-2", None)):
+    for name, body in (("run-1", STATS), ("run-2", None)):
         (out / name).mkdir(parents=True)
         (out / name / "stats.json").write_text(json.dumps(body, indent=2) if body else "{broken")
-    assert [r.investigation_id for r in runlog.read_history(spark, f"{out}/*/stats.json").collect()] == ["run-1"]
+    history = runlog.read_history(spark, f"{out}/*/stats.json")
+    assert [r.investigation_id for r in history.collect()] == ["run-1"]
+    flat = R.latest_run(R.history_rows(history)).first()
+    assert (flat.investigation_id, flat.slices, flat.collecting_s, flat.concurrency_configured) == ("run-1", 83, 1880.0, 8.0)
 
     meta = spark.sql("SELECT 'r' AS run, named_struct('model', 'm', 'api_key', 'secret') AS worker")
     runlog.write_json(meta, str(tmp_path / "meta"))
