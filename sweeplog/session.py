@@ -34,13 +34,19 @@ def build_session(app: str = "sweeplog", cores: int | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Folders made for sessions without spark.checkpoint.dir, by application.
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's spark.checkpoint.dir, or a fresh one where unset (tests)."""
+    """Folder all executors see: the cluster's spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sweeplog-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="sweeplog-")
+    return _OWN_DIRS[app]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

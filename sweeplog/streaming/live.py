@@ -166,6 +166,8 @@ def run_available(df: DataFrame, mode: str = "append", name: str = "live") -> Da
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
+    # An empty first part, so that the table exists when nothing arrives.
+    spark.createDataFrame([], df.schema).write.parquet(f"{target}/batch_id=-1")
     query = (
         df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
