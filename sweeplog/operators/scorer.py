@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from sweeplog.functions import replies
 from sweeplog.operators import citations as C
 from sweeplog.operators import outcomes as O
 from sweeplog.operators.indicators import taskings
-from sweeplog.operators.slices import locate
+from sweeplog.operators.slices import slice_lines
 from sweeplog.session import materialize
 
 # (lines with ref and text, task fields, problems of the attempt before) -> reply text, or a dict with reply,
@@ -24,31 +24,35 @@ Scorer = Callable[[pd.DataFrame, dict, list[str]], "str | dict"]
 _ANSWER = "case_id string, slice_id string, reply string, finish_reason string, completion_tokens bigint, error string"
 
 
-def score(lines: DataFrame, tasks: DataFrame, scorer: Scorer, concurrency: int | None = None) -> DataFrame:
-    """One answer per task. A slice is bounded by its token budget, so a group is small.
+def score(shown: DataFrame, scorer: Scorer, concurrency: int | None = None) -> DataFrame:
+    """One answer per task. `shown` has one row per task: its fields, `refs` and `texts` of its lines, and `feedback`.
 
-    `lines`: case_id, slice_id, line_no, ref, text. `tasks`: one row per slice with `feedback array<string>`.
-    An exception of the scorer becomes an answer with `error`. `concurrency` bounds the tasks that run at once.
+    A slice is bounded by its token budget, so a row is small. An exception of the scorer becomes an answer with `error`.
+    `concurrency` bounds the tasks that run at once.
     """
-    keys = ["case_id", "slice_id"]
 
-    def answer(rows: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
-        if task.empty:
-            return pd.DataFrame(columns=["case_id", "slice_id", "reply", "finish_reason", "completion_tokens", "error"])
-        fields = task.iloc[0].to_dict()
-        feedback = list(fields.pop("feedback"))
-        out = {"case_id": fields["case_id"], "slice_id": fields["slice_id"], "reply": None, "finish_reason": None,
-               "completion_tokens": None, "error": None}
+    def answer(refs, texts, fields: dict, feedback: list[str]) -> tuple:
         try:
-            given = scorer(rows.sort_values("line_no")[["ref", "text"]].reset_index(drop=True), fields, feedback)
-            out.update({"reply": given, "finish_reason": "stop"} if isinstance(given, str) else given)
+            given = scorer(pd.DataFrame({"ref": refs, "text": texts}), fields, feedback)
         except Exception as exc:  # noqa: BLE001 - a failing reader is a row, not a failed job
-            out["error"] = f"{type(exc).__name__}: {exc}"
-        return pd.DataFrame([out]).astype({"completion_tokens": "Int64"})
-
-    if concurrency:
-        lines, tasks = lines.repartition(concurrency, *keys), tasks.repartition(concurrency, *keys)
-    return lines.groupBy(*keys).cogroup(tasks.groupBy(*keys)).applyInPandas(answer, _ANSWER)
+            return None, None, None, f"{type(exc).__name__}: {exc}"
+        if isinstance(given, str):
+            return given, "stop", None, None
+        return given["reply"], given.get("finish_reason"), given.get("completion_tokens"), None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            plain = batch.drop(columns=["refs", "texts", "feedback"]).to_dict("records")
+            rows = [
+                (task["case_id"], task["slice_id"], *answer(list(refs), list(texts), task, list(feedback)))
+                for task, refs, texts, feedback in zip(plain, batch["refs"], batch["texts"], batch["feedback"])
+            ]
+            yield pd.DataFrame(
+                rows, columns=["case_id", "slice_id", "reply", "finish_reason", "completion_tokens", "error"]
+            ).astype({"completion_tokens": "Int64"})
+
+    placed = shown.repartition(concurrency, "case_id", "slice_id") if concurrency else shown
+    return placed.mapInPandas(run, _ANSWER)
 
 
 def judge(answers: DataFrame, slices: DataFrame, *rules) -> DataFrame:
@@ -73,18 +77,28 @@ def sweep_with_scorer(lines: DataFrame, slices: DataFrame, directive: DataFrame,
     Each round scores the open tasks and writes the answers. Rejected ones go to the next round with their problems;
     a reader that raises is not asked again. The number of rounds is fixed by `max_retries`.
     """
-    from sweeplog.functions.lines import line_ref
+    keys = ["case_id", "slice_id"]
 
-    placed = locate(lines.select("case_id", "file", "line_no", "text"), slices, budget=budget, columns=("slice_id",))
-    shown = placed.select(
-        "case_id", "slice_id", "line_no", line_ref(F.col("file"), F.col("line_no")).alias("ref"), "text"
-    )
+    def with_lines(open_tasks: DataFrame) -> DataFrame:
+        # Only slices that are still open meet the lines.
+        wanted = slices.join(open_tasks.select(*keys), keys, "left_semi")
+        contents = slice_lines(lines, wanted, budget=budget).select(
+            *keys,
+            F.transform("lines", lambda r: r["ref"]).alias("refs"),
+            F.transform("lines", lambda r: r["text"]).alias("texts"),
+        )
+        none = F.array().cast("array<string>")
+        return open_tasks.join(contents, keys, "left").withColumn("refs", F.coalesce("refs", none)).withColumn(
+            "texts", F.coalesce("texts", none)
+        )
+
+    slices = materialize(slices, "slices")
     tasks = materialize(taskings(slices, directive), "taskings")
     open_tasks = tasks.withColumn("feedback", F.array().cast("array<string>"))
     settled = []
     for attempt in range(1, max_retries + 2):
         answers = materialize(
-            judge(score(shown, open_tasks, scorer, concurrency), slices, *rules).withColumn(
+            judge(score(with_lines(open_tasks), scorer, concurrency), slices, *rules).withColumn(
                 "attempts", F.lit(attempt).cast("bigint")
             ),
             f"answers-{attempt}",

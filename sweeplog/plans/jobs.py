@@ -13,6 +13,7 @@ from sweeplog.operators import drilldown as D
 from sweeplog.operators import indicators as I
 from sweeplog.operators import outcomes as O
 from sweeplog.operators import slices as S
+from sweeplog.session import materialize
 
 
 def case_preview(inventory: DataFrame) -> DataFrame:
@@ -41,8 +42,10 @@ def slice_case_logs(lines: DataFrame, files: DataFrame | None = None, **sizing)
 def sweep(lines: DataFrame, slices: DataFrame, directive: DataFrame, *, budget: int) -> DataFrame:
     """Outcome of every task: each slice of every case is read against its directive by literal match.
 
-    Matching runs on the lines where they lie; only hits meet the slices.
+    Matching runs on the lines where they lie; only hits meet the slices. Directives and slices are written once, as
+    several steps read them.
     """
+    directive, slices = materialize(directive, "directives"), materialize(slices, "slices")
     hits = I.indicator_hits(lines, directive)
     found = I.findings(hits, slices, budget=budget)
     answered = I.reports(I.taskings(slices, directive), found)
