@@ -77,7 +77,7 @@ def event_text() -> Column:
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their place in the user's log file; every third user's file opens with two header lines."""
     events = table(spark, sf_dir, "events")
-    bucketed = ordered.with_bucket(events, ["user_id"], "ts")
+    bucketed = ordered.with_bucket(events, ["user_id"], "ts", stored=True)
     placed = ordered.with_position(bucketed, ["user_id"], ["ts", "event_id"], "_position").drop("_bucket")
     shift = F.when(F.col("user_id") % 3 == 0, F.lit(len(EVENT_HEADER))).otherwise(F.lit(0))
     return placed.select(

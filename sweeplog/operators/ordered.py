@@ -41,9 +41,12 @@ def bucket_width(df: DataFrame, keys: list[str], ts: str, target_rows: int = TAR
     return WIDTHS[-1]
 
 
-def with_bucket(df: DataFrame, keys: list[str], ts: str, width: int | None = None) -> DataFrame:
-    """Rows with their time bucket, as a written table: the steps below read it several times, its source once."""
-    rows = materialize(df, "ordered-rows")
+def with_bucket(df: DataFrame, keys: list[str], ts: str, width: int | None = None, *, stored: bool = False) -> DataFrame:
+    """Rows with their time bucket, as a written table: the steps below read it several times, its source once.
+
+    `stored` says that the rows come straight from a table, which is then not copied.
+    """
+    rows = df if stored else materialize(df, "ordered-rows")
     return rows.withColumn("_bucket", _bucket(_seconds(ts), width or bucket_width(rows, keys, ts)))
 
 
