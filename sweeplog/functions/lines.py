@@ -38,9 +38,15 @@ def first_timestamp(text: Column) -> Column:
     return F.coalesce(_first(text, ISO_TS), _first(text, SYSLOG_TS), _first(text, EPOCH_TS))
 
 
+def utc_instant(text: Column) -> Column:
+    """Instant of an ISO text; without a zone it is UTC, whatever the session's zone is."""
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
 def typed_timestamp(raw: Column) -> Column:
-    """Instant of a raw stamp. Syslog stamps carry no year and give null."""
-    iso = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(raw, "Z$", ""), " ", "T"))
+    """Instant of a raw stamp, read as UTC. Syslog stamps carry no year and give null."""
+    iso = utc_instant(F.regexp_replace(raw, " ", "T"))
     epoch = F.timestamp_micros((raw.try_cast("decimal(20,6)") * F.lit(1_000_000)).cast("bigint"))
     return F.when(raw.rlike(r"^\d{4}-"), iso).when(raw.rlike(EPOCH_TS), epoch)
 

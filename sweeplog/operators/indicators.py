@@ -137,7 +137,7 @@ def within_window(lines: DataFrame, directive: DataFrame, *, keep_untimed: bool
     """Lines inside the directive's `start/end`; an empty window keeps all, lines without an instant are kept by default."""
     joined = with_directive(lines, directive, "time_window")
     ends = F.split("time_window", "/")
-    bound = lambda i: F.try_to_timestamp(F.get(ends, F.lit(i)))
+    bound = lambda i: L.utc_instant(F.get(ends, F.lit(i)))
     ts = L.typed_timestamp(L.first_timestamp(F.col("text")))
     keep = (F.col("time_window") == "") | ts.between(bound(0), bound(1))
     return joined.filter(F.coalesce(keep, F.lit(keep_untimed))).drop("time_window")

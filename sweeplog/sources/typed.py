@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplog.functions.lines import MAX_HEADER_LINES
+from sweeplog.functions.lines import MAX_HEADER_LINES, utc_instant
 from sweeplog.session import join_small
 
 KEYS = ["case_id", "file"]
@@ -86,6 +86,6 @@ def leases(lines: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("text", LEASE, i)
     return lines.filter(F.col("text").rlike(LEASE)).select(
         *KEYS, "line_no",
-        F.try_to_timestamp(part(1)).alias("ts"), part(2).alias("action"), part(3).alias("ip"), part(4).alias("mac"),
+        utc_instant(part(1)).alias("ts"), part(2).alias("action"), part(3).alias("ip"), part(4).alias("mac"),
         part(5).alias("host"), part(6).try_cast("bigint").alias("lease_s"),
     )
