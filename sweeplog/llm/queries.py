@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sweeplog.llm.frames import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,3 +31,22 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sweeplog.llm.quality_rules import judge
 
     return judge(documents(spark, sf_dir))
+
+
+@register("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm import language_id as op
+
+    docs = documents(spark, sf_dir)
+    model = op.fit(docs, fold(F.col("doc_id"), 4) != 2)
+    found = op.predict(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@register("op5_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm import quality_classifier as op
+
+    docs = documents(spark, sf_dir)
+    model = op.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 4) != 2)
+    return op.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
