@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from sweeplog.llm.frames import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The id that ends a document in the packing and file queries.
+END_ID = 2
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -50,3 +54,24 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = op.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 4) != 2)
     return op.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@register("op3_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
+@register("op4_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.byte_bpe import round_trip_digests
+
+    return round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op7_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.token_files import token_digests, write_tokens
+
+    return token_digests(write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_ID))
