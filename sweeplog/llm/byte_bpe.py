@@ -63,14 +63,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+# Opened vocabularies by file and pattern, for all tasks of a process.
+_OPEN: dict[tuple[str, str], RelationalBpe] = {}
+
+
 class RelationalBpe:
     """The vocabulary and its merge table in a database of the task's own process."""
 
     def __init__(self, path: str, pattern: str):
         self.path, self.pattern, self._con = path, pattern, None
+        self.known = tb.Remembered()
 
-    def __getstate__(self):
-        return {"path": self.path, "pattern": self.pattern, "_con": None}
+    @staticmethod
+    def opened(path: str, pattern: str) -> RelationalBpe:
+        return _OPEN.setdefault((path, pattern), RelationalBpe(path, pattern))
 
     @property
     def con(self) -> duckdb.DuckDBPyConnection:
@@ -173,8 +179,12 @@ class RelationalBpe:
         return out
 
     def segment_ids(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each segment, from those of its distinct pieces."""
+        """Ids of each segment one after the other, and where each segment's begin (n + 1 values)."""
         self.con  # noqa: B018  opens the database
+        return self.known.runs(vocabulary, self._encoded)
+
+    def _encoded(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments from those of their distinct pieces."""
         number: dict[str, int] = {}
         codes: list[int] = []
         sizes: list[int] = []
@@ -192,9 +202,9 @@ class RelationalBpe:
 def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids of each row."""
     rows = id_and_text(docs, id_col, text_col)
-    bpe = RelationalBpe(ranks, pattern)
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = RelationalBpe.opened(ranks, pattern)
         for block in tb.blocks(batches, "text"):
             cut = tb.segments(*tb.text_bytes(block.column("text")))
             flat, at = bpe.segment_ids(cut.vocabulary)
@@ -208,9 +218,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
 def decode(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, bytes of each row; null ids are none. An id that the vocabulary lacks gives no bytes."""
     rows = encoded.selectExpr(f"`{id_col}` AS doc_id", f"coalesce(`{ids_col}`, array()) AS ids")
-    bpe = RelationalBpe(ranks, pattern)
 
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = RelationalBpe.opened(ranks, pattern)
         for batch in batches:
             lists = batch.column("ids")
             at = lists.offsets.to_numpy().astype(np.int64)
@@ -226,9 +236,9 @@ def round_trip_digests(docs: DataFrame, ranks: str, pattern: str, *, id_col: str
     The ids of a segment are decoded once for all its places in a block; a text's bytes are those of its segments in order.
     """
     rows = id_and_text(docs, id_col, text_col)
-    bpe = RelationalBpe(ranks, pattern)
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = RelationalBpe.opened(ranks, pattern)
         for block in tb.blocks(batches, "text"):
             cut = tb.segments(*tb.text_bytes(block.column("text")))
             flat, at = bpe.segment_ids(cut.vocabulary)

@@ -32,11 +32,15 @@ CAPACITY = 4096
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", bare: bool = False,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens (and ids, if asked for) of each piece: full pieces, then the rest."""
+    """doc_id, start, length, ids_crc32, doc_tokens (and ids, if asked for) of each piece: full pieces, then the rest.
+
+    bare: the vocabulary drops white space and case, so that words can be encoded by themselves, in lower case.
+    """
     rows = id_and_text(docs, id_col, text_col)
-    encoder = SubwordEncoder(tokenizer, end_id)
+    encoder = SubwordEncoder(tokenizer, end_id, bare=bare)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text"):
@@ -175,10 +179,11 @@ def place_pieces(pieces: DataFrame, by: list[str], *, capacity: int = CAPACITY)
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", bare: bool = False,
+    with_ids: bool = False,
 ) -> DataFrame:
     """The pieces of all documents with their places; with_ids: also the ids themselves."""
-    pieces = materialize(token_pieces(docs, tokenizer, end_id, capacity=capacity, id_col=id_col, text_col=text_col, with_ids=with_ids), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, end_id, capacity=capacity, id_col=id_col, text_col=text_col, bare=bare, with_ids=with_ids), "pieces")
     return place_pieces(pieces, ["doc_id", "start", "ids_crc32"], capacity=capacity)
 
 

@@ -60,7 +60,7 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sweeplog.llm.packing import pack_documents
 
-    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), END_ID, bare=True)
 
 
 @register("op4_byte_bpe")
@@ -75,3 +75,18 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sweeplog.llm.token_files import token_digests, write_tokens
 
     return token_digests(write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_ID))
+
+
+@register("op9_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.license_scan import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+@register("op8_lm_score")
+def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.lm_score import score
+
+    found = score(documents(spark, sf_dir), fold(F.col("doc_id"), 5) != 1)
+    return found.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False)))

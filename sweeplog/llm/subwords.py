@@ -1,8 +1,8 @@
-"""Ids of whole texts by the tokenizers library, encoding each distinct segment of a block once.
+"""Ids of whole texts by the tokenizers library, encoding each distinct segment once per process.
 
-A segment begins at a space after a character that is not white space (`textblocks.segments`); no match of the vocabularies' split
-patterns and no step of their normalizers reaches across such a place, so a text's ids are those of its segments one after the
-other. Invented or rare words cost as much as before; common ones are encoded once per block.
+Texts are cut where no match of the vocabularies' split patterns and no step of their normalizers reaches across
+(`textblocks.segments`), so a text's ids are those of its segments one after the other. Rare words cost as much as before; common ones
+are encoded once.
 """
 
 from __future__ import annotations
@@ -20,26 +20,31 @@ BATCH = 20_000
 IDS = 1 << 20
 
 
-class SubwordEncoder:
-    """The vocabulary file is read once by each task that encodes."""
+# By vocabulary file, for all tasks of a process: the library's tokenizer and what it made of segments.
+_OPEN: dict[str, tuple] = {}
 
-    def __init__(self, path: str, end_id: int | None = None):
-        self.path, self.end_id, self._library = path, end_id, None
 
-    def __getstate__(self):
-        return {"path": self.path, "end_id": self.end_id, "_library": None}
+class SubwordEncoder:
+    """bare: the vocabulary drops white space and case."""
 
-    @property
-    def library(self):
-        if self._library is None:
+    def __init__(self, path: str, end_id: int | None = None, *, bare: bool = False):
+        self.path, self.end_id, self.bare = path, end_id, bare
+
+    def _open(self) -> tuple:
+        if self.path not in _OPEN:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
             from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_file(self.path)
-            self._library.encode_special_tokens = True
-            self._library.no_padding()
-            self._library.no_truncation()
-        return self._library
+            library = Tokenizer.from_file(self.path)
+            library.encode_special_tokens = True
+            library.no_padding()
+            library.no_truncation()
+            _OPEN[self.path] = library, tb.Remembered()
+        return _OPEN[self.path]
+
+    @property
+    def library(self):
+        return self._open()[0]
 
     def segment_ids(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each segment one after the other, and where each segment's begin (n + 1 values)."""
@@ -50,12 +55,13 @@ class SubwordEncoder:
                 ids = one.ids
                 sizes.append(len(ids))
                 found += ids
-        return np.array(found, dtype=np.uint32), np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
+        return np.array(found, dtype=np.int64), np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Runs of texts: the index of the first, their ids one after the other (with the end id, if any), and the n + 1 offsets."""
-        cut = tb.segments(*tb.text_bytes(texts))
-        flat, at = self.segment_ids(cut.vocabulary)
+        cut = (tb.bare_segments if self.bare else tb.segments)(*tb.text_bytes(texts))
+        flat, at = self._open()[1].runs(cut.vocabulary, self.segment_ids)
+        flat = flat.astype(np.uint32)
         sizes = tb.weighted_sums(cut, np.diff(at))
         total = np.concatenate([[0], np.cumsum(sizes)])
         end, first = int(self.end_id is not None), 0

@@ -24,6 +24,12 @@ NOT_SPACE = ~_SPACES
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = True
+_GRAPHIC = np.zeros(256, dtype=bool)
+_GRAPHIC[0x21:0x7F] = True
+_SIGNS = _GRAPHIC & ~ALNUM
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -201,36 +207,50 @@ def weighted_sums(words: Words, each: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Texts cut before each space that follows a character that is not white space.
-
-    A split pattern whose matches never hold white space after another character, as those of the byte-level and word
-    vocabularies, has no match across such a cut, so a text's ids are those of its segments one after the other. After
-    characters of three bytes that start with E1, E2 or E3, among which the wide spaces lie, texts are not cut.
+    """Texts cut where no match of the vocabularies' split patterns reaches across, so that a text's ids are those of its segments.
+
+    The patterns' matches hold white space only before other characters, and never letters before signs. Cuts lie
+    - before ASCII white space that follows another character,
+    - between an ASCII letter and an ASCII sign,
+    - after a line break that stands alone, before an ASCII character that is not white space.
+    What precedes a cut must surely be no white space: after characters of three bytes that begin with E1, E2 or E3, among which
+    the wide spaces lie, texts are not cut.
     """
     n = len(data)
     cut = np.zeros(n, dtype=bool)
     if n > 1:
-        place = np.flatnonzero(data[1:] == 0x20) + 1
+        place = np.flatnonzero(_SPACES[data[1:]]) + 1
         before = data[place - 1]
         plain = ~_SPACES[before] & ~((before >= 0x1C) & (before <= 0x1F))
         high = before >= 0x80
         second = np.where(place >= 2, data[place - 2], 0)
         third = np.where(place >= 3, data[place - 3], 0)
         plain &= ~(high & (((second == 0xC2) & ((before == 0x85) | (before == 0xA0))) | ((third >= 0xE1) & (third <= 0xE3))))
-        cut[place[plain]] = True
-    inside = offsets[offsets < n]
-    cut[inside] = True
-    starts = np.flatnonzero(cut)
-    coded = binary_array(data, np.append(starts, n)).dictionary_encode() if n else pa.array([], pa.large_binary()).dictionary_encode()
-    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.searchsorted(starts, offsets), coded.dictionary, starts)
+        place = place[plain]
+        cut[place] = True
+        alone = place[(data[place] == 0x0A) & (place + 1 < n)] + 1
+        cut[alone[_GRAPHIC[data[alone]]]] = True
+        cut[1:] |= _LETTERS[data[:-1]] & _SIGNS[data[1:]]
+    cut[offsets[offsets < n]] = True
+    return _coded(data, offsets, np.flatnonzero(cut))
+
+
+def bare_segments(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Segments for vocabularies that drop white space and case: words in lower case, cut between an ASCII letter and an ASCII sign."""
+    data = lowered(data)
+    mask = NOT_SPACE[data]
+    starts, ends = spans(mask, offsets)
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    bare = data[mask]
+    cut = np.zeros(len(bare), dtype=bool)
+    cut[1:] = _LETTERS[bare[:-1]] & _SIGNS[bare[1:]]
+    cut[at[:-1]] = True
+    return _coded(bare, at[np.searchsorted(starts, offsets)], np.flatnonzero(cut))
 
 
-def flattened(lists: list, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Lists one after the other, and their n + 1 offsets."""
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.fromiter((x for one in lists for x in one), dtype=dtype, count=int(at[-1]))
-    return out, at
+def _coded(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> Words:
+    coded = binary_array(data, np.append(starts, len(data)) if len(starts) else np.zeros(1, np.int64)).dictionary_encode()
+    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.searchsorted(starts, offsets), coded.dictionary, starts)
 
 
 def gathered(values: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,3 +261,45 @@ def gathered(values: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.
         return values[:0], to
     index = np.arange(to[-1]) + np.repeat(at[codes] - to[:-1], sizes)
     return values[index], to
+
+
+class Remembered:
+    """What a function made of byte strings: runs of numbers, kept for the strings used last, `limit` of them at most.
+
+    Strings are told apart by 128 bits of their hash. A task's process is used again by later tasks, so common words are worked
+    on once per process; nothing depends on what is remembered but time.
+    """
+
+    def __init__(self, limit: int = 1 << 20):
+        self.limit, self.turn = limit, 0
+        self.high = self.low = np.zeros(0, np.uint64)
+        self.used = np.zeros(0, np.int32)
+        self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def runs(self, values: pa.Array, make) -> tuple[np.ndarray, np.ndarray]:
+        """make(values) for all values (runs one after the other, and n + 1 offsets), called for those not known."""
+        digest = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(v) for v in values.to_pylist()]), ">u8").astype(np.uint64).reshape(-1, 2)
+        high, low = both[:, 0], both[:, 1]
+        place = np.minimum(np.searchsorted(self.high, high), max(len(self.high) - 1, 0))
+        known = (self.high[place] == high) & (self.low[place] == low) if len(self.high) else np.zeros(len(high), dtype=bool)
+        self.turn += 1
+        self.used[place[known]] = self.turn
+        new = np.flatnonzero(~known)
+        if len(new):
+            flat, at = make(values.take(pa.array(new)))
+            order = np.argsort(np.concatenate([self.high, high[new]]), kind="stable")
+            joined = np.concatenate([self.flat, flat]), np.concatenate([self.at, self.at[-1] + at[1:]])
+            self.flat, self.at = gathered(*joined, order)
+            self.high, self.low = np.concatenate([self.high, high[new]])[order], np.concatenate([self.low, low[new]])[order]
+            self.used = np.concatenate([self.used, np.full(len(new), self.turn, np.int32)])[order]
+            place = np.searchsorted(self.high, high)
+            # equal first halves are next to each other
+            while (other := self.low[place] != low).any():
+                place[other] += 1
+        out = gathered(self.flat, self.at, place)
+        if len(self.high) > self.limit:
+            last = np.sort(np.argsort(self.used, kind="stable")[-self.limit // 2 :])
+            self.flat, self.at = gathered(self.flat, self.at, last)
+            self.high, self.low, self.used = self.high[last], self.low[last], self.used[last]
+        return out
