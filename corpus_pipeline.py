@@ -6,9 +6,10 @@ but the last return rows of `documents` with all their columns.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sweeplog.llm import language_id, quality_rules
+from sweeplog.llm import language_id, minhash_dedup, packing, quality_rules
 from sweeplog.llm.frames import fold
 from sweeplog.session import materialize
 
@@ -26,7 +27,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, language_id.fit(docs, fold(docs["doc_id"], 4) != 2))
 
 
-STAGES = [("quality rules", rules), ("language ID", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 0.8 or more of their five-word shingles."""
+    return minhash_dedup.keep_first(docs, size=5, threshold=80)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document's ids with its place in a sequence of 4096."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2, bare=True)
+
+
+STAGES = [("quality rules", rules), ("language ID", language), ("MinHash near-dedup", near_duplicates), ("packing", sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

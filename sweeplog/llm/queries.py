@@ -90,3 +90,17 @@ def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = score(documents(spark, sf_dir), fold(F.col("doc_id"), 5) != 1)
     return found.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False)))
+
+
+@register("op1_minhash_dedup")
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), size=2, threshold=80)
+
+
+@register("op2_embedding_dedup")
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
