@@ -14,13 +14,10 @@ from sweeplog.plans import jobs
 DOC_BUDGET = 500
 EVENT_BUDGET = 900
 
-ISO = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?\b"
-SYSLOG = r"\b[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\b"
-EPOCH = r"^\d{10}\.\d{3,6}\b"
 
 
 def raw_stamp(column: str) -> str:
-    parts = ", ".join(f"nullif(regexp_extract({column}, '{p}'), '')" for p in (ISO, SYSLOG, EPOCH))
+    parts = ", ".join(f"nullif(regexp_extract({column}, '{p}'), '')" for p in (L.ISO_TS, L.SYSLOG_TS, L.EPOCH_TS))
     return f"coalesce({parts})"
 
 

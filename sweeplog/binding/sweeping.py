@@ -18,8 +18,7 @@ from sweeplog.operators import outcomes as O
 from sweeplog.operators import slices as SL
 from sweeplog.plans import jobs
 
-DOMAIN = r"\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|local)\b"
-IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+DOMAIN, IPV4 = L.DOMAIN, L.IPV4
 
 ALERTS = f"""
 alerts AS (

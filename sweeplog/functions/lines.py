@@ -95,8 +95,11 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit("'"), text, F.lit("'"))
 
 
-def text_indicators(text: Column, per_kind: int = 4) -> Column:
-    """Distinct domains, then distinct IPv4 addresses, each in order of appearance and at most `per_kind`."""
-    domains = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(UNICODE + DOMAIN), F.lit(0))), 1, per_kind)
-    addresses = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(UNICODE + IPV4), F.lit(0))), 1, per_kind)
-    return F.concat(domains, addresses)
+def text_indicators(text: Column, per_kind: int | None = 4) -> Column:
+    """Distinct domains, then distinct IPv4 addresses, each in order of appearance and at most `per_kind` (None: all)."""
+
+    def found(pattern: str) -> Column:
+        named = F.array_distinct(F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(0)))
+        return named if per_kind is None else F.slice(named, 1, per_kind)
+
+    return F.concat(found(DOMAIN), found(IPV4))

@@ -29,11 +29,14 @@ def choose(outcomes: DataFrame, *, max_drilldowns: int = 2, max_tasks: int = MAX
     )
 
 
-def taskings(chosen: DataFrame, slices: DataFrame) -> DataFrame:
-    """Plan rows joined to the slices they name; rows that name no slice drop out (see plan_problems)."""
+def taskings(chosen: DataFrame, slices: DataFrame, max_tasks: int = MAX_TASKS) -> DataFrame:
+    """Plan rows joined to the slices they name; rows that name no slice drop out (see plan_problems).
+
+    `max_tasks` is that of `choose`: tasks of a round are numbered from 0.
+    """
     place = slices.select("case_id", "slice_id", "start_line", "end_line")
     return chosen.join(place, ["case_id", "slice_id"]).select(
-        F.format_string("%s/i%d-t%d", "case_id", "iteration", (F.col("rank") - 1) % MAX_TASKS).alias("task_id"),
+        F.format_string("%s/i%d-t%d", "case_id", "iteration", (F.col("rank") - 1) % max_tasks).alias("task_id"),
         "case_id", "iteration", "slice_id", "file", "window_index", "start_line", "end_line",
         F.format_string("Re-read %s closely and report the detail behind the aggregate.", "slice_id").alias("instruction"),
         F.lit("Confirm the pattern that the sweep flagged.").alias("commander_intent"),

@@ -13,10 +13,13 @@ from sweeplog.session import join_small
 
 
 def directives(alerts: DataFrame, *, relevance: str = "any line that names one of the indicators",
-               irrelevant: list[str] | None = None, time_window: str = "") -> DataFrame:
-    """One directive per case: indicators are the alert's domains, then addresses, then entity values, each once."""
+               irrelevant: list[str] | None = None, time_window: str = "", per_kind: int | None = None) -> DataFrame:
+    """One directive per case: indicators are the alert's domains, then addresses, then entity values, each once.
+
+    `per_kind` limits the domains and addresses; by default all are taken.
+    """
     named = F.filter(F.transform("entities", lambda e: e["value"]), lambda v: v != "")
-    found = F.concat(L.text_indicators(render.fence_alert()), F.coalesce(named, F.array().cast("array<string>")))
+    found = F.concat(L.text_indicators(render.fence_alert(), per_kind), F.coalesce(named, F.array().cast("array<string>")))
     return alerts.select(
         "case_id",
         F.col("summary").alias("alert_restatement"),
@@ -42,6 +45,15 @@ def indicator_hits(lines: DataFrame, directive: DataFrame) -> DataFrame:
     )
 
 
+def hits_in_window(hits: DataFrame, directive: DataFrame) -> DataFrame:
+    """Hits whose stamp lies in their directive's `start/end`; hits without an instant stay, an empty window keeps all."""
+    joined = with_directive(hits, directive, "time_window")
+    ends = F.split("time_window", "/")
+    ts = L.typed_timestamp(F.col("raw_ts"))
+    keep = (F.col("time_window") == "") | ts.between(L.utc_instant(F.get(ends, F.lit(0))), L.utc_instant(F.get(ends, F.lit(1))))
+    return joined.filter(F.coalesce(keep, F.lit(True))).drop("time_window")
+
+
 def token_hits(lines: DataFrame, indicators: DataFrame) -> DataFrame:
     """Whole-token matches for long indicator lists (case_id, indicator): tokens are extracted, then equi-joined.
 

@@ -7,6 +7,8 @@ before it (a count, a total, its last row) is taken from a pre-aggregated table
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,17 @@ def with_bucket(df: DataFrame, keys: list[str], ts: str, width: int | None = Non
 
 
 def _with_edges(df: DataFrame, keys: list[str], aggregates: list[Column], derived: dict[str, Column]) -> DataFrame:
-    """Attach to each row what its bucket inherits from the earlier buckets of the key."""
+    """Attach to each row what its bucket inherits from the earlier buckets of the key.
+
+    Rows with a null key or time stay: nulls are a key and the first bucket of their own.
+    """
     edges = df.groupBy(*keys, "_bucket").agg(*aggregates)
     for name, column in derived.items():
         edges = edges.withColumn(name, column)
-    return df.join(edges.select(*keys, "_bucket", *derived), [*keys, "_bucket"])
+    by = [*keys, "_bucket"]
+    named = edges.select(*[F.col(k).alias(f"_edge_{i}") for i, k in enumerate(by)], *derived)
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_edge_{i}")) for i, k in enumerate(by)])
+    return df.join(named, same).drop(*[f"_edge_{i}" for i in range(len(by))])
 
 
 def _earlier(keys: list[str]) -> Window:

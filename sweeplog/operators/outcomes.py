@@ -18,9 +18,12 @@ def settle(tasks: DataFrame, answers: DataFrame, *, missing: str = "timeout",
            missing_detail: str = "no answer was collected", compat: bool = False) -> DataFrame:
     """One outcome per task. `answers` has task_id, attempts, report, problems; finished work is always kept.
 
-    An answer with problems is a failure with its reason; a task without an answer fails as `missing`.
+    An answer with problems is a failure with its reason; a task without an answer fails as `missing`. An answer row
+    without attempts may carry a `reason` (timeout, internal, aborted, ...) that says why its task has none.
     """
-    joined = tasks.select(*_TASK).join(answers.select("task_id", "attempts", "report", "problems"), "task_id", "left")
+    given = F.col("reason") if "reason" in answers.columns else F.lit(None).cast("string")
+    answers = answers.select("task_id", "attempts", "report", "problems", given.alias("_reason"))
+    joined = tasks.select(*_TASK).join(answers, "task_id", "left")
     answered = F.col("attempts").isNotNull()
     accepted = answered & (F.size("problems") == 0) & F.col("report").isNotNull()
     rejected = answered & ~accepted
@@ -28,7 +31,7 @@ def settle(tasks: DataFrame, answers: DataFrame, *, missing: str = "timeout",
         *_TASK,
         F.when(accepted, F.lit("report")).otherwise(F.lit("failure")).alias("outcome"),
         F.coalesce("attempts", F.lit(0)).cast("bigint").alias("attempts"),
-        F.when(rejected, P.failure_reason(F.col("problems"), compat)).when(~answered, F.lit(missing)).alias("reason"),
+        F.when(rejected, P.failure_reason(F.col("problems"), compat)).when(~answered, F.coalesce("_reason", F.lit(missing))).alias("reason"),
         F.when(rejected, F.format_string("report rejected after %d attempt(s)", "attempts"))
         .when(~answered, F.lit(missing_detail))
         .alias("detail"),

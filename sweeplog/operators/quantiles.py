@@ -56,11 +56,18 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column
     )
 
 
-def latency_spread(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
+def exact_total(value: str) -> Column:
+    """Sum of doubles as decimals of 18 places, which does not depend on row order; a plain sum where one does not fit."""
+    fitting = F.col(value).try_cast("decimal(38,18)")
+    plain = F.sum(value).cast("double")
+    return F.when(F.count(value) == F.count(fitting), F.coalesce(F.try_sum(fitting).cast("double"), plain)).otherwise(plain)
+
+
+def latency_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, median, p95, max and total per key.
 
     p95 is the value at 0-based position min(n-1, floor(0.95 n)), which differs from a standard percentile when
-    0.95 n is whole. Totals add decimals with `digits` places, so the result does not depend on row order.
+    0.95 n is whole. Totals do not depend on row order.
     """
     df = materialize(df.select(*keys, value), "values")
     n = F.col("n")
@@ -74,7 +81,7 @@ def latency_spread(df: DataFrame, keys: list[str], value: str, digits: int = 2)
     )
     totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.max(value).alias("max"),
-        F.sum(F.col(value).cast(f"decimal(38,{digits})")).cast("double").alias("total"),
+        exact_total(value).alias("total"),
     )
     return ranks.join(totals, keys).select(
         *keys,

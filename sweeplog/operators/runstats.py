@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sweeplog.functions import problems as P
 from sweeplog.operators.ordered import with_previous
-from sweeplog.operators.quantiles import latency_spread
+from sweeplog.operators.quantiles import exact_total, latency_spread
 from sweeplog.session import materialize
 
 RUN = "investigation_id"
@@ -66,13 +66,13 @@ def role_counts(log: DataFrame) -> DataFrame:
 
 
 def role_latency(log: DataFrame) -> DataFrame:
-    return latency_spread(calls(log).select(RUN, "role", "latency_s"), [RUN, "role"], "latency_s", digits=5)
+    return latency_spread(calls(log).select(RUN, "role", "latency_s"), [RUN, "role"], "latency_s")
 
 
 def truncation_split(log: DataFrame) -> DataFrame:
     """Latency of calls cut at the token limit against the rest, per role over all runs."""
     marked = calls(log).withColumn("truncated", F.coalesce(F.col("finish_reason") == "length", F.lit(False)))
-    return latency_spread(marked.select("role", "truncated", "latency_s"), ["role", "truncated"], "latency_s", digits=5)
+    return latency_spread(marked.select("role", "truncated", "latency_s"), ["role", "truncated"], "latency_s")
 
 
 def final_attempts(log: DataFrame) -> DataFrame:
@@ -87,16 +87,17 @@ def final_attempts(log: DataFrame) -> DataFrame:
 
 
 def validations(log: DataFrame) -> DataFrame:
+    """Checked reports per run; one without a verdict counts as rejected."""
     checked = log.filter("kind = 'grunt_validation'")
     counts = checked.groupBy(RUN).agg(
-        F.count("*").alias("validations"), F.count_if(~F.col("payload.ok")).alias("rejections")
+        F.count("*").alias("validations"), F.count_if(~F.coalesce("payload.ok", F.lit(False))).alias("rejections")
     )
     return counts.withColumn("rejection_rate", F.try_divide(F.col("rejections"), F.col("validations")))
 
 
 def rejection_reasons(log: DataFrame) -> DataFrame:
     """Rejected reports per reason; a report counts once per distinct reason."""
-    rejected = log.filter("kind = 'grunt_validation' AND NOT payload.ok")
+    rejected = log.filter("kind = 'grunt_validation' AND NOT coalesce(payload.ok, false)")
     return (
         rejected.select(RUN, F.explode(P.rejection_reasons(F.col("payload.problems"))).alias("reason"))
         .groupBy(RUN, "reason").agg(F.count("*").alias("reports"))
@@ -124,9 +125,9 @@ def phase_durations(log: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(log: DataFrame) -> DataFrame:
-    """Transitions outside the legal table, counted per run and pair."""
+    """Transitions outside the legal table, counted per run and pair; one with a missing state is outside."""
     legal = [f"{a}>{b}" for a, targets in LEGAL_TRANSITIONS.items() for b in targets]
-    pair = F.concat("from_state", F.lit(">"), "to_state")
+    pair = F.concat_ws(">", F.coalesce("from_state", F.lit("")), F.coalesce("to_state", F.lit("")))
     return (
         transitions(log).filter(~pair.isin(*legal))
         .groupBy(RUN, "from_state", "to_state").agg(F.count("*").alias("occurrences"))
@@ -152,7 +153,7 @@ def truncated_calls(log: DataFrame) -> DataFrame:
 def parallelism(log: DataFrame) -> DataFrame:
     """Worker seconds over seconds spent collecting; null when nothing was collected."""
     worked = calls(log).filter(F.col("role") == WORKER).groupBy(RUN).agg(
-        F.sum(F.col("latency_s").cast("decimal(38,5)")).cast("double").alias("worker_s")
+        exact_total("latency_s").alias("worker_s")
     )
     collecting = phase_durations(log).filter(F.col("state") == SWEEP_STATE).select(RUN, F.col("seconds").alias("collecting_s"))
     return worked.join(collecting, RUN, "left").withColumn(
@@ -201,9 +202,9 @@ def metric_delta(samples: DataFrame) -> DataFrame:
     )
 
 
-def sample_spread(samples: DataFrame, keys: list[str], value: str = "value", digits: int = 6) -> DataFrame:
+def sample_spread(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, peak and minimum; keys without a value do not appear."""
-    total = F.sum(F.col(value).cast(f"decimal(38,{digits})")).cast("double")
+    total = exact_total(value)
     return samples.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("samples"), (total / F.count("*")).alias("mean"), F.max(value).alias("peak"), F.min(value).alias("min")
     )

@@ -27,18 +27,20 @@ _ANSWER = "case_id string, slice_id string, reply string, finish_reason string,
 def score(shown: DataFrame, scorer: Scorer, concurrency: int | None = None) -> DataFrame:
     """One answer per task. `shown` has one row per task: its fields, `refs` and `texts` of its lines, and `feedback`.
 
-    A slice is bounded by its token budget, so a row is small. An exception of the scorer becomes an answer with `error`.
+    A slice is bounded by its token budget, so a row is small. An exception of the scorer, or an answer of another form,
+    becomes an answer with `error`.
     `concurrency` bounds the tasks that run at once.
     """
 
     def answer(refs, texts, fields: dict, feedback: list[str]) -> tuple:
         try:
             given = scorer(pd.DataFrame({"ref": refs, "text": texts}), fields, feedback)
+            if isinstance(given, str):
+                return given, "stop", None, None
+            tokens = given.get("completion_tokens")
+            return given["reply"], given.get("finish_reason"), None if tokens is None else int(tokens), None
         except Exception as exc:  # noqa: BLE001 - a failing reader is a row, not a failed job
             return None, None, None, f"{type(exc).__name__}: {exc}"
-        if isinstance(given, str):
-            return given, "stop", None, None
-        return given["reply"], given.get("finish_reason"), given.get("completion_tokens"), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

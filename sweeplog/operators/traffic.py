@@ -86,14 +86,15 @@ def attribute_hosts(rows: DataFrame, leases: DataFrame, width: int | None = None
     """Host that held the address of each row: the latest lease at or before its time, if it had not run out.
 
     `rows`: ip, ts and an id column; `leases`: ip, ts, host, lease_s, line_no. Both are ordered together in time buckets
-    of the address, so a busy address spreads over its buckets.
+    of the address, so a busy address spreads over its buckets. Rows without an address or a time have no host; leases
+    without these say nothing.
     """
     ids = [c for c in rows.columns if c not in ("ip", "ts")]
     lease = F.struct(F.col("ts").alias("since"), "host", "lease_s")
     left = rows.withColumn("_lease", F.lit(None).cast("struct<since:timestamp,host:string,lease_s:bigint>")).withColumn(
         "_kind", F.lit(1)
     ).withColumn("_line", F.lit(0).cast("bigint"))
-    right = leases.select("ip", "ts", lease.alias("_lease"), F.lit(0).alias("_kind"), F.col("line_no").alias("_line"))
+    right = leases.filter("ip IS NOT NULL AND ts IS NOT NULL").select("ip", "ts", lease.alias("_lease"), F.lit(0).alias("_kind"), F.col("line_no").alias("_line"))
     both = left.unionByName(right, allowMissingColumns=True)
     bucketed = ordered.with_bucket(both, ["ip"], "ts", width)
     known = ordered.with_latest(bucketed, ["ip"], ["ts", "_kind", "_line"], "_lease", "_held").filter("_kind = 1")

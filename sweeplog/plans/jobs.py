@@ -43,10 +43,13 @@ def sweep(lines: DataFrame, slices: DataFrame, directive: DataFrame, *, budget:
     """Outcome of every task: each slice of every case is read against its directive by literal match.
 
     Matching runs on the lines where they lie; only hits meet the slices. Directives and slices are written once, as
-    several steps read them.
+    several steps read them. A time window leaves out hits with a stamp outside it. Phrases that are explicitly
+    irrelevant never hide a line with an indicator, so they leave literal matches as they are (see apply_exclusions).
     """
     directive, slices = materialize(directive, "directives"), materialize(slices, "slices")
     hits = I.indicator_hits(lines, directive)
+    if not directive.filter("time_window <> ''").isEmpty():
+        hits = I.hits_in_window(hits, directive)
     found = I.findings(hits, slices, budget=budget)
     answered = I.reports(I.taskings(slices, directive), found)
     return answered.select(
@@ -72,7 +75,7 @@ def collapse(outcomes: DataFrame) -> DataFrame:
 
 def drilldown(outcomes: DataFrame, slices: DataFrame, *, max_drilldowns: int = 2, max_tasks: int = D.MAX_TASKS) -> DataFrame:
     """Tasks of the next closer reads."""
-    return D.taskings(D.choose(outcomes, max_drilldowns=max_drilldowns, max_tasks=max_tasks), slices)
+    return D.taskings(D.choose(outcomes, max_drilldowns=max_drilldowns, max_tasks=max_tasks), slices, max_tasks)
 
 
 def scan_injection(lines: DataFrame) -> DataFrame:

@@ -69,6 +69,23 @@ def list_cases(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", "root").mapInPandas(run, LISTING)
 
 
+def case_folders(spark: SparkSession, parent: str) -> DataFrame:
+    """(case_id, root) of every folder in `parent`; names only, listed on the driver."""
+    from pyarrow import fs
+
+    system, folder = _open_folder(parent.rstrip("/"))
+    found = system.get_file_info(fs.FileSelector(folder))
+    rows = [(i.base_name, f"{parent.rstrip('/')}/{i.base_name}") for i in found if not i.is_file and not i.base_name.startswith((".", "_"))]
+    return spark.createDataFrame(sorted(rows), "case_id string, root string")
+
+
+def directly_in_logs(path: Column, parent: str) -> Column:
+    """Whether a file lies in `<parent>/<case>/logs` itself; the text reader also enters folders that its pattern names."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    depth = len([p for p in re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", parent).split("/") if p]) + 3
+    return (F.size(F.filter(F.split(bare, "/"), lambda p: p != "")) == depth) & path.rlike(rf"/{LOGS_DIR}/[^/]+$")
+
+
 def _path_part(path: Column, pattern: str) -> Column:
     """Decoded piece of a file path. `+` is a plain character in file names."""
     return F.url_decode(F.replace(F.regexp_extract(path, pattern, 1), F.lit("+"), F.lit("%2B")))
@@ -82,9 +99,10 @@ def _split_more(text: Column, python_splitlines: bool) -> Column:
     return F.transform(parts, lambda t, i: F.struct(t.alias("text"), ((i > 0) & (i == F.size(parts) - 1) & (t == "")).alias("tail")))
 
 
-def _spark_pieces(spark: SparkSession, pattern: str, python_splitlines: bool) -> DataFrame:
+def _spark_pieces(spark: SparkSession, parent: str, python_splitlines: bool) -> DataFrame:
     """Lines as the text reader gives them, with file, split start and an id that rises inside a split."""
-    raw = spark.read.text(pattern).select(
+    path = F.col("_metadata.file_path")
+    raw = spark.read.text(f"{parent}/*/{LOGS_DIR}/*").filter(directly_in_logs(path, parent)).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.explode(_split_more(F.make_valid_utf8("value"), python_splitlines)).alias("_l"),
@@ -176,14 +194,15 @@ def read_lines(spark: SparkSession, parent: str, listing: DataFrame | None = Non
                piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Numbered lines of every `<parent>/<case>/logs/*`: (case_id, file, line_no, text).
 
-    Files the text reader skips because their name starts with `_` are read from the listing. Undecodable bytes become
-    the replacement character. One corner differs from splitlines: an unusual separator directly before the newline
+    Files the text reader skips because their name starts with `_` are read from the listing, which is made here unless
+    it is given. Folders in `logs` are not entered. Undecodable bytes become the replacement character. One corner differs from splitlines: an unusual separator directly before the newline
     that ends a file gives no extra empty line.
     """
-    pieces = _spark_pieces(spark, f"{parent.rstrip('/')}/*/{LOGS_DIR}/*", python_splitlines)
-    if listing is not None:
-        skipped = listing.filter((F.col("kind") == "log") & F.startswith("file", F.lit("_")) & (F.col("size") > 0))
-        pieces = pieces.unionByName(_ranged_pieces(skipped, python_splitlines, piece_bytes))
+    pieces = _spark_pieces(spark, parent.rstrip("/"), python_splitlines)
+    if listing is None:
+        listing = list_cases(case_folders(spark, parent))
+    skipped = listing.filter((F.col("kind") == "log") & F.startswith("file", F.lit("_")) & (F.col("size") > 0))
+    pieces = pieces.unionByName(_ranged_pieces(skipped, python_splitlines, piece_bytes))
     return number_lines(materialize(pieces, "log-pieces"))
 
 

@@ -26,7 +26,7 @@ def parse_scrape(lines: DataFrame, keys: list[str], text: str = "text") -> DataF
     Values are added as decimals, so the sum does not depend on row order.
     """
     name = F.regexp_extract(text, r"^([^{ ]+)", 1)
-    value = F.regexp_extract(text, r" ([^ ]+)$", 1).try_cast("decimal(38,6)")
+    value = F.regexp_extract(text, r" ([^ ]+)$", 1).try_cast("decimal(38,12)")
     return (
         lines.select(*keys, name.alias("metric"), value.alias("value"))
         .filter(F.col("metric").isin(*COUNTERS) & F.col("value").isNotNull())

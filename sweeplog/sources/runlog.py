@@ -74,11 +74,16 @@ def number_events(events: DataFrame, previous: DataFrame | None = None, order: t
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append numbered, stamped events (investigation_id, event_id, ts, kind, ...) as JSON lines per run."""
+    """Append numbered, stamped events (investigation_id, event_id, ts, kind, ...) as JSON lines, a folder per run.
+
+    The run's id is also a field of each line, as the readers take it from there.
+    """
     stamped = events.withColumn(
         "ts", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     )
-    stamped.write.mode("append").partitionBy("investigation_id").json(path)
+    first = ["event_id", "investigation_id"]
+    named = stamped.select(*first, *[c for c in stamped.columns if c not in first], F.col("investigation_id").alias("run"))
+    named.write.mode("append").partitionBy("run").json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -93,12 +98,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, pattern: str) -> DataFrame:
-    """Run statistics written by earlier runs, one JSON document per file; unreadable ones are left out."""
-    return (
-        spark.read.schema(schemas.STATS_DDL + ", _corrupt_record string")
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(pattern)
-        .filter("_corrupt_record IS NULL AND investigation_id IS NOT NULL")
-        .drop("_corrupt_record")
-    )
+    """Run statistics written by earlier runs: a JSON document per file, or one per line as `write_json` gives them.
+
+    What cannot be read is left out.
+    """
+    ddl = StructType.fromDDL(schemas.STATS_DDL).simpleString().removeprefix("struct<").removesuffix(">")
+    whole = spark.read.text(pattern, wholetext=True).withColumn("_single", _one_object(F.col("value"), ddl))
+    parts = F.when(F.size("_single") == 1, F.array("value")).otherwise(F.split("value", r"\r?\n"))
+    documents = whole.select(F.explode(parts).alias("value")).select(_one_object(F.col("value"), ddl).alias("_r"))
+    return documents.filter(F.size("_r") == 1).select(F.col("_r")[0].alias("r")).select("r.*").filter("investigation_id IS NOT NULL")

@@ -16,16 +16,19 @@ from sweeplog.operators import indicators as I
 from sweeplog.operators import runstats as R
 from sweeplog.session import staging_path
 from sweeplog.sources import runlog
-from sweeplog.sources.casefiles import LOGS_DIR, _path_part
+from sweeplog.sources.casefiles import LOGS_DIR, _path_part, directly_in_logs
 
 CALL_WINDOW = "5 seconds"
 
 
 def read_log_stream(spark: SparkSession, parent: str, max_files: int = 1000) -> DataFrame:
-    """Lines of log files as they arrive under `<parent>/<case>/logs/`: (case_id, file, text)."""
+    """Lines of log files as they arrive under `<parent>/<case>/logs/`: (case_id, file, text).
+
+    Files whose name starts with `_` or `.` are not seen by the stream; the batch reader has them.
+    """
     raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(f"{parent.rstrip('/')}/*/{LOGS_DIR}/*")
     path = F.col("_metadata.file_path")
-    return raw.select(
+    return raw.filter(directly_in_logs(path, parent)).select(
         _path_part(path, rf"([^/]+)/{LOGS_DIR}/[^/]+$").alias("case_id"), _path_part(path, r"([^/]+)$").alias("file"),
         F.make_valid_utf8("value").alias("text"),
     )
@@ -60,7 +63,12 @@ def burst_sessions(flows: DataFrame, gap: str, delay: str = "1 minute") -> DataF
 
 
 def running_findings(lines: DataFrame, directive: DataFrame) -> DataFrame:
-    """Stream-static join: matches so far per case, file and indicator. The directive side is a plain table."""
+    """Stream-static join: matches so far per case, file and indicator. The directive side is a plain table.
+
+    A stream of log files carries no line numbers; first and last line are null then.
+    """
+    if "line_no" not in lines.columns:
+        lines = lines.withColumn("line_no", F.lit(None).cast("bigint"))
     named = F.filter("indicators", lambda i: F.contains(F.col("text"), i))
     joined = I.with_directive(lines, directive, "indicators")
     hits = joined.select("case_id", "file", "line_no", F.explode(named).alias("indicator"))
