@@ -46,8 +46,8 @@ NOTICES = (
 
 
 def allowed_errors(notice: str) -> int:
-    """One edit for every twelve characters, at most five."""
-    return min(5, len(notice) // 12)
+    """One edit for every ten characters, at most five."""
+    return min(5, len(notice) // 10)
 
 
 @dataclass

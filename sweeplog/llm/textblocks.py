@@ -166,7 +166,7 @@ def window_hashes(words: Words, size: int, each: np.ndarray) -> tuple[np.ndarray
         return out, np.zeros(0, bool)
     each = each[words.codes]
     with np.errstate(over="ignore"):
-        for k in range(size):
+        for k in range(min(size, n)):
             part = each[k:] if k else each
             out[: n - k] = out[: n - k] * np.uint64(0x9E3779B97F4A7C15) + part
     left = np.repeat(words.offsets[1:], words.counts) - np.arange(n)
