@@ -255,11 +255,11 @@ def estimate(workload: DataFrame, history: DataFrame, concurrency: int) -> DataF
 
 
 def run_stats(log: DataFrame, *, inventory: DataFrame | None = None, metrics: DataFrame | None = None,
-              samples: DataFrame | None = None) -> DataFrame:
+              samples: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """One row per run with nested structs for roles, phases, work and rejections.
 
-    Optional parts: `inventory` (see work_totals), `metrics` (see metric_delta) and `samples` (investigation_id, name,
-    value). The maps are bounded: roles of a run, 14 states, 8 reasons, the kinds of sample. The log is parsed once and
+    Optional parts: `inventory` (see work_totals), `metrics` (see metric_delta), `samples` (investigation_id, name,
+    value) and `runs` (investigation_id with backend, concurrency_configured, case: what the estimate of later runs needs). The maps are bounded: roles of a run, 14 states, 8 reasons, the kinds of sample. The log is parsed once and
     written with the fields that count.
     """
     log = materialize(log.select(*STATS_FIELDS), "run-log")
@@ -292,6 +292,9 @@ def run_stats(log: DataFrame, *, inventory: DataFrame | None = None, metrics: Da
     if samples is not None:
         parts.append(as_map(sample_spread(samples, [RUN, "name"]), "name", F.struct("mean", "peak", "min"), "machine"))
         extra.append("machine")
+    if runs is not None:
+        parts.append(runs.select(RUN, *[c for c in ("backend", "concurrency_configured", "case") if c in runs.columns]))
+        extra += parts[-1].columns[1:]
     out = log.select(RUN).distinct()
     for part in parts:
         out = out.join(part, RUN, "left")

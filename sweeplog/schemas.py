@@ -58,6 +58,7 @@ STATS_DDL = (
     "investigation_id string, concurrency_configured double, `case` string, backend string, terminal_state string, "
     "time struct<wall_clock_s:double,by_phase_s:map<string,double>,effective_parallelism:double>, "
     "work struct<files:bigint,lines_swept:bigint,slices:bigint,llm_calls:bigint,grunt_validations:bigint,"
-    "grunt_rejections:bigint,grunt_rejection_rate:double,rejection_reasons:map<string,bigint>>, "
+    "grunt_rejections:bigint,grunt_rejection_rate:double,validations:bigint,rejections:bigint,rejection_rate:double,"
+    "rejection_reasons:map<string,bigint>>, "
     "roles map<string,struct<calls:bigint,retries:bigint,errors:bigint,prompt_tokens:bigint,completion_tokens:bigint>>"
 )

@@ -38,11 +38,18 @@ def build_session(app: str = "sweeplog", cores: int | None = None, **conf: str)
 _OWN_DIRS: dict[str, str] = {}
 
 
+# Tables written for an application's jobs, until they are discarded.
+_STAGED: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """Folder all executors see: the cluster's spark.checkpoint.dir. In local mode a fresh one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="sweeplog-")
@@ -51,7 +58,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a table that two stages must read identically."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_staged(spark: SparkSession) -> int:
+    """Delete what this application's jobs have staged; to be called when their results are written. Says how many tables went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    gone = 0
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -123,3 +123,15 @@ def test_sweep_takes_a_window(spark):
     slices = jobs.slice_case_logs(lines, budget=900)["slices"]
     found = [f for r in jobs.sweep(lines, slices, directive, budget=900).collect() for f in r.report.findings]
     assert [(f.match_count, f.first_ref) for f in found] == [(1, "f:L3")]
+
+
+def test_staged_tables_are_discarded(spark):
+    from sweeplog.session import discard_staged, materialize
+
+    discard_staged(spark)
+    kept = materialize(spark.range(3), "staged")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert kept.count() == 3 and discard_staged(spark) == 1
+    import os
+
+    assert not os.path.exists(path)
