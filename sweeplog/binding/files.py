@@ -43,7 +43,7 @@ def alert_records(spark, sf_dir):
 
 @register("event_sink", """
 SELECT 'run-' || user_id AS investigation_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_id, event_type AS kind,
-       epoch_ms(ts) AS at_ms FROM events""")
+       epoch_us(date_trunc('milliseconds', ts)) // 1000 AS at_ms FROM events""")
 def event_sink(spark, sf_dir):
     events = V.table(spark, sf_dir, "events").select(
         F.concat(F.lit("run-"), "user_id").alias("investigation_id"), "ts", F.col("event_id").alias("sequence"), F.col("event_type").alias("kind")
