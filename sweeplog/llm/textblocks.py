@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 
 # Text bytes that a task holds at a time.
-BLOCK_BYTES = 16 * 1024 * 1024
+BLOCK_BYTES = 8 * 1024 * 1024
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -272,9 +272,10 @@ class Remembered:
 
     def __init__(self, limit: int = 1 << 20):
         self.limit, self.turn = limit, 0
-        self.high = self.low = np.zeros(0, np.uint64)
-        self.used = np.zeros(0, np.int32)
-        self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        # by the first half of the hash: its second half, when it was used last, and where its run lies in `flat`
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.used, self.size, self.start = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
     def runs(self, values: pa.Array, make) -> tuple[np.ndarray, np.ndarray]:
         """make(values) for all values (runs one after the other, and n + 1 offsets), called for those not known."""
@@ -287,19 +288,27 @@ class Remembered:
         self.used[place[known]] = self.turn
         new = np.flatnonzero(~known)
         if len(new):
+            new = new[np.argsort(high[new])]
             flat, at = make(values.take(pa.array(new)))
-            order = np.argsort(np.concatenate([self.high, high[new]]), kind="stable")
-            joined = np.concatenate([self.flat, flat]), np.concatenate([self.at, self.at[-1] + at[1:]])
-            self.flat, self.at = gathered(*joined, order)
-            self.high, self.low = np.concatenate([self.high, high[new]])[order], np.concatenate([self.low, low[new]])[order]
-            self.used = np.concatenate([self.used, np.full(len(new), self.turn, np.int32)])[order]
+            order = np.argsort(np.concatenate([self.high, high[new]]), kind="stable")  # two sorted runs are merged
+            more = (
+                ("high", high[new]), ("low", low[new]), ("used", np.full(len(new), self.turn, np.int32)),
+                ("size", np.diff(at).astype(np.int32)), ("start", at[:-1] + len(self.flat)),
+            )
+            for name, column in more:
+                setattr(self, name, np.concatenate([getattr(self, name), column])[order])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             place = np.searchsorted(self.high, high)
-            # equal first halves are next to each other
-            while (other := self.low[place] != low).any():
+            while (other := self.low[place] != low).any():  # equal first halves are next to each other
                 place[other] += 1
-        out = gathered(self.flat, self.at, place)
+        out = self._taken(place)
         if len(self.high) > self.limit:
-            last = np.sort(np.argsort(self.used, kind="stable")[-self.limit // 2 :])
-            self.flat, self.at = gathered(self.flat, self.at, last)
-            self.high, self.low, self.used = self.high[last], self.low[last], self.used[last]
+            last = np.sort(np.argsort(self.used, kind="stable")[-(self.limit // 2) :])
+            self.flat, at = self._taken(last)
+            self.high, self.low, self.used, self.size, self.start = self.high[last], self.low[last], self.used[last], self.size[last], at[:-1]
         return out
+
+    def _taken(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[place]
+        to = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        return self.flat[np.arange(to[-1]) + np.repeat(self.start[place] - to[:-1], sizes)], to
