@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sweeplog.llm import language_id, minhash_dedup, packing, quality_rules
-from sweeplog.llm.frames import fold
+from sweeplog.llm.frames import fold, small_batches
 from sweeplog.session import materialize
 
 # The rules and models of the stages are not expressible in SQL; tests/llm compares them with plain versions.
@@ -19,21 +19,25 @@ ORACLE_SQL = None
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.fit(docs, fold(docs["doc_id"], 4) != 2))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by 0.8 or more of their five-word shingles."""
+    small_batches(spark)
     return minhash_dedup.keep_first(docs, size=5, threshold=80)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document's ids with its place in a sequence of 4096."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2, bare=True)
 
 

@@ -7,6 +7,7 @@ word codes; work per distinct word is then done once for all its places.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -43,10 +44,21 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             if held and size + _text_bytes(part, text) > limit:
                 yield _joined(held)
                 held, size = [], 0
+                _give_back()
             held.append(part)
             size += _text_bytes(part, text)
     if held:
         yield _joined(held)
+        held.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Free memory goes back to the machine, as a task's process lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

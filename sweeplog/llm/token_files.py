@@ -55,7 +55,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 class FrameWriter:
     """Writes documents in the order given; a frame is closed when its tokens reach `frame_bytes`."""
 
-    def __init__(self, path: str, *, width: int = 4, frame_bytes: int = FRAME_BYTES, level: int = 3):
+    def __init__(self, path: str, *, width: int = 4, frame_bytes: int = FRAME_BYTES, level: int = 1):
         files, inner = _open(path)
         files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         self.out = files.open_output_stream(inner)
