@@ -17,6 +17,8 @@ from sweeplog.llm import textblocks as tb
 
 # Segments handed to the library at a time, and ids held at a time beyond the texts.
 BATCH = 20_000
+# Segments that are put into one text where that changes nothing.
+JOINED = 500
 IDS = 1 << 20
 
 
@@ -39,7 +41,13 @@ class SubwordEncoder:
             library.encode_special_tokens = True
             library.no_padding()
             library.no_truncation()
-            _OPEN[self.path] = library, tb.Remembered()
+            widths = None
+            if library.normalizer is None and type(library.pre_tokenizer).__name__ == "ByteLevel":
+                # each character of a byte-level token stands for a byte
+                widths = np.zeros(library.get_vocab_size(), np.int64)
+                for token, number in library.get_vocab().items():
+                    widths[number] = len(token)
+            _OPEN[self.path] = library, tb.Remembered(), widths
         return _OPEN[self.path]
 
     @property
@@ -48,6 +56,35 @@ class SubwordEncoder:
 
     def segment_ids(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each segment one after the other, and where each segment's begin (n + 1 values)."""
+        _, _, widths = self._open()
+        if widths is None:
+            return self._single_ids(vocabulary)
+        # Segments from a space to an ASCII character that is not white space can stand one after the other in one text.
+        joined = tb.between_space_and_sign(vocabulary)
+        index = [np.flatnonzero(joined), np.flatnonzero(~joined)]
+        parts = [self._joined_ids(vocabulary.take(pa.array(index[0])), widths), self._single_ids(vocabulary.take(pa.array(index[1])))]
+        size, start = np.empty(len(vocabulary), np.int64), np.empty(len(vocabulary), np.int64)
+        before = 0
+        for rows, (flat, at) in zip(index, parts, strict=True):
+            size[rows], start[rows] = np.diff(at), at[:-1] + before
+            before += len(flat)
+        to = np.concatenate([[0], np.cumsum(size)])
+        return np.concatenate([p[0] for p in parts])[np.arange(to[-1]) + np.repeat(start - to[:-1], size)], to
+
+    def _joined_ids(self, vocabulary: pa.Array, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Many segments in one text; the bytes that ids stand for tell where each segment's ids end."""
+        data, at = tb.text_bytes(vocabulary)
+        cuts = [*range(0, len(vocabulary), JOINED), len(vocabulary)]
+        texts = [data[at[a] : at[b]].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        found = [np.array(one.ids, np.int64) for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.int64), *found])
+        reached = np.concatenate([[0], np.cumsum(widths[flat])])
+        ends = np.searchsorted(reached, at)
+        if not np.array_equal(reached[ends], at):
+            return self._single_ids(vocabulary)
+        return flat, ends
+
+    def _single_ids(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found, sizes = [], []
         for at in range(0, len(vocabulary), BATCH):
             texts = vocabulary.slice(at, BATCH).cast(pa.large_string()).to_pylist()

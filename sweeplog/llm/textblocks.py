@@ -247,6 +247,15 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Words:
     return _coded(data, offsets, np.flatnonzero(cut))
 
 
+def between_space_and_sign(values: pa.Array) -> np.ndarray:
+    """Whether each byte string begins with a space and ends with an ASCII character that is not white space."""
+    data, at = text_bytes(values)
+    out = np.diff(at) > 1
+    rows = np.flatnonzero(out)
+    out[rows] = (data[at[rows]] == 0x20) & _GRAPHIC[data[at[rows + 1] - 1]]
+    return out
+
+
 def bare_segments(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Segments for vocabularies that drop white space and case: words in lower case, cut between an ASCII letter and an ASCII sign."""
     data = lowered(data)
