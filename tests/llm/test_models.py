@@ -84,6 +84,20 @@ def test_odd_perplexity_is_rejected_and_prose_kept(spark, prose):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in prose}
 
 
+def test_symbol_spam_and_foreign_text_are_rejected_in_each_language(spark):
+    rng = random.Random(16)
+    clean = [(i, _prose(rng, "de" if i % 3 == 0 else "en", rng.randint(25, 400)), "de" if i % 3 == 0 else "en") for i in range(900)]
+    texts = [(lang, _prose(rng, lang, rng.randint(40, 400)).split()) for lang in ("en", "de") for _ in range(20)]
+    spam = [(1000 + i, " ".join(w + rng.choice(["***", "%%%", "$$$", "&&&"]) for w in t), lang) for i, (lang, t) in enumerate(texts)]
+    tables = [(2000 + i, " | ".join(t), lang) for i, (lang, t) in enumerate(texts)]
+    foreign = [(3000 + i, " ".join(t), "de" if lang == "en" else "en") for i, (lang, t) in enumerate(texts[::4])]
+    got = {r.doc_id: r for r in quality_rules.judge(_frame(spark, [*clean, *spam, *tables, *foreign])).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i, _, _ in clean) >= 0.99 * len(clean)
+    for bad in (spam, tables, foreign):
+        assert sum(not got[i].kept for i, _, _ in bad) >= 0.9 * len(bad)
+
+
 def test_language_held_out(spark, prose):
     docs = _frame(spark, [*prose, (900, None, "en"), (901, "12 345 !!", "de"), (902, "", None), (None, "ein schung", "de")])
     model = language_id.fit(docs, fold(F.col("doc_id"), 4) != 2)
