@@ -8,8 +8,9 @@ their number: at 0.8, twelve trees and depth 3 (a third branching happens only i
 
 Pairs that look similar are confirmed on the full sets. A node first gives a spanning forest of its similar pairs, so a large group
 of copies gives about as many pairs as members. When these are confirmed and the components known, the nodes are read again for
-the pairs whose members are still apart, which are all confirmed too. Members that twelve choices do not part are compared with their
-neighbours in a random order and with the node's most typical members.
+the pairs whose members are still apart, which are all confirmed too. Members that twelve choices do not part are all compared too,
+tile by tile; pairs that are linked already are left out, so near copies cost little, while a family of texts just below the threshold
+costs the square of its size.
 
 Very large nodes are branched on Spark before they are dealt to tasks, so a token that a third of all documents choose is spread.
 
@@ -21,6 +22,7 @@ whose links are united; an empty table gives no rows. Ids must be integers.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweeplog.llm import textblocks as tb
-from sweeplog.llm.components import connected
+from sweeplog.llm.components import connected, unite
 from sweeplog.llm.frames import id_and_text
 from sweeplog.session import join_small, materialize
 
@@ -36,6 +38,8 @@ COORDINATES = 64
 TREES = 12
 NODE = 64
 DEPTH = 12
+# Rows on a side of a tile of a large node.
+TILE = 256
 # Rows of a node beyond which it is branched on Spark, and rows that a task compares at a time.
 HOT = 50_000
 HELD = 200_000
@@ -151,14 +155,11 @@ class Nodes:
             _, self.group = np.unique(self.group, return_inverse=True)
 
     def similar(self, floor: float, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of members of a node that look similar: two places, and in how many coordinates they agree."""
-        with np.errstate(over="ignore"):
-            shuffled = tb.mixed(self.cid.astype(np.uint64) * np.uint64(TREES) + self.tree.astype(np.uint64))
-        order = np.lexsort((shuffled, self.group))
+        """Pairs of members of a small node that look similar: two places, and in how many coordinates they agree."""
+        order, sizes = self._ordered()
+        keep = (sizes > 1) & (sizes <= NODE)
+        order = order[keep[self.group[order]]]
         group = self.group[order]
-        sizes = np.bincount(group)
-        keep = sizes[group] > 1
-        order, group = order[keep], group[keep]
         out = []
         for shift in range(1, NODE):
             if shift >= len(order):
@@ -167,18 +168,64 @@ class Nodes:
             if not len(at):
                 break
             out.append(self._compared(order[at], order[at + shift], floor, threshold))
-        for g in np.flatnonzero(sizes > NODE):
-            out.append(self._typical(order[group == g], floor, threshold))
         if not out:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _typical(self, rows: np.ndarray, floor: float, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All members of a node that is still large, each against the three that agree most with its most frequent bytes."""
-        sketch = self.sketch[rows]
-        usual = np.array([np.bincount(sketch[:, k], minlength=256).argmax() for k in range(COORDINATES)], np.uint8)
-        near = rows[np.argsort(-(sketch == usual).sum(axis=1), kind="stable")[:3]]
-        return self._compared(np.repeat(near, len(rows)), np.tile(rows, len(near)), floor, threshold)
+    def _ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places by node, and the size of each node."""
+        return np.argsort(self.group, kind="stable"), np.bincount(self.group)
+
+    def similar_in_large(self, floor: float, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members of a node that is still large, some tiles at a time: a spanning forest of those that look similar, or, with
+        components, all whose components differ."""
+        order, sizes = self._ordered()
+        ends = np.cumsum(sizes)
+        for g in np.flatnonzero(sizes > NODE):
+            rows = order[ends[g] - sizes[g] : ends[g]]
+            label = np.arange(len(rows)) if self.component is None else np.unique(self.component[rows], return_inverse=True)[1]
+            for a in range(0, len(rows), TILE):
+                for b in range(a, len(rows), TILE):
+                    x, y = np.arange(a, min(a + TILE, len(rows))), np.arange(b, min(b + TILE, len(rows)))
+                    i, j = self._tile(rows, label, x, y, floor, threshold)
+                    if not len(i):
+                        continue
+                    if self.component is None:
+                        both, where = np.unique(np.concatenate([label[i], label[j]]), return_inverse=True)
+                        chosen = forest(len(both), where[: len(i)], where[len(i) :])
+                        i, j = i[chosen], j[chosen]
+                        label = self._united(label, both, where, len(where) // 2, chosen)
+                    yield rows[i], rows[j]
+
+    @staticmethod
+    def _united(label: np.ndarray, both: np.ndarray, where: np.ndarray, half: int, chosen: np.ndarray) -> np.ndarray:
+        """label with the labels that the chosen pairs link made one."""
+        least = unite(np.arange(len(both)), where[:half][chosen], where[half:][chosen])
+        new = np.arange(label.max() + 1)
+        new[both] = both[least]
+        return new[label]
+
+    def _tile(self, rows: np.ndarray, label: np.ndarray, x: np.ndarray, y: np.ndarray, floor: float, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of x and y (numbers in rows) that look similar and have different labels."""
+        usual = np.bincount(label[np.concatenate([x, y])]).argmax()
+        odd_x, odd_y = x[label[x] != usual], y[label[y] != usual]
+        out = []
+        for p, q in ((odd_x, y), (x[label[x] == usual], odd_y)):
+            if not len(p) or not len(q):
+                continue
+            a, b = self.sketch[rows[p]].T.copy(), self.sketch[rows[q]].T.copy()
+            same = np.zeros((len(p), len(q)), np.uint8)
+            for k in range(COORDINATES):
+                same += a[k][:, None] == b[k][None, :]
+            n, m = self.n[rows[p]][:, None], self.n[rows[q]][None, :]
+            fit = (same >= floor * COORDINATES) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * threshold) & (label[p][:, None] != label[q][None, :])
+            if x[0] == y[0]:
+                fit &= p[:, None] < q[None, :] if p is not odd_x else (p[:, None] < q[None, :]) | (label[q] == usual)[None, :]
+            i, j = np.nonzero(fit)
+            out.append((p[i], q[j]))
+        if not out:
+            return x[:0], x[:0]
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
     def _compared(self, i: np.ndarray, j: np.ndarray, floor: float, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         fit = (np.minimum(self.n[i], self.n[j]) * 100 >= np.maximum(self.n[i], self.n[j]) * threshold) & (self.cid[i] != self.cid[j])
@@ -189,24 +236,26 @@ class Nodes:
         good = same >= floor * COORDINATES
         return i[good], j[good], same[good]
 
-    def forest(self, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> np.ndarray:
-        """Which of the pairs form a spanning forest of their nodes, the most similar first."""
-        root = list(range(len(self.cid)))
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs of places below `size` form a spanning forest, the first ones first."""
+    root = list(range(size))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-        chosen = []
-        order = np.argsort(-same, kind="stable")
-        for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+    chosen = []
+    for start in range(0, len(i), 100_000):
+        part = slice(start, start + 100_000)
+        for k, (a, b) in enumerate(zip(i[part].tolist(), j[part].tolist(), strict=True), start):
             a, b = find(a), find(b)
             if a != b:
                 root[a] = b
                 chosen.append(k)
-        return np.array(chosen, dtype=np.int64)
+    return np.array(chosen, dtype=np.int64)
 
 
 def node_pairs(classes: DataFrame, threshold: int) -> DataFrame:
@@ -220,16 +269,18 @@ def node_pairs(classes: DataFrame, threshold: int) -> DataFrame:
     rows = classes.select("cid", "n_shingles", "sketch", *more, F.posexplode("tokens").alias("tree", "node")).withColumn("level", F.lit(0))
     dealt = _branched(rows).repartition("tree", "node").sortWithinPartitions("tree", "node")
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         nodes = Nodes(table)
         nodes.branch()
         i, j, same = nodes.similar(floor, threshold)
         if not more:
-            kept = nodes.forest(i, j, same)
+            order = np.argsort(-same, kind="stable")
+            kept = order[forest(len(nodes.cid), i[order], j[order])]
             i, j = i[kept], j[kept]
-        a, b = np.minimum(nodes.cid[i], nodes.cid[j]), np.maximum(nodes.cid[i], nodes.cid[j])
-        found = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        for i, j in chain([(i, j)], nodes.similar_in_large(floor, threshold)):
+            a, b = np.minimum(nodes.cid[i], nodes.cid[j]), np.maximum(nodes.cid[i], nodes.cid[j])
+            found = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -244,11 +295,11 @@ def node_pairs(classes: DataFrame, threshold: int) -> DataFrame:
             changed = np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1]))
             if len(changed):  # the last node may go on in the next batch
                 cut = int(changed[-1]) + 1
-                yield pairs(table.slice(0, cut))
+                yield from pairs(table.slice(0, cut))
                 table = table.slice(cut)
             held, count = table.to_batches(), table.num_rows
         if count:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
     return dealt.mapInArrow(compared, "a long, b long").distinct()
 

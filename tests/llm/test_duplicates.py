@@ -103,6 +103,23 @@ def test_large_nodes_are_branched_before_they_are_dealt(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in _wanted(rows, 2, 80).items()}
 
 
+def test_every_similar_pair_of_a_large_template_family_meets(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "DEPTH", 2)  # the family is not parted, as a larger one would not be by twelve
+    rng = random.Random(9)
+    core = [f"c{k}" for k in range(75)]
+    rows, number = [], 0
+    for _ in range(900):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(13)]
+        rows.append((number, " ".join(core + own)))
+        if number % 15 == 0:
+            rows.append((10_000 + number, " ".join(core + own[:5] + [f"w{rng.randrange(10**9)}" for _ in range(8)])))
+        number += 1
+    random.Random(10).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, size=2).collect()}
+    assert got == {i: i % 10_000 for i, _ in rows}
+
+
 def test_texts_without_ids_repeated_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "a b c d"), (9, "q r s")], "doc_id long, text string")
     got = sorted((tuple(r) for r in minhash_dedup.near_duplicates(docs, size=2).collect()), key=str)
