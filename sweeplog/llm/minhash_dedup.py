@@ -13,6 +13,7 @@ tile by tile; pairs that are linked already are left out, so near copies cost li
 costs the square of its size.
 
 Very large nodes are branched on Spark before they are dealt to tasks, so a token that a third of all documents choose is spread.
+Those that stay very large are dealt as pairs of parts, such that any two members meet in a task.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and stays; a text with fewer words than a shingle is
 one shingle; rows with a null id are linked with nothing and stay, with a null component; rows that share an id are one document
@@ -113,7 +114,7 @@ def _coordinate(tree, level):
 
 
 def _branched(rows: DataFrame) -> DataFrame:
-    """rows with very large nodes branched until none is left, or no choice is left."""
+    """rows with very large nodes branched until none is left, or no choice is left; those left are dealt in pairs of parts."""
     for _ in range(DEPTH):
         hot = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("tree", "node", F.lit(True).alias("_hot"))
         hot = materialize(hot, "hot-nodes")
@@ -124,7 +125,24 @@ def _branched(rows: DataFrame) -> DataFrame:
         rows = join_small(rows, hot, ["tree", "node"], "left", spread=["cid"])
         rows = rows.withColumn("node", F.when(F.col("_hot"), next_node).otherwise(F.col("node")))
         rows = rows.withColumn("level", F.when(F.col("_hot"), F.col("level") + 1).otherwise(F.col("level"))).drop("_hot")
-    return rows
+    return _parted(rows)
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """rows with each very large node cut into parts of about HOT / 2 rows and a node for each two parts, which has the rows of both."""
+    parts = F.ceil(F.col("_n") * 2 / HOT).cast("int").alias("_parts")
+    hot = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("tree", "node", parts)
+    hot = materialize(hot, "hot-nodes")
+    if hot.isEmpty():
+        return rows
+    columns = rows.columns
+    rows = join_small(rows, hot, ["tree", "node"], "left", spread=["cid"])
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("cid", "tree"), F.col("_parts")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.when(F.col("_parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))))
+    # two parts meet in their node, one part with itself in the nodes that it shares with others
+    rows = rows.where((F.col("_other") < 0) | (F.col("_other") != F.col("_part")))
+    both = F.xxhash64("node", F.least("_part", "_other"), F.greatest("_part", "_other"))
+    return rows.withColumn("node", F.when(F.col("_other") < 0, F.col("node")).otherwise(both)).select(*columns)
 
 
 class Nodes:

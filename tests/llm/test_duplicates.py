@@ -120,6 +120,17 @@ def test_every_similar_pair_of_a_large_template_family_meets(spark, monkeypatch)
     assert got == {i: i % 10_000 for i, _ in rows}
 
 
+def test_a_node_that_no_choice_parts_is_dealt_in_parts_that_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "HOT", 50)
+    monkeypatch.setattr(minhash_dedup, "DEPTH", 1)
+    rows = spark.createDataFrame([(i, 9, bytearray(64), 0, 7, 0) for i in range(200)], "cid long, n_shingles long, sketch binary, tree int, node long, level int")
+    nodes = {}
+    for r in minhash_dedup._branched(rows).collect():
+        nodes.setdefault((r.tree, r.node), []).append(r.cid)
+    assert max(map(len, nodes.values())) < 100
+    assert len({(a, b) for n in nodes.values() for a in n for b in n if a < b}) == 200 * 199 // 2
+
+
 def test_texts_without_ids_repeated_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "a b c d"), (9, "q r s")], "doc_id long, text string")
     got = sorted((tuple(r) for r in minhash_dedup.near_duplicates(docs, size=2).collect()), key=str)
