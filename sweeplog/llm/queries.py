@@ -105,3 +105,38 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sweeplog.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
+def _sides(k: int) -> str:
+    """The cuts of a phrase of k words: score, size of the first part, and the counts of both parts."""
+    cut = "{{'score': CAST(2000000::HUGEINT * x.a // (f{j}.a + g{j}.a) AS BIGINT), 'k': {j}, 'l': f{j}.a, 'r': g{j}.a}}"
+    return ", ".join(cut.format(j=j) for j in range(1, k))
+
+
+def _parts(k: int) -> str:
+    join = "JOIN f f{j} ON f{j}.lang = x.lang AND f{j}.phrase = array_to_string(x.ws[1:{j}], ' ') JOIN f g{j} ON g{j}.lang = x.lang AND g{j}.phrase = array_to_string(x.ws[{i}:], ' ')"
+    return " ".join(join.format(j=j, i=j + 1) for j in range(1, k))
+
+
+_COLLOCATIONS = f"""
+WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM
+  (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+words AS (SELECT lang, [w FOR w IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF w <> ''] AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM words GROUP BY lang HAVING n > 0),
+placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM
+  (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM placed, range(1, 5) AS r(k) WHERE i + k - 1 <= len(ws)) GROUP BY ALL HAVING a >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+scored AS (
+  {" UNION ALL ".join(f"SELECT x.lang, x.phrase, x.a, list_min([{_sides(k)}]) AS cut FROM (SELECT * FROM c WHERE k = {k}) x {_parts(k)}" for k in (2, 3, 4))}),
+inside AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM c, range(2, 4) AS s(m), range(1, 4) AS t(i) WHERE m < k AND i + m - 1 <= k),
+covered AS (SELECT DISTINCT s.lang, s.phrase FROM scored s JOIN inside y ON y.lang = s.lang AND y.phrase = s.phrase WHERE 100 * y.a >= 80 * s.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank, phrase, a, cut.l AS l, cut.r AS r, n, cut.score AS score
+  FROM scored ANTI JOIN covered USING (lang, phrase) JOIN total USING (lang)) WHERE rank <= 2000"""
+
+
+@register("op11_collocations", _COLLOCATIONS)
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm import collocations as op
+
+    return op.collocations(documents(spark, sf_dir))
