@@ -140,3 +140,11 @@ def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sweeplog.llm import collocations as op
 
     return op.collocations(documents(spark, sf_dir))
+
+
+@register("op12_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.whitening import whiten
+
+    found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
