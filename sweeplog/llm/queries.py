@@ -148,3 +148,12 @@ def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@register("op13_text_signatures")
+def text_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sweeplog.llm.text_signatures import compare_neighbours
+
+    found = compare_neighbours(documents(spark, sf_dir))
+    prints = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(prints)
