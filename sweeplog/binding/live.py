@@ -10,7 +10,9 @@ from sweeplog.binding.running import LOG, PHASES, _LEGAL
 from sweeplog.binding.sweeping import HITS, SIGNALS
 from sweeplog.binding.traffic import ADDRESS
 from sweeplog.operators import indicators as I
-from sweeplog.sources import runlog
+from sweeplog.operators import runstats as R
+from sweeplog.session import materialize, staging_path
+from sweeplog.sources import runlog, tail
 from sweeplog.streaming import live
 
 GAP_S = 43_200
@@ -25,9 +27,21 @@ def live_injection_scan(spark, sf_dir):
 @register("live_sweep", f"""WITH {HITS}
 SELECT case_id, file, indicator, count(*) AS match_count, min(line_no) AS first_line, max(line_no) AS last_line FROM hits GROUP BY ALL""")
 def live_sweep(spark, sf_dir):
-    lines = V.doc_lines(spark, sf_dir, V.stream).drop("doc_id")
-    found = live.running_findings(lines, I.directives(V.alerts(spark, sf_dir)))
-    return live.latest(live.run_available(found, "update", "findings"), ["case_id", "file", "indicator"])
+    """Every file grows once: the first half of its lines arrives before the other files' second halves."""
+    lines = V.text_lines(F.col("text"))
+    files = V.table(spark, sf_dir, "documents").filter("text <> ''").select(
+        F.col("source").alias("case_id"), F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("file"), lines.alias("lines")
+    )
+    half = F.floor(F.size("lines") / 2).cast("int")
+    parts = [files.withColumn("lines", F.slice("lines", F.lit(1), half)), files.withColumn("lines", F.slice("lines", half + 1, F.size("lines")))]
+    folder, table = staging_path(spark, "growing-files"), live.LiveTable(spark, "findings")
+    directive = I.directives(V.alerts(spark, sf_dir))
+    for k, part in enumerate(parts):
+        rows = part.select("case_id", "file", F.lit(k).cast("bigint").alias("part"), "lines")
+        rows.write.mode("append").parquet(folder)
+        chunks = spark.readStream.schema(rows.schema).parquet(folder)
+        found = table.run(live.running_findings(chunks, directive, ttl_days=None), "update")
+    return live.latest(found, ["case_id", "file", "indicator"])
 
 
 @register("live_call_counters", f"""WITH {LOG}
@@ -64,16 +78,62 @@ t AS (SELECT investigation_id, arg_max(to_state, event_id) FILTER (WHERE moment
 SELECT investigation_id, t.state, illegal_transitions, CAST(0 AS BIGINT) AS disordered, phases.state AS phase, seconds
 FROM t LEFT JOIN phases USING (investigation_id)""")
 def live_run_states(spark, sf_dir):
-    states = live.run_states(V.run_log(spark, sf_dir, V.stream), drop_finished=False, ttl_days=None)
-    rows = live.latest(live.run_available(states, "update", "run-states"), ["investigation_id", "phase"])
+    """The log arrives in three parts by time; every fifth event of a part's last half day comes late, with the next part."""
+    events = V.table(spark, sf_dir, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    text = V.run_log_text(spark, sf_dir).join(events.select("event_id", F.col("ts").alias("_ts")), "event_id")
+    part = F.lit(0)
+    for k in (1, 2):
+        border = F.lit(first + (last - first) * k / 3)
+        late = (F.col("event_id") % 5 == 0) & (F.col("_ts") >= border - F.expr("interval 12 hours"))
+        part = part + F.when((F.col("_ts") >= border) | late, 1).otherwise(0)
+    text = materialize(text.select("value", part.alias("part")), "run-log-text")
+    folder, table = staging_path(spark, "growing-log"), live.LiveTable(spark, "run-states")
+    for k in range(3):
+        text.filter(F.col("part") == k).select("value").write.mode("append").text(folder)
+        records = runlog.records(spark.readStream.text(folder))
+        rows = table.run(live.run_states(records, delay="1 day", drop_finished=False), "update")
+    rows = live.latest(rows, ["investigation_id", "phase"]).drop("waiting")
     return rows.withColumn("seconds", F.col("micros") / F.lit(1e6)).drop("micros")
 
 
-@register("live_run_log_tail", """
-SELECT 'quarantine' AS target, count(*) AS rows FROM events WHERE event_id % 50 = 0
-UNION ALL SELECT 'records', count(*) FROM events WHERE event_id % 50 <> 0""")
+def _publish(spark, source: str, target: str, share: float) -> None:
+    """Write the first share of the bytes of every file of a folder to a file of the same name in another."""
+
+    def copied(batches):
+        for batch in batches:
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+                system, folder, _ = tail.opened(f"{target}/x")
+                system.create_dir("/".join(folder), recursive=True)
+                left = int(size * share)
+                with system.open_input_file(path) as given, system.open_output_stream("/".join([*folder, path.rsplit("/", 1)[1]])) as out:
+                    while left > 0:
+                        block = given.read(min(left, tail.CHUNK_BYTES))
+                        out.write(block)
+                        left -= len(block)
+            yield batch.select(["path"])
+
+    files = spark.createDataFrame(list(tail.sizes(f"{source}/part-*").items()), "path string, size bigint")
+    files.repartition(files.count() or 1).mapInArrow(copied, "path string").count()
+
+
+@register("live_run_log_tail", f"""WITH {LOG}
+SELECT kind, event_id, epoch_us(moment) AS at_micros, CASE WHEN kind = 'state_transition' THEN to_state END AS to_state, NULL AS raw_start FROM log
+UNION ALL SELECT 'unparseable_line', event_id, NULL, NULL, '{{"event_id":' || event_id || ',"inv' FROM events WHERE event_id % 50 = 0""")
 def live_run_log_tail(spark, sf_dir):
-    lines = V.run_log_text(spark, sf_dir, V.stream).select("value")
-    rows = live.run_available(runlog.tolerant(lines), "append", "run-log")
-    target = F.when(F.col("kind") == "unparseable_line", F.lit("quarantine")).otherwise(F.lit("records"))
-    return rows.groupBy(target.alias("target")).agg(F.count("*").alias("rows"))
+    """Log files that grow twice, cut in the middle of a line both times, as the tail gives them."""
+    written, growing, checkpoint = (staging_path(spark, n) for n in ("written-log", "growing-log", "tail-checkpoint"))
+    records, torn = staging_path(spark, "records"), staging_path(spark, "quarantine")
+    V.run_log_text(spark, sf_dir).select("value").write.text(written)
+    for share in (0.37, 0.71, 1.0):
+        _publish(spark, written, growing, share)
+        lines = tail.tail(spark, f"{growing}/*").select(F.explode("lines").alias("value"))
+        live.tail_run_log(lines, records, torn, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema("kind string, record string").parquet(records)
+    left = live.open_quarantine(done, spark.read.schema("raw string").parquet(torn))
+    event = F.regexp_extract("raw", r'^\{"event_id":(\d+),', 1)
+    parsed = runlog.records(done, "record").select("kind", "event_id", F.unix_micros(R.instant()).alias("at_micros"), "to_state", F.lit(None).cast("string").alias("raw_start"))
+    return parsed.unionByName(left.select(
+        F.lit("unparseable_line").alias("kind"), event.cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("at_micros"),
+        F.lit(None).cast("string").alias("to_state"), F.left("raw", F.length(event) + F.lit(len('{"event_id":,"inv'))).alias("raw_start"),
+    ))

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sweeplog.functions import injection as INJ
 from sweeplog.operators import indicators as I
 from sweeplog.operators import runstats as R
-from sweeplog.session import staging_path
+from sweeplog.session import materialize, staging_path
 from sweeplog.sources import runlog
 from sweeplog.sources.casefiles import LOGS_DIR, _path_part, directly_in_logs
+from sweeplog.sources.tail import tail
+from sweeplog.streaming.states import FINDINGS, STATES, FileFindings, RunStates, use_state_store
 
 CALL_WINDOW = "5 seconds"
 
@@ -62,89 +59,58 @@ def burst_sessions(flows: DataFrame, gap: str, delay: str = "1 minute") -> DataF
     )
 
 
-def running_findings(lines: DataFrame, directive: DataFrame) -> DataFrame:
-    """Stream-static join: matches so far per case, file and indicator. The directive side is a plain table.
-
-    A stream of log files carries no line numbers; first and last line are null then.
-    """
-    if "line_no" not in lines.columns:
-        lines = lines.withColumn("line_no", F.lit(None).cast("bigint"))
-    named = F.filter("indicators", lambda i: F.contains(F.col("text"), i))
-    joined = I.with_directive(lines, directive, "indicators")
-    hits = joined.select("case_id", "file", "line_no", F.explode(named).alias("indicator"))
-    return hits.groupBy("case_id", "file", "indicator").agg(
-        F.count("*").alias("match_count"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")
+def read_growing_logs(spark: SparkSession, parent: str) -> DataFrame:
+    """Lines as they are appended under `<parent>/<case>/logs/`, in chunks: (case_id, file, part, lines)."""
+    path = F.col("path")
+    return tail(spark, f"{parent.rstrip('/')}/*/{LOGS_DIR}/*").select(
+        F.regexp_extract(path, rf"([^/]+)/{LOGS_DIR}/[^/]+$", 1).alias("case_id"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file"), "part", "lines"
     )
 
 
-_STATE = "state string, entered bigint, last_event bigint, illegal bigint, disordered bigint, phases string"
-_OUT = "investigation_id string, state string, illegal_transitions bigint, disordered bigint, phase string, micros bigint"
+def running_findings(chunks: DataFrame, directive: DataFrame, *, ttl_days: int | None = 7) -> DataFrame:
+    """Stream-static join: matches so far per case, file and indicator, with the numbers of the first and the last line.
 
-
-def _follow(legal: set[str], terminal: set[str], drop_finished: bool, ttl_ms: int | None):
-    """State of one run: current state, time per phase (14 at most), illegal transitions.
-
-    Events at or before the last one seen are counted as out of order and not applied. The state goes when the run
-    reaches a terminal state (`drop_finished`) or, with `ttl_ms`, after that time without an event.
+    `chunks` are lines as `read_growing_logs` gives them. Lines are matched where they are read; a file's state gets a row for each
+    chunk, with the number of its lines and the hits, and holds how many lines the file had so far. A file's chunks of one batch are taken in
+    order of `part`. Only files with new hits give rows. With `ttl_days`, a finding that gets no new line for that time is given up; a
+    query that should end by itself (availableNow) needs None, as waiting for that keeps it running.
     """
-
-    def step(key: tuple, rows: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        if store.hasTimedOut:
-            store.remove()
-            return
-        state, entered, last, illegal, disordered, phases = store.get if store.exists else (None, None, None, 0, 0, "{}")
-        micros = json.loads(phases)
-        batch = pd.concat(list(rows)).sort_values("event_id")
-        for event, before, after, at in zip(batch["event_id"], batch["from_state"], batch["to_state"], batch["at"]):
-            if last is not None and event <= last:
-                disordered += 1
-                continue
-            last = int(event)
-            illegal += int(f"{before}>{after}" not in legal)
-            if pd.isna(at):
-                continue
-            if entered is not None:
-                micros[state] = micros.get(state, 0) + int(at) - entered
-            state, entered = after, int(at)
-        if drop_finished and state in terminal:
-            store.remove()
-        else:
-            store.update((state, entered, last, illegal, disordered, json.dumps(micros)))
-            if ttl_ms:
-                store.setTimeoutDuration(ttl_ms)
-        listed = sorted(micros.items()) or [(None, None)]
-        yield pd.DataFrame(
-            {
-                "investigation_id": key[0], "state": state, "illegal_transitions": illegal, "disordered": disordered,
-                "phase": [p for p, _ in listed], "micros": pd.array([m for _, m in listed], dtype="Int64"),
-            }
-        )
-
-    return step
+    use_state_store(chunks.sparkSession)
+    joined = I.with_directive(chunks.withColumn("line_no", F.col("part")), directive, "indicators").drop("line_no")
+    found = F.filter(
+        F.transform("lines", lambda t, n: F.struct(n.cast("bigint").alias("pos"), F.filter("indicators", lambda i: F.contains(t, i)).alias("named"))),
+        lambda r: F.size(r["named"]) > 0,
+    )
+    rows = joined.select("case_id", "file", "part", F.size("lines").cast("bigint").alias("lines"), found.alias("found"))
+    return rows.groupBy("case_id", "file").transformWithStateInPandas(
+        FileFindings(ttl_days and ttl_days * 86_400_000), FINDINGS, "Update", "ProcessingTime" if ttl_days else "None"
+    )
 
 
-def run_states(records: DataFrame, *, drop_finished: bool = True, ttl_days: int | None = 7) -> DataFrame:
+def run_states(records: DataFrame, *, delay: str = "1 hour", drop_finished: bool = True) -> DataFrame:
     """Per run and phase, after each batch that touched the run: current state, illegal transitions, time in the phase.
 
-    A batch holds at most what the source's file limit lets in, so the rows of one run in one batch are few. A query that
-    should end by itself (availableNow) needs `ttl_days=None`: waiting for an expiry keeps it running.
+    Events wait until the watermark, `delay` behind the newest event, has passed them, and are then applied in order of their ids; so an event
+    that arrives late by less than the delay takes its place. What is given counts the waiting events as if nothing else
+    came, so it equals the batch result for what has arrived. Events behind the watermark are dropped; those that come after
+    one with a higher id was applied are counted as `disordered`. A run's state goes when it has reached a terminal state and nothing waits
+    (`drop_finished`).
     """
-    steps = R.transitions(records).select(
-        "investigation_id", "event_id", "from_state", "to_state", F.unix_micros(R.instant()).alias("at")
-    )
+    use_state_store(records.sparkSession)
+    steps = R.transitions(records).select("investigation_id", "event_id", "from_state", "to_state", R.instant().alias("at"))
     legal = {f"{a}>{b}" for a, targets in R.LEGAL_TRANSITIONS.items() for b in targets}
-    follow = _follow(legal, set(R.TERMINAL_STATES), drop_finished, ttl_days and ttl_days * 86_400_000)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_days else GroupStateTimeout.NoTimeout
-    return steps.groupBy("investigation_id").applyInPandasWithState(
-        follow, _OUT, _STATE, "update", timeout
-    )
+    follow = RunStates(legal, set(R.TERMINAL_STATES) if drop_finished else set())
+    return steps.withWatermark("at", delay).groupBy("investigation_id").transformWithStateInPandas(follow, STATES, "Update", "EventTime")
 
 
 def tail_run_log(lines: DataFrame, records_path: str, quarantine_path: str, checkpoint: str):
-    """Start a tail of JSON lines (column value): records to one table, torn lines to another."""
+    """Start a tail of JSON lines (column value): records to one table, lines that are none to another.
+
+    With `tail` as the source a line arrives when it is whole, however often its file grows in between.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = runlog.tolerant(batch.select("value"))
+        rows = materialize(runlog.tolerant(batch.select("value")), "run-log")
         torn = F.col("kind") == "unparseable_line"
         rows.filter(~torn).select("kind", "record").write.mode("overwrite").parquet(f"{records_path}/batch_id={batch_id}")
         rows.filter(torn).select("raw").write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
@@ -166,23 +132,35 @@ def open_quarantine(records: DataFrame, quarantine: DataFrame) -> DataFrame:
     return quarantine.select("raw", *_event_key(F.col("raw"))).join(complete, ["_event", "_run"], "left_anti").select("raw")
 
 
-def run_available(df: DataFrame, mode: str = "append", name: str = "live") -> DataFrame:
-    """Process what is there and stop; rows land in a table of the shared folder, one part per batch (`batch_id`)."""
-    spark = df.sparkSession
-    target, checkpoint = staging_path(spark, name), staging_path(spark, f"{name}-checkpoint")
+class LiveTable:
+    """A table of the shared folder to which a query's rows are added, one part per batch (`batch_id`), run by run."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    def __init__(self, spark: SparkSession, name: str = "live"):
+        self.spark = spark
+        self.target, self.checkpoint = staging_path(spark, name), staging_path(spark, f"{name}-checkpoint")
+        self.started = False
 
-    # An empty first part, so that the table exists when nothing arrives.
-    spark.createDataFrame([], df.schema).write.parquet(f"{target}/batch_id=-1")
-    query = (
-        df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    schema = StructType([*df.schema.fields, StructField("batch_id", LongType())])
-    return spark.read.schema(schema).option("basePath", target).parquet(target)
+    def run(self, df: DataFrame, mode: str = "append") -> DataFrame:
+        """Process what has come since the last run and stop; the table so far."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.target}/batch_id={batch_id}")
+
+        if not self.started:  # an empty first part, so that the table exists when nothing arrives
+            self.spark.createDataFrame([], df.schema).write.parquet(f"{self.target}/batch_id=-1")
+            self.started = True
+        query = (
+            df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", self.checkpoint)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        schema = StructType([*df.schema.fields, StructField("batch_id", LongType())])
+        return self.spark.read.schema(schema).option("basePath", self.target).parquet(self.target)
+
+
+def run_available(df: DataFrame, mode: str = "append", name: str = "live") -> DataFrame:
+    """Process what is there and stop."""
+    return LiveTable(df.sparkSession, name).run(df, mode)
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import functions as F
 
@@ -28,19 +27,68 @@ def step(event, second, before, after):
                        "to_state": after, "ts": f"2026-08-14T10:00:{second:02d}.000+00:00"})
 
 
-def test_run_states_over_two_batches_equal_batch(spark, tmp_path):
-    parts = [[step(1, 0, "RECEIVED", "TASKING"), step(2, 5, "TASKING", "SWEEPING")],
-             [step(3, 6, "SWEEPING", "COLLECTING"), step(4, 36, "COLLECTING", "DONE"), step(5, 40, "DONE", "TASKING")]]
+def states(spark, folder, table, **options):
+    records = runlog.records(spark.readStream.text(folder))
+    rows = table.run(live.run_states(records, **options), "update")
+    return live.latest(rows, ["investigation_id", "phase"]).collect()
+
+
+def phases(spark, folder):
+    return {r.state: r.seconds for r in R.phase_durations(runlog.records(spark.read.text(folder))).collect()}
+
+
+def test_run_states_of_three_files_with_a_late_event_equal_the_batch(spark, tmp_path):
+    parts = [
+        [step(1, 0, "RECEIVED", "TASKING"), step(2, 5, "TASKING", "SWEEPING"), step(4, 20, "COLLECTING", "PLANNING")],
+        [step(3, 6, "SWEEPING", "COLLECTING"), step(5, 36, "PLANNING", "SYNTHESIZING")],  # event 3 is late
+        [step(6, 50, "SYNTHESIZING", "DONE"), step(7, 55, "DONE", "TASKING"), step(8, 10, "TASKING", "DONE"),
+         step(9, 58, "X", "Y").replace("2026-08-14T10:00:58.000+00:00", "no time")],
+    ]
+    table, folder = live.LiveTable(spark, "states"), str(tmp_path)
+    for i, part in enumerate(parts):
+        (tmp_path / f"{i}.jsonl").write_text("\n".join(part) + "\n")
+        rows = states(spark, folder, table, delay="30 seconds", drop_finished=False)
+        assert {r.phase: r.micros / 1e6 for r in rows} == phases(spark, folder)
+    assert {(r.state, r.illegal_transitions, r.disordered) for r in rows} == {("DONE", 3, 0)}
+
+
+def test_events_after_the_watermark_are_applied_once_and_in_order(spark, tmp_path):
+    table, folder = live.LiveTable(spark, "states"), str(tmp_path)
+    parts = [[step(2, 1, "TASKING", "SWEEPING"), step(3, 40, "SWEEPING", "COLLECTING")], [step(1, 35, "RECEIVED", "TASKING")], [step(4, 59, "COLLECTING", "DONE")]]
     for i, part in enumerate(parts):
         (tmp_path / f"{i}.jsonl").write_text("\n".join(part) + "\n")
-        os.utime(tmp_path / f"{i}.jsonl", (1_000_000_000 + i, 1_000_000_000 + i))
-    lines = spark.readStream.option("maxFilesPerTrigger", 1).option("latestFirst", "false").text(str(tmp_path))
-    states = live.run_states(runlog.records(lines), drop_finished=False, ttl_days=None)
-    rows = live.latest(live.run_available(states, "update"), ["investigation_id", "phase"]).collect()
-    batch = {r.state: r.seconds for r in R.phase_durations(runlog.records(spark.read.text(str(tmp_path)))).collect()}
-    assert {r.phase: r.micros / 1e6 for r in rows} == batch
-    newest = max(rows, key=lambda r: r.illegal_transitions)
-    assert (newest.state, newest.illegal_transitions, newest.disordered) == ("TASKING", 2, 0)
+        rows = states(spark, folder, table, delay="10 seconds", drop_finished=False)
+    # event 1 came when event 2 had been applied: it is counted, not applied
+    assert {(r.phase, r.micros, r.disordered) for r in rows} == {("SWEEPING", 39_000_000, 1), ("COLLECTING", 19_000_000, 1)}
+
+
+def test_a_finished_run_is_forgotten(spark, tmp_path):
+    table, folder = live.LiveTable(spark, "states"), str(tmp_path)
+    other = step(1, 59, "RECEIVED", "TASKING").replace('"r"', '"other"').replace("10:00:59", "10:09:59")
+    for i, part in enumerate([[step(1, 0, "RECEIVED", "TASKING"), step(2, 5, "TASKING", "FAILED_PLANNING")], [other], [step(3, 59, "RECEIVED", "TASKING").replace("10:00:59", "10:09:59")]]):
+        (tmp_path / f"{i}.jsonl").write_text("\n".join(part) + "\n")
+        rows = states(spark, folder, table, delay="10 seconds")
+    mine = [r for r in rows if r.investigation_id == "r"]
+    assert {(r.state, r.phase) for r in mine} == {("TASKING", None), ("FAILED_PLANNING", "TASKING")}
+
+
+def test_live_sweep_numbers_the_lines_of_growing_files(spark, tmp_path):
+    from sweeplog.operators import indicators as I
+
+    logs = tmp_path / "c1" / "logs"
+    logs.mkdir(parents=True)
+    directive = spark.createDataFrame([("c1", ["evil", "bad"])], "case_id string, indicators array<string>")
+    table = live.LiveTable(spark, "findings")
+    for more in ("x\nevil\nx\nev", "il bad\n", "x\nx\n", "evil"):
+        for name in ("a.log", "_b.log"):
+            with (logs / name).open("a") as file:
+                file.write(more)
+        found = table.run(live.running_findings(live.read_growing_logs(spark, str(tmp_path)), directive, ttl_days=None), "update")
+    rows = live.latest(found, ["case_id", "file", "indicator"]).collect()
+    lines = spark.createDataFrame([("c1", f, i + 1, t) for f in ("a.log", "_b.log") for i, t in enumerate(["x", "evil", "x", "evil bad", "x", "x"])],
+                                  "case_id string, file string, line_no bigint, text string")
+    whole = I.indicator_hits(lines, directive).groupBy("case_id", "file", "indicator").agg(F.count("*"), F.min("line_no"), F.max("line_no")).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(tuple(r) for r in whole) and len(whole) == 4
 
 
 def test_tail_quarantines_a_torn_line_until_it_arrives_whole(spark, tmp_path):
