@@ -41,13 +41,17 @@ FAN = 16
 _EPS = np.finfo(np.float64).eps
 
 
-@np.errstate(all="ignore")
 def secular_roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The roots of 1 + sum(weights / (poles - x)), one above each pole, and poles[j] - roots[i] at [i, j].
 
     poles ascend and differ, weights are positive. Each root is sought from its nearer pole, by a rational function through both
     neighbouring poles, or by halving where that leaves the bracket.
     """
+    with np.errstate(all="ignore"):
+        return _roots(poles, weights)
+
+
+def _roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = len(poles)
     rows = np.arange(k)
     gap = np.append(np.diff(poles), weights.sum())
