@@ -17,6 +17,7 @@ from sweeplog.operators import indicators as I
 from sweeplog.operators import outcomes as O
 from sweeplog.operators import slices as SL
 from sweeplog.plans import jobs
+from sweeplog.session import materialize
 
 DOMAIN, IPV4 = L.DOMAIN, L.IPV4
 
@@ -214,7 +215,7 @@ SELECT case_id, slice_id, findings > 0 AS relevant, CAST(end_line - start_line +
 FROM swept""")
 def sweep(spark, sf_dir):
     report = F.col("report")
-    return doc_outcomes(spark, sf_dir).select(
+    return I.with_absent(doc_outcomes(spark, sf_dir), I.directives(V.alerts(spark, sf_dir))).select(
         "case_id", "slice_id", report["relevant"].alias("relevant"),
         report["slice_metadata"]["lines_examined"].alias("lines_examined"),
         F.size(report["findings"]).cast("bigint").alias("findings"),
@@ -237,7 +238,45 @@ def sweep_coverage(spark, sf_dir):
 SELECT case_id, x AS checked_for, count(*) AS slices
 FROM (SELECT case_id, unnest(list_filter(indicators, lambda x: NOT list_contains(seen, x))) AS x FROM swept) GROUP BY ALL""")
 def sweep_negatives(spark, sf_dir):
-    return O.negative_checks(doc_outcomes(spark, sf_dir)).drop("first_seen")
+    return O.negatives_by_difference(doc_outcomes(spark, sf_dir), I.directives(V.alerts(spark, sf_dir))).drop("first_seen")
+
+
+@register("windowed_sweep", f"""WITH RECURSIVE {S.EVENT_LINES}, {EVENT_DIRECTIVE}, {S.packed('event_lines', EVENT_BUDGET, True)},
+h AS (SELECT l.case_id, l.file, l.line_no, indicator,
+             starts_with(text, '#') OR CAST(replace({raw_stamp('text')}, 'Z', '') AS TIMESTAMP) BETWEEN t0 AND t1 AS inside
+      FROM event_lines l, (SELECT t0, t1, unnest(indicators) AS indicator FROM event_directive) WHERE contains(text, indicator)),
+s AS (SELECT h.case_id, h.file, w.window_index, indicator, bool_or(inside) AS inside
+      FROM h JOIN windows w ON w.file = h.file AND h.line_no BETWEEN w.start_line AND w.end_line GROUP BY ALL),
+n AS (SELECT case_id, count(*) AS n FROM windows GROUP BY case_id)
+SELECT n.case_id, i.indicator AS checked_for, count(*) FILTER (WHERE inside) AS found, count(*) FILTER (WHERE NOT inside) AS outside,
+       any_value(n) - count(s.indicator) AS absent
+FROM n, (SELECT unnest(indicators) AS indicator FROM event_directive) i LEFT JOIN s ON s.indicator = i.indicator GROUP BY ALL""")
+def windowed_sweep(spark, sf_dir):
+    """Of each indicator the slices that have it inside the directive's time window, only outside it, and not at all."""
+    lines, directive = V.event_lines(spark, sf_dir), materialize(V.event_alert(spark, sf_dir), "directive")
+    outcomes = materialize(jobs.sweep(lines, SL.slice_places(lines, budget=EVENT_BUDGET), directive, budget=EVENT_BUDGET), "outcomes")
+    absent = O.negatives_by_difference(outcomes, directive).select("case_id", "checked_for", F.col("slices").alias("absent"))
+    outside = O.seen_outside(outcomes).withColumnRenamed("slices", "outside")
+    spoken = outcomes.select("case_id", F.explode("seen").alias("checked_for")).groupBy("case_id", "checked_for").agg(F.count("*").alias("_seen"))
+    each = directive.select("case_id", F.explode("indicators").alias("checked_for"))
+    keys, zero = ["case_id", "checked_for"], F.lit(0).cast("bigint")
+    joined = each.join(absent, keys, "left").join(outside, keys, "left").join(spoken, keys, "left")
+    out = F.coalesce("outside", zero)
+    return joined.select(*keys, (F.coalesce("_seen", zero) - out).alias("found"), out.alias("outside"), F.coalesce("absent", zero).alias("absent"))
+
+
+MANY = "(SELECT DISTINCT left(text, 20) AS indicator FROM benchmark WHERE text <> '' UNION SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{9}')) AS name FROM benchmark))"
+
+
+@register("many_indicator_hits", f"""WITH {S.DOC_LINES}
+SELECT l.case_id, l.file, l.line_no, i.indicator FROM doc_lines l JOIN {MANY} i ON contains(l.text, i.indicator)""")
+def many_indicator_hits(spark, sf_dir):
+    """Every case against the starts and the long words of all benchmark passages, by their seeds."""
+    passages = V.table(spark, sf_dir, "benchmark").filter("text <> ''")
+    listed = passages.agg(F.array_distinct(F.concat(F.collect_set(F.left("text", F.lit(20))), F.flatten(F.collect_set(
+        F.regexp_extract_all("text", F.lit("[a-z]{9}"), F.lit(0)))))).alias("indicators"))
+    cases = V.table(spark, sf_dir, "documents").select(F.col("source").alias("case_id")).distinct()
+    return I.indicator_hits(V.doc_lines(spark, sf_dir), cases.crossJoin(F.broadcast(listed)), indexed=True).drop("raw_ts")
 
 
 CHOSEN = f"""{SWEPT},

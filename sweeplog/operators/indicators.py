@@ -9,7 +9,16 @@ from sweeplog.functions import lines as L
 from sweeplog.functions import render
 from sweeplog.functions.problems import MAX_REPRESENTATIVE_REFS
 from sweeplog.operators.slices import KEYS, locate
-from sweeplog.session import join_small
+from sweeplog.session import join_small, materialize
+
+# More indicators of a case than this are looked for by their seeds.
+FEW = 64
+# Characters of a seed, different seeds that are listed in a plan, and lines from which a seed's frequency is told.
+SEED = 4
+LISTED_SEEDS = 100_000
+SAMPLE_LINES = 20_000
+# How the result of a check begins that found its subject only beyond the time window.
+OUTSIDE = "outside the time window only: "
 
 
 def directives(alerts: DataFrame, *, relevance: str = "any line that names one of the indicators",
@@ -30,28 +39,88 @@ def directives(alerts: DataFrame, *, relevance: str = "any line that names one o
     )
 
 
-def with_directive(lines: DataFrame, directive: DataFrame, *columns: str) -> DataFrame:
+def with_directive(lines: DataFrame, directive: DataFrame, *columns: str, stored: bool = False) -> DataFrame:
     """Attach directive columns to every row of a case; the directive side is broadcast only if its size allows."""
-    return join_small(lines, directive.select("case_id", *columns), ["case_id"], spread=["file", "line_no"])
+    return join_small(lines, directive.select("case_id", *columns), ["case_id"], spread=["file", "line_no"], stored=stored)
+
 
+def indicator_hits(lines: DataFrame, directive: DataFrame, *, indexed: bool | None = None) -> DataFrame:
+    """(case_id, file, line_no, indicator, raw_ts) for every indicator a line contains. Lines do not move.
 
-def indicator_hits(lines: DataFrame, directive: DataFrame) -> DataFrame:
-    """(case_id, file, line_no, indicator, raw_ts) for every indicator a line contains. Lines do not move."""
-    joined = with_directive(lines.select(*KEYS, "line_no", "text"), directive, "indicators")
+    Up to `FEW` indicators of a case are looked for one by one, more of them by their seeds (`seeded_hits`), which gives the same rows;
+    `indexed` decides otherwise. An empty indicator is in no line, a repeated one counts once.
+    """
+    directive = materialize(directive.select("case_id", F.array_distinct(F.filter("indicators", lambda i: i != "")).alias("indicators")), "indicators")
+    lines = lines.select(*KEYS, "line_no", "text")
+    if indexed is None:
+        indexed = (directive.agg(F.max(F.size("indicators")).alias("n")).first()["n"] or 0) > FEW
+    if indexed:
+        return seeded_hits(lines, directive)
+    joined = with_directive(lines, directive, "indicators", stored=True)
     named = F.filter("indicators", lambda i: F.contains(F.col("text"), i))
-    return (
-        joined.select(*KEYS, "line_no", "text", F.explode(named).alias("indicator"))
-        .select(*KEYS, "line_no", "indicator", L.first_timestamp(F.col("text")).alias("raw_ts"))
-    )
+    return _stamped(joined.select(*KEYS, "line_no", "text", F.explode(named).alias("indicator")))
 
 
-def hits_in_window(hits: DataFrame, directive: DataFrame) -> DataFrame:
-    """Hits whose stamp lies in their directive's `start/end`; hits without an instant stay, an empty window keeps all."""
+def _stamped(hits: DataFrame) -> DataFrame:
+    return hits.select(*KEYS, "line_no", "indicator", L.first_timestamp(F.col("text")).alias("raw_ts"))
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Every run of `size` characters of a text; the match looks ahead, so that runs overlap."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1))
+
+
+def seed_index(directive: DataFrame, lines: DataFrame) -> DataFrame:
+    """(case_id, seed, indicators): each indicator under one run of `SEED` of its characters (all of a shorter one).
+
+    The run is the one that the first `SAMPLE_LINES` lines hold least often. Which one is taken decides how many lines are looked at
+    twice, not what is found.
+    """
+    each = directive.select("case_id", F.explode(F.array_distinct("indicators")).alias("indicator")).filter("indicator <> ''")
+    size = F.least(F.length("indicator"), F.lit(SEED))
+    runs = materialize(each.select("*", F.explode(F.array_distinct(_grams(F.col("indicator"), size))).alias("seed")), "seed-runs")
+    seen = lines.limit(SAMPLE_LINES).select(F.explode(F.array_distinct(_grams(F.col("text"), F.lit(SEED)))).alias("seed"))
+    rated = join_small(runs, seen.groupBy("seed").agg(F.count("*").alias("_n")), ["seed"], "left", spread=["indicator"])
+    rarest = rated.groupBy("case_id", "indicator").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("seed"))).alias("_best"))
+    return rarest.groupBy("case_id", F.col("_best.seed").alias("seed")).agg(F.collect_list("indicator").alias("indicators"))
+
+
+def seeded_hits(lines: DataFrame, directive: DataFrame) -> DataFrame:
+    """The rows of `indicator_hits` by an equi-join of the runs of characters of a line with the seeds of the indicators.
+
+    What a line costs depends on its length and on the seeds it holds, not on the number of indicators. Runs that are no seed are
+    left out where the line is read, up to `LISTED_SEEDS` different seeds; beyond, all runs of a line go to the join.
+    """
+    index = materialize(seed_index(directive, lines), "seed-index")
+    known = index.select(F.crc32(F.col("seed").cast("binary")).alias("code"), F.length("seed").alias("size")).distinct()
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most SEED of them
+    if not sizes:
+        return _stamped(lines.withColumn("indicator", F.lit(None).cast("string")).limit(0))
+    runs = F.array_distinct(F.concat(*[_grams(F.col("text"), F.lit(k)) for k in sizes]))
+    found = lines.withColumn("_runs", runs)
+    codes = known.select("code").distinct().limit(LISTED_SEEDS + 1).collect()
+    if len(codes) <= LISTED_SEEDS:
+        listed = ", ".join(f"{r['code']}L" for r in codes)
+        found = found.withColumn("_runs", F.expr(f"filter(_runs, g -> crc32(cast(g AS binary)) IN ({listed}))"))
+    found = found.select(*KEYS, "line_no", "text", F.explode("_runs").alias("seed"))
+    joined = join_small(found, index, ["case_id", "seed"], spread=["file", "line_no"], stored=True)
+    named = F.filter("indicators", lambda i: F.contains(F.col("text"), i))
+    return _stamped(joined.select(*KEYS, "line_no", "text", F.explode(named).alias("indicator")))
+
+
+def mark_window(hits: DataFrame, directive: DataFrame) -> DataFrame:
+    """Hits with `in_window`: whether their stamp lies in their directive's `start/end`. A hit without an instant is inside, and an
+    empty window holds all."""
     joined = with_directive(hits, directive, "time_window")
     ends = F.split("time_window", "/")
     ts = L.typed_timestamp(F.col("raw_ts"))
-    keep = (F.col("time_window") == "") | ts.between(L.utc_instant(F.get(ends, F.lit(0))), L.utc_instant(F.get(ends, F.lit(1))))
-    return joined.filter(F.coalesce(keep, F.lit(True))).drop("time_window")
+    inside = (F.col("time_window") == "") | ts.between(L.utc_instant(F.get(ends, F.lit(0))), L.utc_instant(F.get(ends, F.lit(1))))
+    return joined.withColumn("in_window", F.coalesce(inside, F.lit(True))).drop("time_window")
+
+
+def hits_in_window(hits: DataFrame, directive: DataFrame) -> DataFrame:
+    """Hits whose stamp lies in their directive's `start/end`; hits without an instant stay, an empty window keeps all."""
+    return mark_window(hits, directive).filter("in_window").drop("in_window")
 
 
 def token_hits(lines: DataFrame, indicators: DataFrame) -> DataFrame:
@@ -102,20 +171,23 @@ def mentions(hits: DataFrame) -> DataFrame:
 
 
 def findings(hits: DataFrame, slices: DataFrame, *, budget: int) -> DataFrame:
-    """Per slice and indicator: count, end points with their stamps, at most five refs.
+    """Per slice and indicator: count, end points with their stamps, at most five refs, and the lines outside the time window.
 
-    A slice holds at most budget/12 lines, so its line numbers fit one small list.
+    Hits that `mark_window` puts outside the window are counted apart; a row with no others has a match_count of 0. A slice
+    holds at most budget/12 lines, so its line numbers fit one small list.
     """
-    placed = locate(hits, slices, budget=budget)
+    inside = F.col("in_window") if "in_window" in hits.columns else F.lit(True)
+    placed = locate(hits.withColumn("_line", F.when(inside, F.col("line_no"))), slices, budget=budget)
     keys = [*KEYS, "slice_id", "window_index", "indicator"]
-    numbers = F.array_sort(F.collect_list("line_no"))
+    numbers = F.array_sort(F.collect_list("_line"))
     return placed.groupBy(*keys).agg(
-        F.count("*").alias("match_count"),
+        F.count("_line").alias("match_count"),
+        F.count_if(F.col("_line").isNull()).alias("outside"),
         F.slice(numbers, 1, MAX_REPRESENTATIVE_REFS).alias("_samples"),
-        F.min("line_no").alias("first_line"),
-        F.max("line_no").alias("last_line"),
-        F.min_by("raw_ts", "line_no").alias("first_ts"),
-        F.max_by("raw_ts", "line_no").alias("last_ts"),
+        F.min("_line").alias("first_line"),
+        F.max("_line").alias("last_line"),
+        F.min_by("raw_ts", "_line").alias("first_ts"),
+        F.max_by("raw_ts", "_line").alias("last_ts"),
     ).select(
         *keys,
         F.concat(F.lit("lines that contain "), L.quoted(F.col("indicator"))).alias("description"),
@@ -124,7 +196,7 @@ def findings(hits: DataFrame, slices: DataFrame, *, budget: int) -> DataFrame:
         L.line_ref(F.col("file"), F.col("first_line")).alias("first_ref"),
         L.line_ref(F.col("file"), F.col("last_line")).alias("last_ref"),
         F.lit("high").alias("confidence"),
-        "first_line", "last_line", "first_ts", "last_ts",
+        "first_line", "last_line", "first_ts", "last_ts", "outside",
     )
 
 
@@ -170,11 +242,9 @@ def apply_exclusions(lines: DataFrame, directive: DataFrame) -> DataFrame:
     )
 
 
-def taskings(slices: DataFrame, directive: DataFrame, iteration: int = 0) -> DataFrame:
-    """One task per slice of every case that has a directive."""
-    joined = join_small(
-        slices, directive.select("case_id", "alert_restatement", "indicators"), ["case_id"], spread=["file", "window_index"]
-    )
+def taskings(slices: DataFrame, directive: DataFrame, iteration: int = 0, *columns: str) -> DataFrame:
+    """One task per slice of every case that has a directive; `columns` of the directive go with each task."""
+    joined = join_small(slices, directive.select("case_id", "alert_restatement", *columns), ["case_id"], spread=["file", "window_index"])
     return joined.select(
         F.concat_ws("/", "case_id", F.lit("sweep"), "slice_id").alias("task_id"),
         "case_id",
@@ -182,30 +252,43 @@ def taskings(slices: DataFrame, directive: DataFrame, iteration: int = 0) -> Dat
         "slice_id", "file", "window_index", "start_line", "end_line",
         F.lit("Sweep this slice: read every line and report those that bear on the alert.").alias("instruction"),
         F.col("alert_restatement").alias("commander_intent"),
-        "indicators",
+        *columns,
     )
 
 
 def reports(tasks: DataFrame, found: DataFrame) -> DataFrame:
-    """A report per task from the literal matches: findings, and the indicators that were looked for and not seen."""
-    fields = F.struct(
-        "description", "match_count", "representative_refs", "first_ref", "last_ref", "confidence"
-    )
-    listed = F.array_sort(F.collect_list(F.struct("indicator", fields.alias("finding"))))
-    per_slice = found.groupBy(*KEYS, "slice_id").agg(listed.alias("_found"))
+    """A report per task from the literal matches, and `seen`: the indicators that it speaks of.
+
+    An indicator is in one of three states for a slice: found; in its lines, but only outside the time window, which is a check
+    that says so and no negative; or not in its lines. The last follows from the directive and is not written out, so that a report
+    grows with what was seen (see `outcomes.negatives_by_difference` and `with_absent`).
+    """
+    fields = F.struct("description", "match_count", "representative_refs", "first_ref", "last_ref", "confidence")
+    one = F.struct("indicator", fields.alias("finding"), "outside")
+    per_slice = found.groupBy(*KEYS, "slice_id").agg(F.array_sort(F.collect_list(one)).alias("_found"))
     joined = tasks.join(per_slice, [*KEYS, "slice_id"], "left")
-    found_list = F.coalesce("_found", F.array().cast(per_slice.schema["_found"].dataType))
-    absent = F.array_except("indicators", F.transform(found_list, lambda f: f["indicator"]))
+    listed = F.coalesce("_found", F.array().cast(per_slice.schema["_found"].dataType))
+    inside = F.filter(listed, lambda f: f["finding"]["match_count"] > 0)
+    beyond = F.filter(listed, lambda f: f["finding"]["match_count"] == 0)
+    result = lambda f: F.concat(F.lit(OUTSIDE), f["outside"].cast("string"), F.lit(" line(s)"))
+    check = lambda f: F.struct(f["indicator"].alias("checked_for"), F.lit(False).alias("found"), result(f).alias("result"))
     lines_examined = (F.col("end_line") - F.col("start_line") + 1).cast("bigint")
     report = F.struct(
         F.struct("slice_id", "file", lines_examined.alias("lines_examined")).alias("slice_metadata"),
-        (F.size(found_list) > 0).alias("relevant"),
-        F.transform(found_list, lambda f: f["finding"]).alias("findings"),
-        F.transform(
-            absent,
-            lambda i: F.struct(
-                i.alias("checked_for"), F.lit(False).alias("found"), F.lit("not seen in this slice").alias("result")
-            ),
-        ).alias("checked_for"),
+        (F.size(inside) > 0).alias("relevant"),
+        F.transform(inside, lambda f: f["finding"]).alias("findings"),
+        F.transform(beyond, check).alias("checked_for"),
     )
-    return joined.withColumn("report", report).drop("_found", "indicators")
+    return joined.withColumn("report", report).withColumn("seen", F.transform(listed, lambda f: f["indicator"])).drop("_found")
+
+
+def with_absent(outcomes: DataFrame, directive: DataFrame) -> DataFrame:
+    """Swept outcomes whose reports also list each indicator that is not in their slice, a row of text for each slice and indicator.
+
+    For reading single reports; counts over slices come without it (`outcomes.negatives_by_difference`).
+    """
+    joined = join_small(outcomes, directive.select("case_id", "indicators"), ["case_id"], spread=["slice_id"])
+    absent = F.array_except(F.filter("indicators", lambda i: i != ""), "seen")
+    check = lambda i: F.struct(i.alias("checked_for"), F.lit(False).alias("found"), F.lit("not seen in this slice").alias("result"))
+    listed = F.concat("report.checked_for", F.transform(absent, check))
+    return joined.withColumn("report", F.col("report").withField("checked_for", listed)).drop("indicators")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
 from sweeplog.functions import problems as P
+from sweeplog.operators.indicators import OUTSIDE
 
 TOP_NEGATIVES = 25
 LISTED_EMPTY = 40
@@ -92,17 +93,45 @@ def negative_checks(outcomes: DataFrame) -> DataFrame:
         "case_id", "file", "window_index", F.posexplode("report.checked_for").alias("_pos", "_check")
     )
     return (
-        checks.filter(~F.col("_check.found"))
+        checks.filter(~F.col("_check.found") & ~_outside(F.col("_check")))
         .groupBy("case_id", F.col("_check.checked_for").alias("checked_for"))
         .agg(F.count("*").alias("slices"), F.min(F.struct("file", "window_index", "_pos")).alias("first_seen"))
     )
 
 
-def top_negatives(outcomes: DataFrame, limit: int = TOP_NEGATIVES) -> DataFrame:
-    """The most frequent negatives per case, ties by first occurrence. Other subjects stay in negative_checks."""
+def _outside(check: Column) -> Column:
+    return F.coalesce(F.startswith(check["result"], F.lit(OUTSIDE)), F.lit(False))
+
+
+def negatives_by_difference(outcomes: DataFrame, directive: DataFrame) -> DataFrame:
+    """Negative checks of a sweep: per case and indicator the slices that were read and do not have it in any of their lines.
+
+    The slices of a case less those whose report speaks of the indicator, be it as found or as outside the time window. What is sent grows
+    with slices and findings, not with their product with the indicators. Equal counts are in the directive's order.
+    """
+    read = outcomes.filter(F.col("report").isNotNull())
+    slices = read.groupBy("case_id").agg(F.count("*").alias("_read"))
+    seen = read.select("case_id", F.explode("seen").alias("checked_for")).groupBy("case_id", "checked_for").agg(F.count("*").alias("_seen"))
+    listed = directive.select("case_id", F.posexplode(F.array_distinct("indicators")).alias("_pos", "checked_for")).filter("checked_for <> ''")
+    left = (F.col("_read") - F.coalesce("_seen", F.lit(0))).alias("slices")
+    position = F.struct(F.lit("").alias("file"), F.lit(0).cast("bigint").alias("window_index"), F.col("_pos")).alias("first_seen")
+    return listed.join(slices, "case_id").join(seen, ["case_id", "checked_for"], "left").select("case_id", "checked_for", left, position).filter("slices > 0")
+
+
+def seen_outside(outcomes: DataFrame) -> DataFrame:
+    """Per case and subject the slices that hold it only outside the time window: ground that is neither found nor clear."""
+    checks = outcomes.filter(F.col("report").isNotNull()).select("case_id", F.explode("report.checked_for").alias("_check"))
+    return checks.filter(_outside(F.col("_check"))).groupBy("case_id", F.col("_check.checked_for").alias("checked_for")).agg(F.count("*").alias("slices"))
+
+
+def top_negatives(outcomes: DataFrame, limit: int = TOP_NEGATIVES, directive: DataFrame | None = None) -> DataFrame:
+    """The most frequent negatives per case, ties by first occurrence. Other subjects stay in negative_checks.
+
+    With a directive those of a sweep, whose reports leave them out.
+    """
     order = Window.partitionBy("case_id").orderBy(F.desc("slices"), F.asc("first_seen"))
     return (
-        negative_checks(outcomes)
+        (negative_checks(outcomes) if directive is None else negatives_by_difference(outcomes, directive))
         .withColumn("rank", F.row_number().over(order).cast("bigint"))
         .filter(F.col("rank") <= limit)
         .select("case_id", "rank", "checked_for", "slices")
@@ -152,7 +181,7 @@ def failure_lines(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("outcome") == "failure").select("case_id", "file", "window_index", "slice_id", text.alias("text"))
 
 
-def coverage_text(outcomes: DataFrame) -> DataFrame:
+def coverage_text(outcomes: DataFrame, directive: DataFrame | None = None) -> DataFrame:
     """The bounded part of a case summary as text: coverage line and counted negatives.
 
     Findings, failures and stray hits keep one row each (finding_lines, failure_lines, stray_hits), so a case with
@@ -170,7 +199,7 @@ def coverage_text(outcomes: DataFrame) -> DataFrame:
     line = F.concat(F.lit("  - "), L.quoted(F.col("checked_for")),
                     F.format_string(": looked for in %d slice(s), not found", "slices"))
     negatives = (
-        top_negatives(outcomes).withColumn("_line", line).groupBy("case_id")
+        top_negatives(outcomes, directive=directive).withColumn("_line", line).groupBy("case_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_line"))), lambda r: r["_line"]).alias("_lines"))
         .select("case_id", F.array_join("_lines", "\n").alias("negatives"))
     )

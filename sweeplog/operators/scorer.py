@@ -95,7 +95,7 @@ def sweep_with_scorer(lines: DataFrame, slices: DataFrame, directive: DataFrame,
         )
 
     slices = materialize(slices, "slices")
-    tasks = materialize(taskings(slices, directive), "taskings")
+    tasks = materialize(taskings(slices, directive, 0, "indicators"), "taskings")
     open_tasks = tasks.withColumn("feedback", F.array().cast("array<string>"))
     settled = []
     for attempt in range(1, max_retries + 2):

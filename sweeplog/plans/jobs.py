@@ -43,13 +43,14 @@ def sweep(lines: DataFrame, slices: DataFrame, directive: DataFrame, *, budget:
     """Outcome of every task: each slice of every case is read against its directive by literal match.
 
     Matching runs on the lines where they lie; only hits meet the slices. Directives and slices are written once, as
-    several steps read them. A time window leaves out hits with a stamp outside it. Phrases that are explicitly
-    irrelevant never hide a line with an indicator, so they leave literal matches as they are (see apply_exclusions).
+    several steps read them. Hits whose stamp lies outside the directive's time window are no findings, but a check that says
+    where they are. `seen` has the indicators that a report speaks of; the others are absent (see `reports`). Phrases that are
+    explicitly irrelevant never hide a line with an indicator, so they leave literal matches as they are (see apply_exclusions).
     """
     directive, slices = materialize(directive, "directives"), materialize(slices, "slices")
     hits = I.indicator_hits(lines, directive)
     if not directive.filter("time_window <> ''").isEmpty():
-        hits = I.hits_in_window(hits, directive)
+        hits = I.mark_window(hits, directive)
     found = I.findings(hits, slices, budget=budget)
     answered = I.reports(I.taskings(slices, directive), found)
     return answered.select(
@@ -59,7 +60,7 @@ def sweep(lines: DataFrame, slices: DataFrame, directive: DataFrame, *, budget:
         F.lit(None).cast("string").alias("reason"),
         F.lit(None).cast("string").alias("detail"),
         F.array().cast("array<string>").alias("validation_errors"),
-        "report",
+        "report", "seen",
     )
 
 
@@ -68,9 +69,9 @@ def validate_reports(answers: DataFrame, slices: DataFrame, tasks: DataFrame, *r
     return O.settle(tasks, C.with_problems(answers, slices, *rules), compat=compat)
 
 
-def collapse(outcomes: DataFrame) -> DataFrame:
-    """One bounded row per case: counts, coverage text and counted negatives."""
-    return O.coverage_text(outcomes)
+def collapse(outcomes: DataFrame, directive: DataFrame | None = None) -> DataFrame:
+    """One bounded row per case: counts, coverage text and counted negatives. Those of a sweep need its directive."""
+    return O.coverage_text(outcomes, directive)
 
 
 def drilldown(outcomes: DataFrame, slices: DataFrame, *, max_drilldowns: int = 2, max_tasks: int = D.MAX_TASKS) -> DataFrame:

@@ -99,16 +99,17 @@ def join_small(
     spread: list[str] | None = None,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
     salts: int = 32,
+    stored: bool = False,
 ) -> DataFrame:
     """Join a large frame to a side that is normally small.
 
-    The small side is computed once, written, and measured. Below the limit it is broadcast and the large side does not move.
+    The small side is computed once, written (unless it is a `stored` table already), and measured. Below the limit it is broadcast and the large side does not move.
     Above it both sides shuffle on the key plus a salt taken from the large side's `spread` columns,
     with the small side repeated once per salt, so a key that owns a third of all rows is cut in `salts`.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the large side must be kept whole; {how!r} is not supported")
-    small = materialize(small, "small-side")
+    small = small if stored else materialize(small, "small-side")
     if estimated_bytes(small) <= limit_bytes:
         return big.join(F.broadcast(small), on, how)
     if not spread:

@@ -89,7 +89,9 @@ def test_sweep_reports_are_valid_and_complete(lines, directive, texts):
     assert total.failed == 0 and total.detailed + total.empty == total.tasks
     once = I.line_totals(I.indicator_hits(lines, directive)).first()
     assert once.distinct_lines == sum(any(i in t for i in INDICATORS) for ts in texts.values() for t in ts)
-    absent = {r.checked_for: r.slices for r in O.negative_checks(outcomes).collect()}
+    assert O.negative_checks(outcomes).count() == 0  # what is absent follows from the directive
+    absent = {r.checked_for: r.slices for r in O.negatives_by_difference(outcomes, directive).collect()}
+    assert absent == {r.checked_for: r.slices for r in O.negative_checks(I.with_absent(outcomes, directive)).collect()}
     assert absent["wks-1"] + outcomes.filter(F.exists("report.findings", lambda f: f["description"].contains("wks-1"))).count() == total.tasks
 
 
@@ -128,3 +130,46 @@ def test_token_hits_match_parent_domains_only_on_label_borders(spark):
     lines = spark.createDataFrame(rows, "case_id string, file string, line_no bigint, text string")
     wanted = spark.createDataFrame([("c", "bad-sync.net"), ("c", "10.1.2.3")], "case_id string, indicator string")
     assert sorted((r.line_no, r.indicator) for r in I.token_hits(lines, wanted).collect()) == [(1, "bad-sync.net"), (3, "10.1.2.3")]
+
+
+def test_ground_outside_the_window_is_not_reported_clear(spark):
+    stamps = {1: "2026-08-03T11:04:12Z evil", 2: "2026-08-03T11:05:12Z x", 3: "2029-01-01T00:00:00Z evil", 4: "2029-01-01T00:00:00Z evil bad", 5: "2026-08-03T11:06:00Z bad"}
+    lines = spark.createDataFrame([("c", "f", i, t) for i, t in stamps.items()], "case_id string, file string, line_no bigint, text string")
+    directive = spark.createDataFrame([("c", "look", ["evil", "bad", "none"], "2026-08-01T00:00:00Z/2026-09-01T00:00:00Z")],
+                                      "case_id string, alert_restatement string, indicators array<string>, time_window string")
+    slices = spark.createDataFrame([("c", "f", f"f-000{k}", k, a, b) for k, a, b in ((1, 1, 2), (2, 3, 4), (3, 5, 5))],
+                                   "case_id string, file string, slice_id string, window_index bigint, start_line bigint, end_line bigint")
+    outcomes = jobs.sweep(lines, slices, directive, budget=BUDGET)
+    state = {r.slice_id: (r.report.relevant, [c.checked_for for c in r.report.checked_for], r.seen) for r in outcomes.collect()}
+    assert state == {"f-0001": (True, [], ["evil"]), "f-0002": (False, ["bad", "evil"], ["bad", "evil"]), "f-0003": (True, [], ["bad"])}
+    assert {(r.checked_for, r.slices) for r in O.negatives_by_difference(outcomes, directive).collect()} == {("none", 3), ("evil", 1), ("bad", 1)}
+    assert {(r.checked_for, r.slices) for r in O.seen_outside(outcomes).collect()} == {("bad", 1), ("evil", 1)}
+    text = jobs.collapse(outcomes, directive).first()
+    assert "'none': looked for in 3 slice(s), not found" in text.negatives and "'evil': looked for in 1" in text.negatives
+
+
+@pytest.mark.parametrize("listed", [100_000, 3])
+def test_seeded_hits_equal_the_plain_scan(spark, listed, monkeypatch):
+    import random
+
+    monkeypatch.setattr(I, "LISTED_SEEDS", listed)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abé.日") for _ in range(n))
+    rows = [(rng.choice("cd"), "f", i, word(rng.randrange(0, 40))) for i in range(400)] + [("c", "g", 1, None), ("e", "g", 1, "abab")]
+    names = {c: list({word(rng.randrange(1, 7)) for _ in range(90)}) + ["", "ab"] for c in "cd"}
+    lines = spark.createDataFrame(rows, "case_id string, file string, line_no bigint, text string")
+    directive = spark.createDataFrame([*names.items(), ("e", []), ("x", None)], "case_id string, indicators array<string>")
+    want = sorted((c, f, n, i) for c, f, n, t in rows for i in set(names.get(c, [])) if t and i and i in t)
+    for indexed in (None, False):
+        got = I.indicator_hits(lines, directive, indexed=indexed).select("case_id", "file", "line_no", "indicator").collect()
+        assert sorted(tuple(r) for r in got) == want
+    none = directive.filter("case_id = 'e'")
+    assert I.indicator_hits(lines, none, indexed=True).count() == 0 == I.indicator_hits(lines, none).count()
+
+
+def test_the_plan_for_many_indicators_holds_no_list_of_them(spark, lines):
+    directive = spark.createDataFrame([("c", "r", [f"host-{i:05d}.example.com" for i in range(10_000)], "")],
+                                      "case_id string, alert_restatement string, indicators array<string>, time_window string")
+    hits = I.indicator_hits(lines, directive)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "host-00" not in plan and hits.count() == 0
