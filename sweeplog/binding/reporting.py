@@ -15,6 +15,7 @@ from sweeplog.operators import brief as B
 from sweeplog.operators import citations as C
 from sweeplog.operators import indicators as I
 from sweeplog.operators import outcomes as O
+from sweeplog.operators import runstats as R
 
 # A budget that no document reaches, so that every document is one slice.
 WHOLE_FILE = 1_000_000
@@ -337,14 +338,8 @@ def ledger(spark, sf_dir):
     return O.ledger(outcomes(spark, sf_dir)).drop("instruction")
 
 
-@register("all_rounds", f"""WITH {OUTCOMES}
-SELECT case_id, outcome, iteration, count(*) AS tasks FROM (
-  SELECT case_id, outcome, CAST(0 AS BIGINT) AS iteration FROM outcomes
-  UNION ALL SELECT case_id, outcome, CAST(1 AS BIGINT) FROM outcomes WHERE outcome = 'report') GROUP BY ALL""")
-def all_rounds(spark, sf_dir):
-    sweep = outcomes(spark, sf_dir)
-    again = sweep.filter("outcome = 'report'").withColumn("iteration", F.lit(1).cast("bigint")).drop("validation_errors")
-    return O.all_rounds(sweep, again).groupBy("case_id", "outcome", "iteration").agg(F.count("*").alias("tasks"))
+def _states(at: str) -> str:
+    return f"([{', '.join(S.text(v) for v in R.STATES)}])[{at} + 1]"
 
 
 BODIES = f"""{REPORTS},
@@ -388,6 +383,29 @@ def quality_counts(spark, sf_dir):
     return B.quality_counts(V.brief_bodies(spark, sf_dir), doc_inventory(spark, sf_dir))
 
 
+@register("brief_records", f"""WITH {BODIES},
+cited AS (SELECT DISTINCT case_id, investigation_id, unnest(refs) AS ref FROM claims),
+bad AS (SELECT c.investigation_id, string_agg(ref, ' ' ORDER BY ref) AS refs FROM cited c JOIN docs d ON d.file = c.investigation_id
+        WHERE CAST(regexp_extract(ref, ':L([0-9]+)$', 1) AS BIGINT) > d.n GROUP BY ALL),
+uncited AS (SELECT investigation_id, string_agg(claim, chr(10) ORDER BY claim) AS listed FROM (
+              SELECT investigation_id, locator || ': ' || left(description, 120) AS claim FROM claims WHERE len(refs) = 0) GROUP BY ALL),
+steps AS (SELECT user_id, {_states('event_id % 14')} AS from_state, {_states("CAST(json_extract(props, '$.k') AS BIGINT) % 14")} AS to_state, event_id
+          FROM events WHERE event_type IN ('signup', 'view') AND event_id % 50 <> 0),
+ended AS (SELECT user_id, arg_max(to_state, event_id) AS state, bool_or(to_state IN ('ABORTING', 'ABORTED_BY_OPERATOR')) AS aborted FROM steps GROUP BY ALL)
+SELECT r.case_id, r.file AS investigation_id, r.case_id || '-alert' AS alert_id, coalesce(state, '') AS terminal_state, coalesce(aborted, false) AS aborted_by_operator,
+       coalesce(bad.refs, '') AS unresolved_citations, coalesce(uncited.listed, '') AS uncited_claims
+FROM rep r LEFT JOIN bad ON bad.investigation_id = r.file LEFT JOIN uncited ON uncited.investigation_id = r.file LEFT JOIN ended ON ended.user_id = r.d""")
+def brief_records(spark, sf_dir):
+    bodies = V.brief_bodies(spark, sf_dir)
+    cases = bodies.select("case_id").distinct().withColumn("alert_id", F.concat("case_id", F.lit("-alert")))
+    states = R.final_states(V.run_log(spark, sf_dir)).withColumn(
+        "investigation_id", F.concat(F.lit("doc-"), F.regexp_extract("investigation_id", r"(\d+)$", 1), F.lit(".txt"))
+    )
+    return B.records(cases, bodies, doc_inventory(spark, sf_dir), states).withColumns({
+        "unresolved_citations": F.array_join("unresolved_citations", " "), "uncited_claims": F.array_join("uncited_claims", "\n"),
+    })
+
+
 REPLY = """
 replies AS (
   SELECT event_id, CASE WHEN event_id % 7 = 0 THEN left(body, length(body) - 1) ELSE body END AS body, event_id % 4 = 0 AS fenced FROM (

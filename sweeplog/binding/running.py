@@ -285,16 +285,17 @@ v AS (SELECT investigation_id, count(*) AS validations, count(*) FILTER (WHERE N
 r AS (SELECT investigation_id, string_agg(reason || '=' || n, ' ' ORDER BY reason) AS reasons
       FROM (SELECT investigation_id, reason, count(*) AS n FROM reasons GROUP BY ALL) GROUP BY ALL),
 c AS (SELECT investigation_id, role, count(*) AS n FROM log WHERE kind = 'llm_call' GROUP BY ALL)
-SELECT i.investigation_id, p.effective_parallelism, v.validations, v.rejections, coalesce(r.reasons, '') AS reasons,
+SELECT i.investigation_id, w.seconds AS wall_clock_s, p.effective_parallelism, v.validations, v.rejections, coalesce(r.reasons, '') AS reasons,
        ph.seconds AS collecting_s, g.n AS worker_calls
 FROM (SELECT DISTINCT investigation_id FROM log) i LEFT JOIN parallel p USING (investigation_id) LEFT JOIN v USING (investigation_id)
 LEFT JOIN r USING (investigation_id) LEFT JOIN (SELECT * FROM phases WHERE state = 'COLLECTING') ph USING (investigation_id)
-LEFT JOIN (SELECT * FROM c WHERE role = 'grunt') g USING (investigation_id)""")
+LEFT JOIN (SELECT * FROM c WHERE role = 'grunt') g USING (investigation_id)
+LEFT JOIN (SELECT investigation_id, (max(epoch_us(moment)) - min(epoch_us(moment))) / 1e6 AS seconds FROM log GROUP BY ALL) w USING (investigation_id)""")
 def run_stats(spark, sf_dir):
     stats = R.run_stats(V.run_log(spark, sf_dir))
     reasons = F.transform(F.array_sort(F.map_entries("work.rejection_reasons")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return stats.select(
-        "investigation_id", "time.effective_parallelism", "work.validations", "work.rejections",
+        "investigation_id", "time.wall_clock_s", "time.effective_parallelism", "work.validations", "work.rejections",
         F.coalesce(F.array_join(reasons, " "), F.lit("")).alias("reasons"),
         F.try_element_at("time.by_phase_s", F.lit("COLLECTING")).alias("collecting_s"),
         F.try_element_at("roles", F.lit("grunt"))["calls"].alias("worker_calls"),

@@ -302,6 +302,27 @@ def drilldown_taskings(spark, sf_dir):
     return tasks.select("task_id", "case_id", "iteration", "slice_id", "start_line", "end_line")
 
 
+@register("all_rounds", f"""WITH RECURSIVE {SWEPT},
+runs AS (SELECT case_id, slice_id, count(*) AS findings FROM (SELECT DISTINCT case_id, slice_id, indicator, line_no - rn AS run FROM (
+           SELECT *, row_number() OVER (PARTITION BY case_id, slice_id, indicator ORDER BY line_no) AS rn FROM placed)) GROUP BY ALL),
+flagged AS (SELECT case_id, file, slice_id, window_index, matches FROM swept WHERE findings > 0),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY matches DESC, file, window_index) AS rank FROM flagged) WHERE rank <= 6),
+rest AS (SELECT f.*, EXISTS (SELECT 1 FROM first o WHERE o.case_id = f.case_id AND o.file = f.file AND abs(o.window_index - f.window_index) = 1) AS near
+         FROM flagged f ANTI JOIN first USING (case_id, slice_id)),
+second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY near DESC, matches DESC, file, window_index) AS rank FROM rest) WHERE rank <= 6)
+SELECT case_id, CAST(0 AS BIGINT) AS iteration, case_id || '/sweep/' || slice_id AS task_id, slice_id, 'report' AS outcome, CAST(findings AS BIGINT) AS findings, matches AS matching_lines FROM swept
+UNION ALL SELECT case_id, 1, printf('%s/i1-t%d', case_id, rank - 1), slice_id, 'report', r.findings, matches FROM first JOIN runs r USING (case_id, slice_id)
+UNION ALL SELECT case_id, 2, printf('%s/i2-t%d', case_id, rank - 1), slice_id, 'report', r.findings, matches FROM second JOIN runs r USING (case_id, slice_id)""")
+def all_rounds(spark, sf_dir):
+    """The sweep and two rounds of six closer reads a case, the second chosen from what the first one brought."""
+    lines = V.doc_lines(spark, sf_dir).drop("doc_id")
+    read = jobs.investigate(lines, V.doc_slices(spark, sf_dir, DOC_BUDGET), I.directives(V.alerts(spark, sf_dir)), budget=DOC_BUDGET, rounds=2, max_tasks=6)
+    return read.select(
+        "case_id", "iteration", "task_id", "slice_id", "outcome", F.size("report.findings").cast("bigint").alias("findings"),
+        O.matching_lines(F.col("report")).alias("matching_lines"),
+    )
+
+
 @register("neighbour_slices", f"""WITH RECURSIVE {CHOSEN}
 SELECT c.case_id, c.file, c.slice_id AS flagged_slice, t.slice_id, t.window_index, t.start_line, t.end_line
 FROM chosen c JOIN tasks t ON t.case_id = c.case_id AND t.file = c.file AND abs(t.window_index - c.window_index) = 1""")

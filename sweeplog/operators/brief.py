@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
 from sweeplog.operators.citations import unresolved_refs
+from sweeplog.session import materialize
 
 EXCERPT = 120
 ALERT_FIELDS = ("alert_id", "detector", "rule_name", "status", "severity")
@@ -98,3 +99,29 @@ def briefs(alerts: DataFrame, coverage: DataFrame, signals: DataFrame) -> DataFr
             F.coalesce("injection_signals", zero).alias("injection_signals"),
         )
     )
+
+
+def records(briefs: DataFrame, bodies: DataFrame, inventory: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """One row per investigation: its case's brief with what is stamped on it whatever the body says.
+
+    That is the state in which the run ended (empty where no log tells), whether an operator aborted it, the cited refs that no line
+    carries, and the claims without any ref. Both lists are parts of the body, so no longer than it.
+    """
+    ids = ["case_id", "investigation_id"]
+    found = materialize(claims(bodies), "claims")
+    refs = claim_refs(found)
+    bad = refs.distinct().join(unresolved_refs(refs, inventory), ["case_id", "ref"]).groupBy(*ids).agg(
+        F.array_sort(F.collect_list("ref")).alias("unresolved_citations")
+    )
+    uncited = uncited_claims(found).groupBy(*ids).agg(F.array_sort(F.collect_list("claim")).alias("uncited_claims"))
+    out = bodies.select(*ids).join(briefs, "case_id").join(bad, ids, "left").join(uncited, ids, "left")
+    if states is None:
+        ended = out.withColumn("_state", F.lit(None).cast("string")).withColumn("_aborted", F.lit(None).cast("boolean"))
+    else:
+        ended = out.join(states.select("investigation_id", F.col("final_state").alias("_state"), F.col("aborted_by_operator").alias("_aborted")), "investigation_id", "left")
+    none = F.array().cast("array<string>")
+    return ended.select(
+        *ids, *[c for c in briefs.columns if c != "case_id"],
+        F.coalesce("_state", F.lit("")).alias("terminal_state"), F.coalesce("_aborted", F.lit(False)).alias("aborted_by_operator"),
+        F.coalesce("unresolved_citations", none).alias("unresolved_citations"), F.coalesce("uncited_claims", none).alias("uncited_claims"),
+    )

@@ -42,6 +42,9 @@ STATS_FIELDS = (
 )
 
 
+QUALITY_FIELDS = ("slices_swept", "unresolved_citations", "uncited_claims", "timeline_events", "hypotheses", "narrative_chars")
+
+
 def instant(ts: str = "ts"):
     return F.try_to_timestamp(F.col(ts))
 
@@ -161,6 +164,12 @@ def parallelism(log: DataFrame) -> DataFrame:
     )
 
 
+def wall_clock(log: DataFrame) -> DataFrame:
+    """Seconds between the first and the last event of a run that has a time."""
+    micros = F.unix_micros(instant())
+    return log.groupBy(RUN).agg(((F.max(micros) - F.min(micros)) / F.lit(1e6)).alias("wall_clock_s"))
+
+
 def work_totals(log: DataFrame, inventory: DataFrame) -> DataFrame:
     """Files, lines, slices and calls per run. `inventory` has investigation_id, line_count, slice_count."""
     read = inventory.groupBy(RUN).agg(
@@ -255,12 +264,15 @@ def estimate(workload: DataFrame, history: DataFrame, concurrency: int) -> DataF
 
 
 def run_stats(log: DataFrame, *, inventory: DataFrame | None = None, metrics: DataFrame | None = None,
-              samples: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
-    """One row per run with nested structs for roles, phases, work and rejections.
+              samples: DataFrame | None = None, runs: DataFrame | None = None, failures: DataFrame | None = None,
+              quality: DataFrame | None = None) -> DataFrame:
+    """One row per run with nested structs for times, roles, phases, work and rejections.
 
     Optional parts: `inventory` (see work_totals), `metrics` (see metric_delta), `samples` (investigation_id, name,
-    value) and `runs` (investigation_id with backend, concurrency_configured, case: what the estimate of later runs needs). The maps are bounded: roles of a run, 14 states, 8 reasons, the kinds of sample. The log is parsed once and
-    written with the fields that count.
+    value), `runs` (investigation_id with backend, concurrency_configured, case: what the estimate of later runs needs), `failures`
+    (investigation_id, failures, failure_reasons as in `outcomes.failure_summary`) and `quality` (investigation_id and counts as in
+    `brief.quality_counts`, and slices_swept). The maps are bounded: roles of a run, 14 states, 8 reasons, the kinds of sample.
+    The log is parsed once and written with the fields that count.
     """
     log = materialize(log.select(*STATS_FIELDS), "run-log")
 
@@ -276,7 +288,7 @@ def run_stats(log: DataFrame, *, inventory: DataFrame | None = None, metrics: Da
     parts = [
         as_map(by_role, "role", role, "roles"),
         as_map(phase_durations(log), "state", F.col("seconds"), "by_phase_s"),
-        parallelism(log), validations(log), final_states(log),
+        parallelism(log), validations(log), final_states(log), wall_clock(log),
         as_map(rejection_reasons(log), "reason", F.col("reports"), "rejection_reasons"),
     ]
     work = ["validations", "rejections", "rejection_rate", "rejection_reasons"]
@@ -295,6 +307,13 @@ def run_stats(log: DataFrame, *, inventory: DataFrame | None = None, metrics: Da
     if runs is not None:
         parts.append(runs.select(RUN, *[c for c in ("backend", "concurrency_configured", "case") if c in runs.columns]))
         extra += parts[-1].columns[1:]
+    if failures is not None:
+        parts.append(failures.select(RUN, F.col("failures").alias("task_failures"), F.col("failure_reasons").alias("task_failure_reasons")))
+        work += ["task_failures", "task_failure_reasons"]
+    if quality is not None:
+        counts = [c for c in QUALITY_FIELDS if c in quality.columns]
+        parts.append(quality.select(RUN, F.struct(*counts).alias("quality")))
+        extra.append("quality")
     out = log.select(RUN).distinct()
     for part in parts:
         out = out.join(part, RUN, "left")
@@ -302,7 +321,7 @@ def run_stats(log: DataFrame, *, inventory: DataFrame | None = None, metrics: Da
         RUN,
         F.col("final_state").alias("terminal_state"),
         "aborted_by_operator",
-        F.struct("by_phase_s", "effective_parallelism").alias("time"),
+        F.struct("wall_clock_s", "by_phase_s", "effective_parallelism").alias("time"),
         F.struct(*work).alias("work"),
         "roles",
         *extra,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,27 @@ def drilldown(outcomes: DataFrame, slices: DataFrame, *, max_drilldowns: int = 2
     return D.taskings(D.choose(outcomes, max_drilldowns=max_drilldowns, max_tasks=max_tasks), slices, max_tasks)
 
 
+def investigate(lines: DataFrame, slices: DataFrame, directive: DataFrame, *, budget: int, rounds: int = 2, max_tasks: int = D.MAX_TASKS,
+                reader: Callable[..., DataFrame] = D.close_reports) -> DataFrame:
+    """Outcomes of the sweep and of up to `rounds` rounds of closer reads, each chosen from the stored outcomes of those before.
+
+    `reader(lines, tasks, directive, budget=...)` gives task_id, case_id, slice_id and a report for each task; reports are held
+    against their slices like any others. The loop ends when no flagged slice is left to be read. Each round reads at most
+    `max_tasks` slices of a case.
+    """
+    directive, slices = materialize(directive, "directives"), materialize(slices, "slices")
+    outcomes = materialize(sweep(lines, slices, directive, budget=budget), "outcomes")
+    for iteration in range(1, rounds + 1):
+        chosen = materialize(D.choose_round(outcomes, iteration, max_tasks=max_tasks), "chosen")
+        if chosen.isEmpty():
+            break
+        tasks = materialize(D.taskings(chosen, slices, max_tasks), "tasks")
+        answers = reader(lines, tasks, directive, budget=budget).withColumn("attempts", F.lit(1).cast("bigint"))
+        read = materialize(validate_reports(answers, slices, tasks), "outcomes")
+        outcomes = O.all_rounds(outcomes, read)
+    return outcomes
+
+
 def scan_injection(lines: DataFrame) -> DataFrame:
     """Text that addresses an AI system, with the ref of its line."""
     return INJ.scan(lines.select("case_id", "file", "line_no", "text")).select(
@@ -87,12 +110,17 @@ def scan_injection(lines: DataFrame) -> DataFrame:
 
 
 def assemble_brief(alerts: DataFrame, outcomes: DataFrame, bodies: DataFrame, inventory: DataFrame,
-                   lines: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the evidence brief: one row per case, plus ledger, claims without support and flagged text."""
+                   lines: DataFrame, states: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of the evidence brief: one row per case, one record per investigation, plus ledger, claims without support and flagged text.
+
+    `states`: investigation_id, final_state, aborted_by_operator (`runstats.final_states`).
+    """
     signals = scan_injection(lines)
     found = B.claims(bodies)
+    briefs = materialize(B.briefs(alerts, O.coverage(outcomes), signals), "briefs")
     return {
-        "briefs": B.briefs(alerts, O.coverage(outcomes), signals),
+        "briefs": briefs,
+        "records": B.records(briefs, bodies, inventory, states),
         "ledger": O.ledger(outcomes),
         "uncited_claims": B.uncited_claims(found),
         "unresolved_citations": C.unresolved_refs(B.claim_refs(found), inventory),
