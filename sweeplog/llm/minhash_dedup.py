@@ -2,9 +2,10 @@
 
 A document is the set of its word shingles. Texts with equal sets form a class first. Each class chooses a minwise token in each of
 several independent trees and so comes to a node; nodes with more than `NODE` members branch again, each member by its next chosen
-minwise token, until they are small, and small nodes are compared exhaustively by their sketches. A pair of similarity s that is
-separated by a choice with probability 1 - s is lost by a tree of depth d with probability 1 - s^d, and by all trees with that to
-their number: at 0.8, twelve trees and depth 3 (a third branching happens only in nodes that stay large) less than 1 in 5,000.
+minwise token, until they are small, and small nodes are compared exhaustively by their sketches. A choice keeps a pair of similarity s
+together with probability s, so a path of depth d would keep it with s^d only. Therefore a node makes a second choice in some cases, by
+chance, and its members stand in the children of both: at the threshold a pair is then expected in one node of a tree at any depth.
+Groups of near copies, whose members stay together anyway, are left out of that.
 
 Pairs that look similar are confirmed on the full sets. A node first gives a spanning forest of its similar pairs, so a large group
 of copies gives about as many pairs as members. When these are confirmed and the components known, the nodes are read again for
@@ -16,8 +17,8 @@ Very large nodes are branched on Spark before they are dealt to tasks, so a toke
 Those that stay very large are dealt as pairs of parts, such that any two members meet in a task.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and stays; a text with fewer words than a shingle is
-one shingle; rows with a null id are linked with nothing and stay, with a null component; rows that share an id are one document
-whose links are united; an empty table gives no rows. Ids must be integers.
+one shingle; rows with a null id are linked with nothing and stay, with a null component; rows that share an id are documents of their
+own, each with the component of its text, of which `keep_first` keeps one for each group; an empty table gives no rows. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ COORDINATES = 64
 TREES = 12
 NODE = 64
 DEPTH = 12
+# A node is branched by a second choice too in so many hundredths of the cases, 100 / threshold - 1, so that a pair of this similarity
+# is expected in one child whatever the depth; but not where more pairs than ALIKE stay together, which shows a group of near copies.
+TWICE = 25
+ALIKE = 0.9
 # Rows on a side of a tile of a large node.
 TILE = 256
 # Rows of a node beyond which it is branched on Spark, and rows that a task compares at a time.
@@ -83,7 +88,7 @@ def minima(hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two sums that tell sets apart, the chosen tokens, and a byte of each minwise token."""
+    """doc_id, mark (a hash of the text), n_shingles, two sums that tell sets apart, the chosen tokens, and a byte of each minwise token."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text"):
@@ -100,31 +105,35 @@ def sketched(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: st
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * TREES)]), pa.int32()), pa.array(least[:, :TREES].ravel().view(np.int64)))
             sketch = pa.array([bytes_[row[i]].tobytes() if has[i] else None for i in range(len(counts))], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(low), pa.array(high), tokens, sketch],
-                ["doc_id", "n_shingles", "low", "high", "tokens", "sketch"],
+                [block.column("doc_id"), block.column("mark"), pa.array(counts.astype(np.int64)), pa.array(low), pa.array(high), tokens, sketch],
+                ["doc_id", "mark", "n_shingles", "low", "high", "tokens", "sketch"],
             )
 
-    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(made, "doc_id long, n_shingles long, low long, high long, tokens array<long>, sketch binary")
+    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(made, "doc_id long, mark long, n_shingles long, low long, high long, tokens array<long>, sketch binary")
 
 
-def _coordinate(tree, level):
-    """Which byte of the sketch a tree branches by at a level; the first ones are its first choices."""
-    return TREES + (tree * 17 + level * 5) % (COORDINATES - TREES)
+def _coordinate(tree, level, second=0):
+    """Which byte of the sketch a tree branches by at a level, first or (1) second; the first ones are its first choices."""
+    return TREES + (tree * 17 + level * 5 + second * 2) % (COORDINATES - TREES)
 
 
 def _branched(rows: DataFrame) -> DataFrame:
     """rows with very large nodes branched until none is left, or no choice is left; those left are dealt in pairs of parts."""
     for _ in range(DEPTH):
-        hot = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("tree", "node", F.lit(True).alias("_hot"))
-        hot = materialize(hot, "hot-nodes")
+        byte = lambda second: F.col("sketch").substr(F.lit(TREES + 1) + F.pmod(F.col("tree") * 17 + F.col("level") * 5 + second * 2, F.lit(COORDINATES - TREES)), F.lit(1))
+        child = rows.groupBy("tree", "node", "level", byte(0).alias("_byte")).agg(F.count(F.lit(1)).alias("_c"))
+        sizes = child.groupBy("tree", "node").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c").cast("double") * F.col("_c")).alias("_together"))
+        twice = (F.pmod(F.xxhash64("tree", "node"), F.lit(100)) < TWICE) & (F.col("_together") < ALIKE * F.col("_n") * F.col("_n"))
+        hot = materialize(sizes.where(F.col("_n") > HOT).select("tree", "node", twice.alias("_twice")), "hot-nodes")
         if hot.isEmpty():
             return rows
-        place = F.lit(TREES) + F.pmod(F.col("tree") * 17 + F.col("level") * 5, F.lit(COORDINATES - TREES))
-        next_node = F.xxhash64("node", F.col("sketch").substr(place + 1, F.lit(1)))
-        rows = join_small(rows, hot, ["tree", "node"], "left", spread=["cid"])
-        rows = rows.withColumn("node", F.when(F.col("_hot"), next_node).otherwise(F.col("node")))
-        rows = rows.withColumn("level", F.when(F.col("_hot"), F.col("level") + 1).otherwise(F.col("level"))).drop("_hot")
+        columns = rows.columns
+        rows = join_small(rows, hot, ["tree", "node"], "left", spread=["cid"], stored=True)
+        one, two = F.xxhash64("node", byte(0)), F.xxhash64("node", byte(1), F.lit(2))
+        nodes = F.when(F.col("_twice").isNull(), F.array("node")).when(F.col("_twice"), F.array(one, two)).otherwise(F.array(one))
+        level = F.when(F.col("_twice").isNull(), F.col("level")).otherwise(F.col("level") + 1)
+        rows = rows.withColumn("level", level).withColumn("node", F.explode(nodes)).select(*columns)
     return _parted(rows)
 
 
@@ -146,7 +155,10 @@ def _parted(rows: DataFrame) -> DataFrame:
 
 
 class Nodes:
-    """The members of whole level-one nodes, as columns; nodes are branched and compared here."""
+    """The members of whole level-one nodes, as columns; nodes are branched and compared here.
+
+    After branching a member may stand in several nodes: `row` is the member of each standing.
+    """
 
     def __init__(self, table: pa.Table):
         self.cid = table.column("cid").to_numpy()
@@ -155,22 +167,35 @@ class Nodes:
         self.level = table.column("level").to_numpy().astype(np.int64)
         self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         self.component = table.column("component").to_numpy() if "component" in table.column_names else None
-        node = table.column("node").to_numpy()
-        _, self.group = np.unique(np.stack([self.tree, node], axis=1), axis=0, return_inverse=True)
-        self.group = self.group.ravel()
+        self.row = np.arange(len(self.cid))
+        # what led to the node: equal for its members, so that all of them make the same choices
+        self.path = tb.mixed(tb.mixed(table.column("node").to_numpy().view(np.uint64)) + self.tree.astype(np.uint64))
+        _, self.group = np.unique(self.path, return_inverse=True)
 
     def branch(self) -> None:
         while True:
             sizes = np.bincount(self.group)
-            rows = np.flatnonzero((sizes[self.group] > NODE) & (self.level < DEPTH))
-            if not len(rows):
-                return
-            chosen = self.sketch[rows, _coordinate(self.tree[rows], self.level[rows])]
-            _, part = np.unique(self.group[rows] * 256 + chosen, return_inverse=True)
-            self.group = self.group.copy()
-            self.group[rows] = len(sizes) + part
-            self.level[rows] += 1
-            _, self.group = np.unique(self.group, return_inverse=True)
+            large = (sizes[self.group] > NODE) & (self.level < DEPTH)
+            at = np.flatnonzero(large)
+            if not len(at):
+                break
+            children = [self._children(at, 0)]
+            _, first, part, counts = np.unique(children[0], return_index=True, return_inverse=True, return_counts=True)
+            together = np.bincount(self.group[at[first]], weights=counts.astype(float) ** 2, minlength=len(sizes))
+            seldom = together[self.group[at]] < ALIKE * sizes[self.group[at]].astype(float) ** 2
+            again = at[seldom & (tb.mixed(self.path[at] + np.uint64(3)) % np.uint64(100) < TWICE)]
+            children.append(self._children(again, 1))
+            rest, at = np.flatnonzero(~large), np.concatenate([at, again])
+            self.path = np.concatenate([self.path[rest], *children])
+            self.level = np.concatenate([self.level[rest], self.level[at] + 1])
+            self.row = np.concatenate([self.row[rest], self.row[at]])
+            self.tree = np.concatenate([self.tree[rest], self.tree[at]])
+            _, self.group = np.unique(self.path, return_inverse=True)
+
+    def _children(self, at: np.ndarray, second: int) -> np.ndarray:
+        """The path that each standing takes from its node by its first or second choice."""
+        chosen = self.sketch[self.row[at], _coordinate(self.tree[at], self.level[at], second)]
+        return tb.mixed(tb.mixed(self.path[at] + np.uint64(second + 1)) + chosen)
 
     def similar(self, floor: float, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of members of a small node that look similar: two places, and in how many coordinates they agree."""
@@ -185,13 +210,13 @@ class Nodes:
             at = np.flatnonzero(group[shift:] == group[:-shift])
             if not len(at):
                 break
-            out.append(self._compared(order[at], order[at + shift], floor, threshold))
+            out.append(self._compared(self.row[order[at]], self.row[order[at + shift]], floor, threshold))
         if not out:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _ordered(self) -> tuple[np.ndarray, np.ndarray]:
-        """The places by node, and the size of each node."""
+        """The standings by node, and the size of each node."""
         return np.argsort(self.group, kind="stable"), np.bincount(self.group)
 
     def similar_in_large(self, floor: float, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -200,7 +225,7 @@ class Nodes:
         order, sizes = self._ordered()
         ends = np.cumsum(sizes)
         for g in np.flatnonzero(sizes > NODE):
-            rows = order[ends[g] - sizes[g] : ends[g]]
+            rows = self.row[order[ends[g] - sizes[g] : ends[g]]]
             label = np.arange(len(rows)) if self.component is None else np.unique(self.component[rows], return_inverse=True)[1]
             for a in range(0, len(rows), TILE):
                 for b in range(a, len(rows), TILE):
@@ -342,28 +367,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "first", "second").mapInArrow(checked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links), kept (doc_id = component_id) of each row.
-
-    size: words in a shingle; threshold: hundredths of the Jaccard similarity from which documents are linked.
-    """
-    each = materialize(sketched(docs, size, id_col=id_col, text_col=text_col), "sketches")
-    known = each.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(
-        known.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("cid"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes"
-    )
-    plain = classes.select("cid", "n_shingles", "tokens", "sketch")
-    pairs = materialize(node_pairs(plain, threshold), "pairs")
-    members = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "members")
-    texts = id_and_text(docs, id_col, text_col).withColumn("cid", F.col("doc_id").cast("long")).select("cid", "text")
+def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """cid, set: the full sets of the classes in members (cid, first: a document's id, and the sums of its set)."""
 
     def set_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text"):
             hashed, at = shingles(block.column("text"), size)
+            full = np.diff(at) > 0
+            low, high = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
+            if full.any():
+                low[full] = np.add.reduceat(hashed, at[:-1][full]).view(np.int64)
+                high[full] = np.add.reduceat(tb.mixed(hashed), at[:-1][full]).view(np.int64)
             rows = [hashed[at[i] : at[i + 1]].tobytes() for i in range(block.num_rows)]
-            yield pa.RecordBatch.from_arrays([block.column("cid"), pa.array(rows, pa.binary())], ["cid", "set"])
+            yield pa.RecordBatch.from_arrays([block.column("first"), pa.array(low), pa.array(high), pa.array(rows, pa.binary())], ["first", "low", "high", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text", F.xxhash64("text").alias("mark"))
+    wanted = join_small(texts, members.select("first", "mark").distinct(), ["first", "mark"], "left_semi", spread=["mark"])
+    made = wanted.select("first", "text").mapInArrow(set_of, "first long, low long, high long, set binary")
+    return made.join(members.select("cid", "first", "low", "high"), ["first", "low", "high"]).select("cid", "set").dropDuplicates(["cid"])
+
 
-    sets = materialize(join_small(texts, members, ["cid"], "left_semi").mapInArrow(set_of, "cid long, set binary"), "sets")
+def _resolved(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id and lead (whether the row's id and mark are the least of its component) of each row."""
+    each = materialize(sketched(docs, size), "sketches")
+    known = each.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    sums = ["n_shingles", "low", "high"]
+    grouped = known.groupBy(*sums).agg(F.min(F.struct("doc_id", "mark")).alias("_f"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    # numbered once and stored; classes whose first documents share an id stay apart
+    classes = grouped.select(*sums, F.col("_f.doc_id").alias("first"), F.col("_f.mark").alias("mark"), "tokens", "sketch", F.monotonically_increasing_id().alias("cid"))
+    classes = materialize(classes, "classes")
+    plain = classes.select("cid", "n_shingles", "tokens", "sketch")
+    pairs = materialize(node_pairs(plain, threshold), "pairs")
+    members = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "members")
+    firsts = materialize(classes.drop("tokens", "sketch").join(members, "cid", "left_semi"), "firsts")
+    sets = materialize(_sets(docs, firsts, size), "sets")
     links = materialize(_confirmed(pairs, sets, threshold), "links")
     found = materialize(connected(links, "a", "b"), "components")
     apart = plain.join(members, "cid", "left_semi").join(found.withColumnRenamed("id", "cid"), "cid", "left")
@@ -372,16 +409,55 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: int = 80, id_c
     more = materialize(_confirmed(rest, sets, threshold), "links")
     if not more.isEmpty():
         found = materialize(connected(links.union(more), "a", "b"), "components")
-    # texts with equal sets share their class's component; a class that shares an id with another joins them
-    named = classes.select(F.col("n_shingles").alias("_n"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("cid").alias("_cid"))
-    joined = each.join(named, (F.col("n_shingles") == F.col("_n")) & (F.col("low") == F.col("_low")) & (F.col("high") == F.col("_high")), "left")
-    joined = joined.join(found.select(F.col("id").alias("_cid"), F.col("component").alias("_component")), "_cid", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_component", "_cid", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # a component is named by its first document
+    joined = found.withColumnRenamed("id", "cid").join(firsts.select("cid", "first", "mark"), "cid")
+    named = joined.groupBy("component").agg(F.min(F.struct(F.col("first").alias("id"), F.col("mark").alias("mark"))).alias("least"))
+    least = materialize(joined.select("cid", "component").join(named, "component").select("cid", "least"), "least")
+    own = F.struct(F.col("first").alias("id"), F.col("mark").alias("mark"))
+    linked = classes.select(*[F.col(c).alias(f"_{c}") for c in sums], "cid", own.alias("_own")).join(least, "cid", "left")
+    linked = linked.select(*[f"_{c}" for c in sums], F.coalesce("least", "_own").alias("_least"))
+    rows = each.join(linked, [F.col(c) == F.col(f"_{c}") for c in sums], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_least.id", "doc_id"))
+    lead = (F.col("doc_id") == F.col("_least.id")) & (F.col("mark") == F.col("_least.mark"))
+    return rows.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(lead, F.lit(True)).alias("lead"))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links), kept (doc_id = component_id) of each row.
+
+    size: words in a shingle; threshold: hundredths of the Jaccard similarity from which documents are linked.
+    """
+    found = _resolved(id_and_text(docs, id_col, text_col), size, threshold)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, *, size: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs but those that are near-duplicates of one with a smaller id, with all their columns."""
-    found = near_duplicates(docs, size=size, threshold=threshold, id_col=id_col, text_col=text_col)
-    gone = found.where("NOT kept").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    return join_small(docs, gone, [id_col], "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, that of the smallest id, with all its columns.
+
+    Rows are told apart by id and a hash of the text. Of repeated rows (equal id and text) with shingles one stays; rows without
+    shingles and rows with a null id all stay.
+    """
+    found = materialize(_resolved(id_and_text(docs, id_col, text_col), size, threshold), "resolved")
+    marked = found.where("doc_id IS NOT NULL AND n_shingles > 0")
+    counts = marked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("lead").alias("_lead")).where("NOT _lead OR _n > 1")
+    id_, mark, state = _unused(docs, "id", "mark", "lead")
+    keys = counts.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("_lead").alias(state))
+    named = docs.withColumn(id_, F.col(id_col).cast("long")).withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    joined = join_small(named, keys, [id_, mark], "left", spread=[mark])
+    single = joined.where(F.col(state).isNull()).select(*docs.columns)
+    repeated = joined.where(F.col(state)).dropDuplicates([id_, mark]).select(*docs.columns)
+    return single.unionByName(repeated)
+
+
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that docs has not, however they are spelled."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

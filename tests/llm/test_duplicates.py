@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sweeplog.llm import embedding_dedup, minhash_dedup
@@ -171,3 +172,43 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile):
 
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize(("count", "words", "stays", "redrawn"), [(3000, 300, 0.9665, 0.05), (6000, 200, 0.96, 0.05)])
+def test_similar_pairs_meet_within_a_template_family(count, words, stays, redrawn):
+    """Texts of a family are about 0.75 alike, planted pairs 0.8 and more; all constants are those in use."""
+    rng = random.Random(1)
+    own = lambda: f"x{rng.getrandbits(40)}"
+    texts = [[f"t{k}" if rng.random() < stays else own() for k in range(words)] for _ in range(count)]
+    texts += [[own() if rng.random() < redrawn else w for w in texts[k]] for k in range(400)]
+    hashed, at = minhash_dedup.shingles(pa.array([" ".join(t) for t in texts]), 2)
+    sets = [set(hashed[at[i] : at[i + 1]].tolist()) for i in range(len(texts))]
+    similar = [(k, count + k) for k in range(400) if 100 * len(sets[k] & sets[count + k]) >= 80 * len(sets[k] | sets[count + k])]
+    least = minhash_dedup.minima(hashed, at)
+    sketch = (minhash_dedup.tb.mixed(least) & np.uint64(0xFF)).astype(np.uint8)
+    met = set()
+    for tree in range(minhash_dedup.TREES):
+        columns = {
+            "cid": np.arange(len(texts)), "n_shingles": np.diff(at).astype(np.int64), "tree": np.full(len(texts), tree), "level": np.zeros(len(texts), np.int64),
+            "node": least[:, tree].view(np.int64), "sketch": pa.array([b.tobytes() for b in sketch], pa.binary()),
+        }
+        nodes = minhash_dedup.Nodes(pa.table(columns))
+        nodes.branch()
+        where = {}
+        for row, group in zip(nodes.row.tolist(), nodes.group.tolist(), strict=True):
+            where.setdefault(row, set()).add(group)
+        met.update((a, b) for a, b in similar if where[a] & where[b])
+    assert len(similar) > 150 and len(met) / len(similar) >= 0.95
+
+
+def test_rows_that_share_an_id_lose_no_text(spark):
+    a, b = "one two three four five six seven", "quite other words stand in this text"
+    rows = [(3, a), (5, a), (5, b), (9, b + " now"), (9, b + " now"), (None, a), (None, a), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, __mark string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs, size=2).collect()), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=str)
+    kept = minhash_dedup.keep_first(docs, size=2)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (None, a), (None, a), (7, None), (7, None)], key=str)
+    twice = spark.createDataFrame([(4, a), (4, a), (4, a + " more"), (8, b)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in minhash_dedup.keep_first(twice, size=2).collect()) == [4, 8]
