@@ -30,3 +30,16 @@ def sampled(rows: DataFrame, key: Column, wanted: int, total: int, seed: int = 1
     if total <= wanted:
         return rows
     return rows.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * wanted / total))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that docs has not, however they are spelled."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplog.llm import textblocks as tb
+from sweeplog.llm.frames import unused
 
 BUCKETS = 1 << 14
 DIMENSIONS = 16
@@ -136,7 +137,7 @@ def _calibrate(model: LanguageModel, texts: list, y: np.ndarray, right: float =
 
 
 def fit(rows: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> LanguageModel:
-    """Learn from the rows where `usable` holds, from about `per_language` texts of each language."""
+    """Learn from the rows where `usable` holds, from about `per_language` texts of each language; of rows that share an id one is taken."""
     known = rows.where(usable & F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")
     )
@@ -147,6 +148,7 @@ def fit(rows: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: st
         return train([], [])
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
     chosen = known.where(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
+    chosen = chosen.groupBy("key", "label").agg(F.min("text").alias("text"))
     got = chosen.mapInArrow(_bags, "key string, label string, buckets binary, counts binary").toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
     bags = [
         (np.frombuffer(b, np.int32), np.frombuffer(c, np.float32).astype(np.float64))
@@ -189,8 +191,8 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
 def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
     """The rows whose language the model accepts, with all their columns."""
     columns = docs.columns
-    text = text_col if dict(docs.dtypes)[text_col] == "string" else "__text"
-    rows = docs if text == text_col else docs.withColumn(text, F.col(text_col).cast("string"))
+    (text,) = unused(docs, "text")
+    rows = docs.withColumn(text, F.col(text_col).cast("string"))
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, text):

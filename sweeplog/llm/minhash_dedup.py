@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sweeplog.llm import textblocks as tb
 from sweeplog.llm.components import connected, unite
-from sweeplog.llm.frames import id_and_text
+from sweeplog.llm.frames import id_and_text, unused
 from sweeplog.session import join_small, materialize
 
 COORDINATES = 64
@@ -441,23 +441,10 @@ def keep_first(docs: DataFrame, *, size: int = 5, threshold: int = 80, id_col: s
     found = materialize(_resolved(id_and_text(docs, id_col, text_col), size, threshold), "resolved")
     marked = found.where("doc_id IS NOT NULL AND n_shingles > 0")
     counts = marked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("lead").alias("_lead")).where("NOT _lead OR _n > 1")
-    id_, mark, state = _unused(docs, "id", "mark", "lead")
+    id_, mark, state = unused(docs, "id", "mark", "lead")
     keys = counts.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("_lead").alias(state))
     named = docs.withColumn(id_, F.col(id_col).cast("long")).withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
     joined = join_small(named, keys, [id_, mark], "left", spread=[mark])
     single = joined.where(F.col(state).isNull()).select(*docs.columns)
     repeated = joined.where(F.col(state)).dropDuplicates([id_, mark]).select(*docs.columns)
     return single.unionByName(repeated)
-
-
-def _unused(docs: DataFrame, *names: str) -> list[str]:
-    """Column names that docs has not, however they are spelled."""
-    taken = {c.lower() for c in docs.columns}
-    out = []
-    for name in names:
-        name = f"__{name}"
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        out.append(name)
-    return out

@@ -187,13 +187,15 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(
     docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000
 ) -> QualityModel:
-    """Learn from about `sample` labelled texts; `usable` is a condition on the id of `labels`. The sample is broadcast: `sample` ids and labels."""
+    """Learn from about `sample` labelled texts; `usable` is a condition on the id of `labels`. The sample is broadcast:
+    `sample` ids and labels. Of rows that share an id one is taken."""
     known = (
         labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     )
     chosen = sampled(known, F.col("__id"), sample, known.count())
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
+    texts = texts.groupBy("__id", "label").agg(F.min("text").alias("text"))
     got = texts.select(F.col("__id").cast("string").alias("key"), "label", "text").mapInArrow(_bags, "key string, label int, buckets binary")
     rows = got.toArrow().sort_by([("key", "ascending"), ("buckets", "ascending")])
     bags = [np.frombuffer(b, np.int32) for b in rows.column("buckets").to_pylist()]

@@ -285,14 +285,15 @@ def gathered(values: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.
 
 
 class Remembered:
-    """What a function made of byte strings: runs of numbers, kept for the strings used last, `limit` of them at most.
+    """What a function made of byte strings: runs of numbers, kept for the strings used last, `limit` strings and `numbers` numbers at
+    most, beside those of one block.
 
     Strings are told apart by 128 bits of their hash. A task's process is used again by later tasks, so common words are worked
     on once per process; nothing depends on what is remembered but time.
     """
 
-    def __init__(self, limit: int = 1 << 20):
-        self.limit, self.turn = limit, 0
+    def __init__(self, limit: int = 1 << 20, numbers: int = 1 << 23):
+        self.limit, self.numbers, self.turn = limit, numbers, 0
         # by the first half of the hash: its second half, when it was used last, and where its run lies in `flat`
         self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.used, self.size, self.start = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -323,8 +324,9 @@ class Remembered:
             while (other := self.low[place] != low).any():  # equal first halves are next to each other
                 place[other] += 1
         out = self._taken(place)
-        if len(self.high) > self.limit:
-            last = np.sort(np.argsort(self.used, kind="stable")[-(self.limit // 2) :])
+        if len(self.high) > self.limit or len(self.flat) > self.numbers:
+            last = np.argsort(self.used, kind="stable")[::-1][: self.limit // 2]  # the newest first
+            last = np.sort(last[np.cumsum(self.size[last], dtype=np.int64) <= self.numbers // 2])
             self.flat, at = self._taken(last)
             self.high, self.low, self.used, self.size, self.start = self.high[last], self.low[last], self.used[last], self.size[last], at[:-1]
         return out

@@ -209,3 +209,29 @@ def test_license_scan(spark, odd, empty):
     assert (9, "mit", 50_000, 50_004, 0) in spans
     assert all(tuple(r)[1:6] == _places(dict(enumerate(ODD)).get(r.doc_id, "no id here")) for r in license_scan.scan(odd).collect())
     assert license_scan.scan(empty).count() == 0
+
+
+def test_samples_take_one_row_of_an_id(spark):
+    from pyspark.sql import functions as F
+
+    from sweeplog.llm import language_id, quality_classifier
+
+    rows = [(1, f"plain words of text {k}", "en") for k in range(500)] + [(i, f"andere Worte stehen hier {i}", "de") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    train = language_id.train
+    language_id.train = lambda bags, labels: seen.append(list(labels)) or train(bags, labels)
+    try:
+        language_id.fit(docs, F.lit(True), per_language=1000)
+    finally:
+        language_id.train = train
+    assert seen[0].count("en") == 1 and seen[0].count("de") == 38
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    sizes = []
+    train = quality_classifier.train
+    quality_classifier.train = lambda bags, y: sizes.append(len(bags)) or train(bags, y)
+    try:
+        quality_classifier.fit(docs, labels, F.lit(True))
+    finally:
+        quality_classifier.train = train
+    assert sizes == [39]

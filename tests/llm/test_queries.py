@@ -38,3 +38,26 @@ def test_pipeline_equals_its_stages(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == first
     assert all(sum(r.length for r in got if r.doc_id == i) == next(r.doc_tokens for r in got if r.doc_id == i) for i in first)
+
+
+def test_pipeline_with_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 400 AND 3000").orderBy("doc_id").limit(40).collect()]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(good)]
+    rows += [(3, good[3], "en", "web", 1), (4, good[30] + " more words", None, None, None), (None, good[20], "en", "web", 1), (50, None, "en", "web", 0), (51, "", None, "web", 0)]
+    clash = [(*r, "KEEP", "KEEP", "KEEP", 5, True) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __TEXT string, __lang_key string, __mark string, cid int, kept boolean"
+    spark.createDataFrame(clash, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        kept.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert {(r["__TEXT"], r["__lang_key"], r["__mark"], r.cid) for r in docs.collect()} <= {("KEEP", "KEEP", "KEEP", 5)}
+    ids = [r.doc_id for r in docs.collect()]
+    assert ids.count(3) == 1 and len(ids) > 20 and not {50, 51} & set(ids)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(ids)
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -62,6 +62,16 @@ def test_remembered_runs_equal_made_ones_under_forgetting():
     assert len(made) < 30 * 15
 
 
+def test_what_is_remembered_is_bounded_in_numbers_too():
+    make = lambda values: (np.arange(1000 * len(values), dtype=np.int64), np.arange(len(values) + 1) * 1000)
+    kept = tb.Remembered(numbers=50_000)
+    for k in range(40):
+        values = pa.array([b"%d-%d" % (k, i) * 300 for i in range(20)], pa.large_binary())
+        flat, at = kept.runs(values, make)
+        assert len(flat) == 20_000 and kept.runs(values, make)[0].tolist() == flat.tolist()
+        assert len(kept.flat) <= 50_000 + 20_000 and kept.flat.nbytes < 300_000
+
+
 def test_sums_of_empty_texts_are_zero():
     assert tb.sums(np.array([1, 2, 3]), np.array([0, 0, 2, 2, 3, 3])).tolist() == [0, 3, 0, 3, 0]
     assert tb.sums(np.zeros(0), np.array([0, 0])).tolist() == [0]
