@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplog.operators import ordered
+from sweeplog.operators import ordered, ranges
 
 FLOW = ["source", "domain"]
 
@@ -54,31 +54,18 @@ def type_share(traffic: DataFrame) -> DataFrame:
     )
 
 
-def _gaps(events: DataFrame, keys: list[str], order: list[str], width: int | None) -> DataFrame:
-    bucketed = ordered.with_bucket(events.withColumn("_at", F.unix_micros("ts")), keys, "ts", width)
-    linked = ordered.with_previous(bucketed, keys, order, ["_at"])
-    return linked.withColumn("gap_us", F.col("_at") - F.col("previous__at")).drop("previous__at")
-
-
 def sessions(events: DataFrame, gap_s: float, keys: list[str] = FLOW, order: list[str] | None = None,
-             width: int | None = None) -> DataFrame:
+             partitions: int | None = None) -> DataFrame:
     """Bursts per key: a pause longer than `gap_s` opens the next session. Rows carry `ts` and the order columns."""
-    order = order or ["ts", "line_no"]
-    gaps = _gaps(events, keys, order, width)
-    opens = F.col("gap_us").isNull() | (F.col("gap_us") > F.lit(int(gap_s * 1_000_000)))
-    numbered = ordered.with_running_total(gaps, keys, order, opens.cast("bigint"), "session_no")
-    return numbered.groupBy(*keys, "session_no").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events")
-    )
+    return ranges.sessions(events, int(gap_s * 1_000_000), keys, order or ["ts", "line_no"], partitions)
 
 
-def regularity(events: DataFrame, keys: list[str] = FLOW, order: list[str] | None = None, width: int | None = None) -> DataFrame:
+def regularity(events: DataFrame, keys: list[str] = FLOW, order: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Mean and spread of the gaps per key. A small coefficient of variation is a beacon, a large one bursts."""
-    gaps = _gaps(events, keys, order or ["ts", "line_no"], width).filter("gap_us IS NOT NULL")
-    return gaps.groupBy(*keys).agg(
-        F.count("*").alias("gaps"),
-        (F.sum("gap_us") / F.count("*") / F.lit(1e6)).alias("mean_s"),
-        F.stddev_pop(F.col("gap_us") / F.lit(1e6)).alias("stddev_s"),
+    return ranges.gap_moments(events, keys, order or ["ts", "line_no"], partitions).select(
+        *keys, "gaps",
+        (F.col("mean_us") / F.lit(1e6)).alias("mean_s"),
+        (F.sqrt(F.col("square_us") / F.col("gaps")) / F.lit(1e6)).alias("stddev_s"),
     ).withColumn("variation", F.try_divide(F.col("stddev_s"), F.col("mean_s")))
 
 

@@ -50,7 +50,7 @@ def test_header_gives_types(dns):
 
 def test_five_bursts_with_all_planted_queries(dns):
     flows = T.flows(dns.filter("NOT malformed"))
-    got = T.sessions(flows, 600.0, width=600).filter("domain = 'bad-sync.net'").orderBy("session_no").collect()
+    got = T.sessions(flows, 600.0, partitions=13).filter("domain = 'bad-sync.net'").orderBy("session_no").collect()
     assert [r.events for r in got] == list(BURSTS) and sum(r.events for r in got) == 788
 
 
@@ -65,13 +65,13 @@ def test_profile_tells_the_burst_from_its_look_alikes(dns):
 
 
 def test_steady_gaps_have_little_variation(dns):
-    got = {r.source: r.variation for r in T.regularity(T.flows(dns.filter("NOT malformed")), width=3600).collect()}
+    got = {r.source: r.variation for r in T.regularity(T.flows(dns.filter("NOT malformed")), partitions=13).collect()}
     assert got["10.1.1.9"] < 1e-6 and got["10.1.1.56"] > 5
 
 
 def test_leases_and_attribution(spark):
-    text = ["2026-08-14 07:44:57 ACK 10.1.1.56 00:1b:44:11:7f:2a wks-1 lease=3600", "noise",
-            "2026-08-14 09:00:00 RENEW 10.1.1.56 00:1b:44:11:7f:2b wks-2 lease=28800"]
+    text = ["2026-08-14 07:44:57 ACK 10.1.1.56 02:9c:31:5e:08:d1 wks-1 lease=3600", "noise",
+            "2026-08-14 09:00:00 RENEW 10.1.1.56 02:9c:31:5e:08:d2 wks-2 lease=28800"]
     lines = spark.createDataFrame([("c", "d.log", i, t) for i, t in enumerate(text, 1)],
                                   "case_id string, file string, line_no bigint, text string")
     held = typed.leases(lines)
