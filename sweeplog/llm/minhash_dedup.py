@@ -41,9 +41,9 @@ TREES = 12
 NODE = 64
 DEPTH = 12
 # A node is branched by a second choice too in so many hundredths of the cases, 100 / threshold - 1, so that a pair of this similarity
-# is expected in one child whatever the depth; but not where more pairs than ALIKE stay together, which shows a group of near copies.
+# is expected in one child whatever the depth; but not where this share of all pairs stays together, which shows a group of near copies.
 TWICE = 25
-ALIKE = 0.9
+ALIKE = 0.8
 # Rows on a side of a tile of a large node.
 TILE = 256
 # Rows of a node beyond which it is branched on Spark, and rows that a task compares at a time.
@@ -168,6 +168,8 @@ class Nodes:
         self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         self.component = table.column("component").to_numpy() if "component" in table.column_names else None
         self.row = np.arange(len(self.cid))
+        # members that chosen pairs have linked so far have equal labels, whichever nodes they stand in
+        self.label = np.arange(len(self.cid)) if self.component is None else np.unique(self.component, return_inverse=True)[1]
         # what led to the node: equal for its members, so that all of them make the same choices
         self.path = tb.mixed(tb.mixed(table.column("node").to_numpy().view(np.uint64)) + self.tree.astype(np.uint64))
         _, self.group = np.unique(self.path, return_inverse=True)
@@ -226,7 +228,8 @@ class Nodes:
         ends = np.cumsum(sizes)
         for g in np.flatnonzero(sizes > NODE):
             rows = self.row[order[ends[g] - sizes[g] : ends[g]]]
-            label = np.arange(len(rows)) if self.component is None else np.unique(self.component[rows], return_inverse=True)[1]
+            label = np.unique(self.label[rows], return_inverse=True)[1]
+            linked = []
             for a in range(0, len(rows), TILE):
                 for b in range(a, len(rows), TILE):
                     x, y = np.arange(a, min(a + TILE, len(rows))), np.arange(b, min(b + TILE, len(rows)))
@@ -238,7 +241,13 @@ class Nodes:
                         chosen = forest(len(both), where[: len(i)], where[len(i) :])
                         i, j = i[chosen], j[chosen]
                         label = self._united(label, both, where, len(where) // 2, chosen)
+                        linked.append((rows[i], rows[j]))
                     yield rows[i], rows[j]
+            if linked:
+                self.link(*(np.concatenate(x) for x in zip(*linked, strict=True)))
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.label = unite(self.label, i, j)
 
     @staticmethod
     def _united(label: np.ndarray, both: np.ndarray, where: np.ndarray, half: int, chosen: np.ndarray) -> np.ndarray:
@@ -320,6 +329,7 @@ def node_pairs(classes: DataFrame, threshold: int) -> DataFrame:
             order = np.argsort(-same, kind="stable")
             kept = order[forest(len(nodes.cid), i[order], j[order])]
             i, j = i[kept], j[kept]
+            nodes.link(i, j)
         for i, j in chain([(i, j)], nodes.similar_in_large(floor, threshold)):
             a, b = np.minimum(nodes.cid[i], nodes.cid[j]), np.maximum(nodes.cid[i], nodes.cid[j])
             found = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
