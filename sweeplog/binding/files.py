@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sweeplog.binding import sql as S
@@ -9,6 +11,7 @@ from sweeplog.binding import views as V
 from sweeplog.binding.registry import register
 from sweeplog.binding.running import PHASES
 from sweeplog.operators import runstats as R
+from sweeplog.operators import slices as SL
 from sweeplog.session import materialize, staging_path
 from sweeplog.sources import casefiles, runlog
 
@@ -26,6 +29,76 @@ def numbered_pieces(spark, sf_dir):
     return casefiles.number_lines(materialize(pieces, "pieces"))
 
 
+def case_folder(spark, sf_dir) -> str:
+    """The documents as case folders: a file for each document, an alert for most cases. Some names cannot be cited.
+
+    A file is written under a name of its task's own and then renamed, so that a task that runs twice does no harm.
+    """
+    root = staging_path(spark, "cases")
+
+    def written(batches):
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                system, place = casefiles._open_folder(f"{root}/{path}")
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                draft = f"{place.rsplit('/', 2)[0]}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(text.encode())
+                system.move(draft, place)
+            yield batch.select(["path"])
+
+    documents = V.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    name = F.when(F.col("doc_id") % 50 == 0, F.lit("doc ")).otherwise(F.lit("doc-"))
+    files = documents.select(F.concat_ws("/", "source", F.lit("logs"), F.concat(name, "doc_id", F.lit(".txt"))).alias("path"), "text")
+    fields = F.struct(
+        F.concat(F.lit("A-"), "source").alias("alert_id"), *[F.lit("x").alias(c) for c in ("detector", "rule_name", "status")],
+        F.when(~F.endswith("source", F.lit("3")), F.lit("low")).alias("severity"), *[F.lit("2031-01-01").alias(c) for c in ("first_seen", "last_seen", "summary")],
+    )
+    cases = documents.select("source").distinct().filter(~F.endswith("source", F.lit("7")))
+    alerts = cases.select(F.concat("source", F.lit("/"), F.lit(casefiles.ALERT_FILE)).alias("path"), F.to_json(fields).alias("text"))
+    files.unionByName(alerts).mapInArrow(written, "path string").agg(F.count("*")).first()
+    return root
+
+
+CASE_FILES = """
+files AS (SELECT source AS case_id, CASE WHEN doc_id % 50 = 0 THEN 'doc ' ELSE 'doc-' END || doc_id || '.txt' AS file, text FROM documents WHERE text IS NOT NULL),
+file_lines AS (SELECT case_id, file, string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM files WHERE text <> '')"""
+
+
+@register("case_lines", f"""WITH {CASE_FILES}
+SELECT case_id, file, CAST(i AS BIGINT) AS line_no, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM file_lines)""")
+def case_lines(spark, sf_dir):
+    """Numbered lines of log files, in ranges of 10,000 bytes."""
+    return casefiles.read_lines(spark, case_folder(spark, sf_dir), python_splitlines=False, piece_bytes=10_000)
+
+
+@register("case_files", f"""WITH {CASE_FILES}
+SELECT f.case_id, f.file, CAST(octet_length(encode(f.text)) AS BIGINT) AS size, coalesce(len(ls), 0) AS lines, coalesce(len(ls), 0) > 0 OR f.text = '' AS accounted
+FROM files f LEFT JOIN file_lines USING (case_id, file)""")
+def case_files(spark, sf_dir):
+    """Every listed file, what was read of it, and whether slices account for all of it."""
+    root = case_folder(spark, sf_dir)
+    listing = materialize(casefiles.list_cases(casefiles.case_folders(spark, root)), "listing")
+    lines = casefiles.read_lines(spark, root, listing, python_splitlines=False)
+    audit = SL.coverage_audit(lines, SL.slice_places(lines)).select("case_id", "file", F.col("line_count").alias("lines"), "covered")
+    zero, empty = F.lit(0).cast("bigint"), F.col("size") == 0
+    joined = listing.filter("kind = 'log'").join(audit, ["case_id", "file"], "left")
+    return joined.select("case_id", "file", "size", F.coalesce("lines", zero).alias("lines"), F.coalesce("covered", empty).alias("accounted"))
+
+
+@register("case_problems", f"""WITH {CASE_FILES},
+cases AS (SELECT DISTINCT case_id FROM files)
+SELECT case_id, case_id AS subject, 'has no alert.json' AS problem FROM cases WHERE case_id LIKE '%7'
+UNION ALL SELECT case_id, 'alert.json', 'field severity: Field required' FROM cases WHERE case_id LIKE '%3'
+UNION ALL SELECT case_id, file, 'lines of this file cannot be cited: name outside the ref grammar' FROM files WHERE contains(file, ' ')""")
+def case_problems(spark, sf_dir):
+    root = case_folder(spark, sf_dir)
+    listing = materialize(casefiles.list_cases(casefiles.case_folders(spark, root)), "listing")
+    lines = casefiles.read_lines(spark, root, listing, python_splitlines=False)
+    found = casefiles.case_audit(listing, casefiles.read_alerts(spark, root), lines)
+    return found.withColumn("subject", F.regexp_extract("subject", r"([^/]+)/?$", 1))
+
+
 @register("alert_records", """
 SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 'A-' || doc_id END AS alert_id, CASE WHEN doc_id % 7 <> 0 THEN source END AS detector,
        CASE WHEN doc_id % 7 <> 0 THEN text END AS summary, CASE WHEN doc_id % 7 = 0 THEN 'field severity: Field required' ELSE '' END AS problems

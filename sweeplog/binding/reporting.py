@@ -58,10 +58,10 @@ checked_refs AS (
   FROM rep_refs
 ),
 problems AS (
-  SELECT task_id, 1 AS section, 0 AS fidx, 1 AS part, 0 AS pos, 'relevant is false but findings were returned.' AS problem
+  SELECT task_id, 1 AS section, 0 AS fidx, 1 AS part, 0 AS pos, 'a slice called irrelevant comes with findings.' AS problem
   FROM rep WHERE quality = 0 AND has_main
   UNION ALL
-  SELECT task_id, 1, 0, 2, 0, 'relevant is false, but checked_for records a positive result for ''language ' || lang || '''.'
+  SELECT task_id, 1, 0, 2, 0, 'a check of a slice called irrelevant has a positive result for ''language ' || lang || '''.'
   FROM rep WHERE quality = 0 AND d % 13 = 0
   UNION ALL
   SELECT task_id, 2, fidx, 1, 0, 'findings[' || fidx || '] has no representative_refs; cite a line of slice ' || slice_id || '.'
@@ -289,10 +289,10 @@ def empty_first40(spark, sf_dir):
 
 @register("collapse_text", f"""WITH {OUTCOMES}, {EMPTY_40}, {TOP_NEGATIVES.replace('GROUP BY ALL', 'GROUP BY case_id, checked_for')}
 SELECT case_id, count(*) AS tasks,
-  any_value('COVERAGE: ' || empty || ' further slice(s) were read in full and reported nothing relevant: ' || listed
+  any_value(empty || ' slice(s) were read and hold nothing that bears on the alert: ' || listed
     || CASE WHEN more > 0 THEN ' … and ' || more || ' more' ELSE '' END) AS coverage, any_value(n.negatives) AS negatives
 FROM marked LEFT JOIN empty_40 USING (case_id) LEFT JOIN (
-  SELECT case_id, string_agg('  - ''' || checked_for || ''': looked for in ' || slices || ' slice(s), not found', chr(10) ORDER BY rank) AS negatives
+  SELECT case_id, string_agg('  - ''' || checked_for || ''': absent from ' || slices || ' slice(s)', chr(10) ORDER BY rank) AS negatives
   FROM top_negative GROUP BY case_id) n USING (case_id) GROUP BY case_id""")
 def collapse_text(spark, sf_dir):
     return O.coverage_text(outcomes(spark, sf_dir)).select("case_id", "tasks", "coverage", "negatives")
@@ -315,7 +315,7 @@ def finding_lines(spark, sf_dir):
 
 
 @register("failure_lines", f"""WITH {OUTCOMES}
-SELECT case_id, slice_id, slice_id || ' FAILED (' || reason || '): ' || detail || '. This ground was NOT examined.' AS text
+SELECT case_id, slice_id, slice_id || ' was not examined, ' || reason || ': ' || detail AS text
 FROM outcomes WHERE outcome = 'failure'""")
 def failure_lines(spark, sf_dir):
     return O.failure_lines(outcomes(spark, sf_dir)).select("case_id", "slice_id", "text")

@@ -136,6 +136,18 @@ def phase_durations(spark, sf_dir):
     return R.phase_durations(V.run_log(spark, sf_dir))
 
 
+@register("phase_ranking", f"""WITH {PHASES}
+SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY seconds DESC, state) AS rank FROM phases""")
+def phase_ranking(spark, sf_dir):
+    return R.ranked(R.phase_durations(V.run_log(spark, sf_dir)), "seconds", "state")
+
+
+@register("reason_ranking", f"""WITH {REASONS}, r AS (SELECT investigation_id, reason, count(*) AS reports FROM reasons GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY reports DESC, reason) AS rank FROM r""")
+def reason_ranking(spark, sf_dir):
+    return R.ranked(R.rejection_reasons(V.run_log(spark, sf_dir)), "reports", "reason")
+
+
 _LEGAL = ", ".join(f"'{a}>{b}'" for a, targets in R.LEGAL_TRANSITIONS.items() for b in targets)
 
 

@@ -116,6 +116,12 @@ def slices(spark, sf_dir):
     return built.withColumn("header_lines", F.size("format_header")).drop("format_header")
 
 
+@register("slice_order", f"""WITH RECURSIVE {S.DOC_LINES}, {S.packed('doc_lines', DOC_BUDGET, False)}
+SELECT case_id, printf('%s-%04d', file, window_index) AS slice_id, row_number() OVER (PARTITION BY case_id ORDER BY file, window_index) AS position FROM windows""")
+def slice_order(spark, sf_dir):
+    return SL.in_order(V.doc_slices(spark, sf_dir, DOC_BUDGET)).select("case_id", "slice_id", "position")
+
+
 @register("file_inventory", f"""WITH RECURSIVE {S.EVENT_LINES}, {S.packed('event_lines', EVENT_BUDGET, True)}, {FILE_TIMES}
 SELECT case_id, file, t.line_count, time_range, w.slice_count
 FROM file_times t JOIN (SELECT case_id, file, count(*) AS slice_count FROM windows GROUP BY ALL) w USING (case_id, file)""")

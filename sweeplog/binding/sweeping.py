@@ -336,12 +336,12 @@ def neighbour_slices(spark, sf_dir):
 @register("plan_problems", f"""WITH RECURSIVE {CHOSEN},
 plan AS (SELECT case_id, rank - 1 AS position, CASE WHEN rank % 3 = 0 THEN slice_id || 'x' ELSE slice_id END AS slice_id,
                 CASE WHEN rank % 4 = 0 THEN ' ' ELSE 'confirm' END AS intent FROM chosen)
-SELECT case_id, CAST(-1 AS BIGINT) AS position, 'plan requests ' || count(*) || ' tasks but the limit for this round is 4.' AS problem
+SELECT case_id, CAST(-1 AS BIGINT) AS position, count(*) || ' tasks are planned; a round takes 4 at most.' AS problem
 FROM plan GROUP BY case_id HAVING count(*) > 4
 UNION ALL
 SELECT case_id, position, 'tasks[' || position || '].slice_id ''' || slice_id || ''' is not a slice in this case.' FROM plan WHERE ends_with(slice_id, 'x')
 UNION ALL
-SELECT case_id, position, 'tasks[' || position || '].commander_intent is empty; state the hypothesis.' FROM plan WHERE intent = ' '""")
+SELECT case_id, position, 'tasks[' || position || '].commander_intent is blank: name what the read is to settle.' FROM plan WHERE intent = ' '""")
 def plan_problems(spark, sf_dir):
     chosen = D.choose(doc_outcomes(spark, sf_dir))
     wrong = F.col("rank") % 3 == 0

@@ -238,7 +238,7 @@ REJECTIONS = (
     "findings[0] returned 9 representative_refs; the limit is 5.",
     "findings[0] has match_count 1 but cites 3 lines.",
     "findings[1] cites 'a.log:L9', which is not in slice a.log-0001 (lines 1-8 of a.log).",
-    "relevant is false, but checked_for records a positive result for 'lease'.",
+    "a check of a slice called irrelevant has a positive result for 'lease'.",
     "findings[0] has no representative_refs; cite a line of slice a.log-0001.",
     "Response was not valid JSON. Return one JSON object and nothing else.",
     "field relevant: Field required",

@@ -43,10 +43,10 @@ def relevance_problems(report: Column) -> Column:
     hits = F.transform(F.filter(report["checked_for"], lambda c: c["found"]), lambda c: L.quoted(c["checked_for"]))
     irrelevant = ~report["relevant"]
     return _keep(
-        F.when(irrelevant & (F.size(report["findings"]) > 0), F.lit("relevant is false but findings were returned.")),
+        F.when(irrelevant & (F.size(report["findings"]) > 0), F.lit("a slice called irrelevant comes with findings.")),
         F.when(
             irrelevant & (F.size(hits) > 0),
-            _text("relevant is false, but checked_for records a positive result for ", F.array_join(hits, ", "), "."),
+            _text("a check of a slice called irrelevant has a positive result for ", F.array_join(hits, ", "), "."),
         ),
     )
 
@@ -149,14 +149,14 @@ def directive_problems(relevance: Column, indicators: Column) -> Column:
 
 
 def plan_size_problem(tasks: Column, limit: int) -> Column:
-    return F.when(tasks > limit, _text("plan requests ", tasks, " tasks but the limit for this round is ", str(limit), "."))
+    return F.when(tasks > limit, _text(tasks, " tasks are planned; a round takes ", str(limit), " at most."))
 
 
 def task_problems(index: Column, slice_id: Column, known: Column, intent: Column) -> Column:
     label = _text("tasks[", index, "]")
     return _keep(
         F.when(~known, _text(label, ".slice_id ", L.quoted(slice_id), " is not a slice in this case.")),
-        F.when(L.python_strip(intent) == "", _text(label, ".commander_intent is empty; state the hypothesis.")),
+        F.when(L.python_strip(intent) == "", _text(label, ".commander_intent is blank: name what the read is to settle.")),
     )
 
 

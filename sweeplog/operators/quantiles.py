@@ -1,7 +1,8 @@
 """Exact order statistics per key by distributed selection.
 
 Equal values are collapsed first (map-side combine). A coarse value bucket tells which bucket holds the wanted
-rank; only the distinct values of that bucket are ranked. No key is collected or sorted as a whole.
+rank; a bucket with very many different values is narrowed until few are left, and only these are ranked. No key is collected or
+sorted as a whole.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweeplog.session import materialize
+from sweeplog.session import join_small, materialize
+
+# Different values that are ranked in one task, and parts into which a range with more is cut.
+VALUES = 1_000_000
+PARTS = 1024
 
 
 def _value_bucket(value: Column) -> Column:
@@ -40,20 +45,44 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column
     for name in ranks:
         inside = (F.col(f"_r_{name}") >= F.col("_lo")) & (F.col(f"_r_{name}") < F.col("_hi"))
         wanted = inside if wanted is None else wanted | inside
-    targets = located.filter(wanted).drop("_bc", "_hi")
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        distinct.join(targets, [*keys, "_b"])
-        .withColumn("_to", F.col("_lo") + F.sum("_c").over(inner))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-    )
-    return ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[
-            F.max(F.when((F.col(f"_r_{r}") >= F.col("_from")) & (F.col(f"_r_{r}") < F.col("_to")), F.col("_v"))).alias(r)
-            for r in ranks
-        ],
-    )
+    names = [F.when((F.col(f"_r_{r}") >= F.col("_lo")) & (F.col(f"_r_{r}") < F.col("_hi")), F.struct(F.lit(r).alias("name"), F.col(f"_r_{r}").alias("rank"))) for r in ranks]
+    each = located.filter(wanted).select(*keys, "n", "_b", "_lo", F.explode(F.array_compact(F.array(*names))).alias("_t"))
+    ends = distinct.groupBy(*keys, "_b").agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"), F.count("*").alias("_values"))
+    targets = each.join(ends, [*keys, "_b"]).select(*keys, "n", F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank"), "_lo", "_from", "_to", "_values")
+    ranked = _narrowed(distinct.drop("_b"), materialize(targets, "targets"), keys)
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_name") == r, F.col("_v"))).alias(r) for r in ranks])
+
+
+def _narrowed(distinct: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, _name, _v: the value at each target's rank.
+
+    A target is a range of a key's values with the number of rows below it. Ranges with more than `VALUES` different values are cut in
+    `PARTS` and the part with the rank is kept, until all ranges are small; only then are values ranked. Counts are combined
+    before they move, and a key's values are spread over tasks by the value.
+    """
+    by = [*keys, "_name"]
+    while (targets.agg(F.max("_values").alias("m")).first()["m"] or 0) > VALUES:
+        share = (F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+        part = F.least(F.lit(PARTS - 1), F.floor(share * PARTS)).cast("int")
+        large = targets.filter(F.col("_values") > VALUES)
+        parts = _inside(distinct, large, keys).groupBy(*by, part.alias("_part")).agg(
+            F.sum("_c").alias("_rows"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_more")
+        )
+        below = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
+        placed = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(below), F.lit(0))).join(large, by)
+        start = F.col("_lo") + F.col("_before")
+        kept = placed.filter((F.col("_rank") >= start) & (F.col("_rank") < start + F.col("_rows"))).select(
+            *keys, "n", "_name", "_rank", start.alias("_lo"), F.col("_low").alias("_from"), F.col("_high").alias("_to"), F.col("_more").alias("_values")
+        )
+        targets = materialize(targets.filter(F.col("_values") <= VALUES).unionByName(kept), "targets")
+    inner = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _inside(distinct, targets, keys).withColumn("_upto", F.col("_lo") + F.sum("_c").over(inner))
+    return rows.filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))).select(*keys, "n", "_name", "_v")
+
+
+def _inside(distinct: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Values with the targets of their key in whose range they lie."""
+    return join_small(distinct, targets, keys, spread=["_v"]).filter(F.col("_v").between(F.col("_from"), F.col("_to")))
 
 
 def exact_total(value: str) -> Column:

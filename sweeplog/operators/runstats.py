@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweeplog.functions import problems as P
@@ -127,6 +127,12 @@ def phase_durations(log: DataFrame) -> DataFrame:
     return phase_gaps(log).groupBy(RUN, "state").agg((F.sum("micros") / F.lit(1e6)).alias("seconds"))
 
 
+def ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Phases or reasons of each run with their rank, the largest first, ties by name. A run has at most 14 or 8 of them."""
+    order = Window.partitionBy(RUN).orderBy(F.desc(value), F.asc(name))
+    return rows.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
 def illegal_transitions(log: DataFrame) -> DataFrame:
     """Transitions outside the legal table, counted per run and pair; one with a missing state is outside."""
     legal = [f"{a}>{b}" for a, targets in LEGAL_TRANSITIONS.items() for b in targets]

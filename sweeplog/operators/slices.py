@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
 from sweeplog.operators.packing import BLOCK_LINES, pack_windows, packing_budget, reach
+from sweeplog.session import join_small
 
 KEYS = ["case_id", "file"]
 
@@ -141,6 +142,18 @@ def slice_id(file: Column, window_index: Column) -> Column:
     return F.format_string("%s-%04d", file, window_index)
 
 
+def in_order(slices: DataFrame) -> DataFrame:
+    """Slices with `position`, from 1: their place in the case, files by name and slices by window.
+
+    Files are ordered by a row each; slices are not sorted.
+    """
+    per_file = slices.groupBy(*KEYS).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("case_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_file.select(*KEYS, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = join_small(slices, before, KEYS, spread=["window_index"])
+    return joined.withColumn("position", (F.col("_before") + F.col("window_index")).cast("bigint")).drop("_before")
+
+
 def file_inventory(lines: DataFrame, slices: DataFrame) -> DataFrame:
     counted = slices.groupBy(*KEYS).agg(F.count("*").alias("slice_count"))
     return (

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +17,10 @@ from sweeplog.session import join_small, materialize
 
 ALERT_FILE, LOGS_DIR = "alert.json", "logs"
 PIECE_BYTES = 128 * 1024 * 1024
-# Line separators of str.splitlines that the text reader does not split on.
-OTHER_SEPARATORS = r"[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Bytes that a task holds of a range at a time, or one line where that is longer.
+READ_BYTES = 4 * 1024 * 1024
 LISTING = "case_id string, kind string, path string, file string, size bigint"
-_PIECES = "case_id string, path string, file string, block bigint, row bigint, text string, tail boolean"
+_RANGE = "case_id string, path string, file string, size bigint, block bigint"
 
 
 def _open_folder(root: str):
@@ -91,77 +92,90 @@ def _path_part(path: Column, pattern: str) -> Column:
     return F.url_decode(F.replace(F.regexp_extract(path, pattern, 1), F.lit("+"), F.lit("%2B")))
 
 
-def _split_more(text: Column, python_splitlines: bool) -> Column:
-    """Parts of one reader line as (text, tail); tail marks the empty part after a final separator."""
-    if not python_splitlines:
-        return F.array(F.struct(text.alias("text"), F.lit(False).alias("tail")))
-    parts = F.split(text, OTHER_SEPARATORS, -1)
-    return F.transform(parts, lambda t, i: F.struct(t.alias("text"), ((i > 0) & (i == F.size(parts) - 1) & (t == "")).alias("tail")))
+def file_ranges(listing: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """A row for each `piece_bytes` of each log file that has bytes: case_id, path, file, size, block (where the range starts)."""
+    last = F.col("size") - 1
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(piece_bytes).cast("bigint"))).alias("block")
+    return listing.filter((F.col("kind") == "log") & (F.col("size") > 0)).select("case_id", "path", "file", "size", blocks)
 
 
-def _spark_pieces(spark: SparkSession, parent: str, python_splitlines: bool) -> DataFrame:
-    """Lines as the text reader gives them, with file, split start and an id that rises inside a split."""
-    path = F.col("_metadata.file_path")
-    raw = spark.read.text(f"{parent}/*/{LOGS_DIR}/*").filter(directly_in_logs(path, parent)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.explode(_split_more(F.make_valid_utf8("value"), python_splitlines)).alias("_l"),
-    )
-    return raw.select(
-        _path_part(F.col("path"), rf"([^/]+)/{LOGS_DIR}/[^/]+$").alias("case_id"),
-        "path",
-        _path_part(F.col("path"), r"([^/]+)$").alias("file"),
-        "block",
-        F.monotonically_increasing_id().alias("row"),
-        "_l.text",
-        "_l.tail",
-    )
+def _texts(path: str, start: int, size: int, piece_bytes: int) -> Iterator[str]:
+    """The lines that begin in [start, start + piece_bytes), as texts of some whole lines each."""
+    end = min(size, start + piece_bytes)
+    system, name = _open_folder(path)
+    with system.open_input_file(name) as handle:
+        if start:  # the line that is open here belongs to the range before
+            start -= 1
+            handle.seek(start)
+            while (step := handle.read(1 << 16)) and b"\n" not in step:
+                start += len(step)
+            start = start + step.find(b"\n") + 1 if step else size
+            handle.seek(start)
+        held: list[bytes] = []
+        while start < end:
+            step = handle.read(min(READ_BYTES, end - start))
+            if not step:
+                break
+            start += len(step)
+            cut = step.rfind(b"\n") + 1
+            held.append(step[:cut] if cut else step)
+            if cut:
+                yield b"".join(held).decode("utf-8", errors="replace")
+                held = [step[cut:]]
+        while any(held) and (step := handle.read(1 << 16)):  # to the end of the last line
+            cut = step.find(b"\n") + 1
+            held.append(step[:cut] if cut else step)
+            if cut:
+                break
+        if any(held):
+            yield b"".join(held).decode("utf-8", errors="replace")
+
+
+def _split(text: str, python_splitlines: bool) -> list[str]:
+    if python_splitlines:
+        return text.splitlines()
+    found = re.split("\r\n|\r|\n", text)
+    return found[:-1] if found[-1] == "" else found
+
+
+def _dealt(ranges: DataFrame, piece_bytes: int, task_bytes: int = 64 * 1024 * 1024, most: int = 50_000) -> DataFrame:
+    """Ranges in tasks of about `task_bytes` of their files; without a number few bytes of names would be put into one task."""
+    count = ranges.count()
+    tasks = max(2 * ranges.sparkSession.sparkContext.defaultParallelism, count * piece_bytes // task_bytes)
+    return ranges.repartition(max(1, min(tasks, count, most)), "path", "block")
+
+
+def line_counts(ranges: DataFrame, piece_bytes: int = PIECE_BYTES, *, python_splitlines: bool = True) -> DataFrame:
+    """The ranges with the number of their lines (`lines`)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            n = [sum(len(_split(t, python_splitlines)) for t in _texts(r["path"], r["block"], r["size"], piece_bytes)) for r in rows]
+            yield batch.append_column("lines", pa.array(n, pa.int64()))
 
+    return _dealt(ranges, piece_bytes).mapInArrow(counted, f"{_RANGE}, lines bigint")
 
-def _ranged_pieces(files: DataFrame, python_splitlines: bool, piece_bytes: int) -> DataFrame:
-    """Lines of files that the text reader leaves out (`_x`), read in byte ranges cut at newlines."""
-    last = F.greatest(F.lit(0).cast("bigint"), F.col("size") - 1)
-    ranges = files.select(
-        "case_id", "path", "file", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(piece_bytes).cast("bigint"))).alias("block")
-    ).repartition("path", "block")
-
-    def read_range(path: str, start: int, size: int) -> str:
-        """Text of the lines that begin in [start, start + piece_bytes)."""
-        end = min(size, start + piece_bytes)
-        system, name = _open_folder(path)
-        with system.open_input_file(name) as handle:
-            if start:
-                handle.seek(start - 1)
-                at = start - 1
-                while (step := handle.read(1 << 16)) and b"\n" not in step:
-                    at += len(step)
-                start = at + step.find(b"\n") + 1 if step else size
-            if start >= end:
-                return ""
-            handle.seek(start)
-            data = [handle.read(end - start)]
-            while not data[-1].endswith(b"\n") and (step := handle.read(1 << 16)):
-                cut = step.find(b"\n")
-                data.append(step if cut < 0 else step[: cut + 1])
-        return b"".join(data).decode("utf-8", errors="replace")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def lines_of_ranges(counts: DataFrame, piece_bytes: int = PIECE_BYTES, *, python_splitlines: bool = True) -> DataFrame:
+    """Numbered lines: (case_id, file, line_no, text). `counts` is a stored table of `line_counts`, read with the same arguments."""
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a file
+    placed = counts.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0))).filter("lines > 0")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for case_id, path, file, block, size in zip(
-                batch["case_id"], batch["path"], batch["file"], batch["block"], batch["size"]
-            ):
-                text = read_range(path, int(block), int(size))
-                if python_splitlines:
-                    found = text.splitlines()
-                else:
-                    found = re.split("\r\n|\r|\n", text)
-                    found = found[:-1] if found[-1] == "" else found
-                yield pd.DataFrame(
-                    {"case_id": case_id, "path": path, "file": file, "block": block, "row": range(len(found)),
-                     "text": found, "tail": False}
-                )
+            for row in batch.to_pylist():
+                number = row["before"]
+                for text in _texts(row["path"], row["block"], row["size"], piece_bytes):
+                    found = _split(text, python_splitlines)
+                    n = len(found)
+                    numbers = pa.array(range(number + 1, number + n + 1), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["case_id"]] * n), pa.array([row["file"]] * n), numbers, pa.array(found, pa.string())], ["case_id", "file", "line_no", "text"]
+                    )
+                    number += n
 
-    return ranges.mapInPandas(run, _PIECES)
+    return _dealt(placed.drop("lines"), piece_bytes).mapInArrow(read, "case_id string, file string, line_no bigint, text string")
 
 
 def number_lines(pieces: DataFrame) -> DataFrame:
@@ -194,16 +208,16 @@ def read_lines(spark: SparkSession, parent: str, listing: DataFrame | None = Non
                piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Numbered lines of every `<parent>/<case>/logs/*`: (case_id, file, line_no, text).
 
-    Files the text reader skips because their name starts with `_` are read from the listing, which is made here unless
-    it is given. Folders in `logs` are not entered. Undecodable bytes become the replacement character. One corner differs from splitlines: an unusual separator directly before the newline
-    that ends a file gives no extra empty line.
+    Files come from the listing, which is made here unless it is given; folders in `logs` are not entered. A first reading counts the
+    lines of each range of a file, a second one numbers them: the counts are stored, the text is neither written nor moved.
+    Undecodable bytes become the replacement character. Lines are those of `str.splitlines`, or end only with line feeds and
+    carriage returns. Each use of the result reads the files again.
     """
-    pieces = _spark_pieces(spark, parent.rstrip("/"), python_splitlines)
     if listing is None:
-        listing = list_cases(case_folders(spark, parent))
-    skipped = listing.filter((F.col("kind") == "log") & F.startswith("file", F.lit("_")) & (F.col("size") > 0))
-    pieces = pieces.unionByName(_ranged_pieces(skipped, python_splitlines, piece_bytes))
-    return number_lines(materialize(pieces, "log-pieces"))
+        listing = list_cases(case_folders(spark, parent.rstrip("/")))
+    ranges = materialize(file_ranges(listing, piece_bytes), "file-ranges")
+    counts = materialize(line_counts(ranges, piece_bytes, python_splitlines=python_splitlines), "line-counts")
+    return lines_of_ranges(counts, piece_bytes, python_splitlines=python_splitlines)
 
 
 # Required text fields of an alert, and its closed nested records.

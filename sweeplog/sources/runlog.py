@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from sweeplog import schemas
 from sweeplog.functions.lines import python_strip
 from sweeplog.operators import ordered
+from sweeplog.session import materialize
 
 RAW_CHARS = 500
 # Payload keys that never reach a file.
@@ -98,12 +99,23 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, pattern: str) -> DataFrame:
-    """Run statistics written by earlier runs: a JSON document per file, or one per line as `write_json` gives them.
+    """Run statistics written by earlier runs: one JSON document per line as `write_json` gives them, or one per file.
 
-    What cannot be read is left out.
+    Files are read by lines, so a file of any size is split. Only those without a line that is a document are read again as a
+    whole. What cannot be read is left out.
     """
     ddl = StructType.fromDDL(schemas.STATS_DDL).simpleString().removeprefix("struct<").removesuffix(">")
-    whole = spark.read.text(pattern, wholetext=True).withColumn("_single", _one_object(F.col("value"), ddl))
-    parts = F.when(F.size("_single") == 1, F.array("value")).otherwise(F.split("value", r"\r?\n"))
-    documents = whole.select(F.explode(parts).alias("value")).select(_one_object(F.col("value"), ddl).alias("_r"))
-    return documents.filter(F.size("_r") == 1).select(F.col("_r")[0].alias("r")).select("r.*").filter("investigation_id IS NOT NULL")
+
+    def documents(text: DataFrame) -> DataFrame:
+        found = text.select("path", _one_object(F.col("value"), ddl).alias("_r")).filter(F.size("_r") == 1)
+        return found.select("path", F.col("_r")[0].alias("r")).filter("r.investigation_id IS NOT NULL")
+
+    path = F.col("_metadata.file_path").alias("path")
+    lines = spark.read.text(pattern).select("value", path)
+    by_line = materialize(documents(lines), "history")
+    left = lines.select("path").distinct().join(by_line.select("path").distinct(), "path", "left_anti")
+    names = [r["path"] for r in left.collect()]  # names of files that are one document each, or none
+    if not names:
+        return by_line.select("r.*")
+    whole = documents(spark.read.text(names, wholetext=True).select("value", path))
+    return by_line.unionByName(whole).select("r.*")

@@ -44,7 +44,7 @@ CASES = {
     "count below refs": (report([finding([L5, L6], count=1)]), ["has match_count 1 but cites 2 lines"]),
     "bad end point": (report([finding([L5], last=f"{FILE}:L8")]), ["endpoints cites"]),
     "empty end point": (report([finding([L5], first="", last="")]), []),
-    "irrelevant with findings": (report([finding([L5])], relevant=False), ["relevant is false but findings"]),
+    "irrelevant with findings": (report([finding([L5])], relevant=False), ["irrelevant comes with findings"]),
     "irrelevant with a hit": (report([], relevant=False, checks=[FOUND]), ["positive result for 'lease'"]),
     "relevant with a hit": (report([finding([L5])], checks=[FOUND]), []),
     "wrong slice": (report([finding([L5])], slice_id="other-0001"), ["slice_metadata.slice_id is 'other-0001'"]),

@@ -75,6 +75,19 @@ def test_ranks_of_negative_and_equal_values(spark):
     assert [got[f"r{i}"] for i in range(len(values))] == values
 
 
+def test_crowded_buckets_are_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "VALUES", 20)
+    monkeypatch.setattr(quantiles, "PARTS", 8)
+    rng = np.random.default_rng(5)
+    near = [100.0 + float(x) for x in rng.random(3000) ** 6]  # within one hundredth, most of them far closer
+    values = near + [7.0] * 500 + [-3.5, 0.0, 2e9] + [100.25] * 300
+    df = spark.createDataFrame([("hot", v) for v in values] + [("b", v) for v in near[:41]] + [("hot", None)], "key string, v double")
+    got = {r.key: r for r in quantiles.latency_spread(df, ["key"], "v").collect()}
+    for key, own in (("hot", sorted(values)), ("b", sorted(near[:41]))):
+        assert got[key]["count"] == len(own) and got[key].median == statistics.median(own)
+        assert got[key].p95 == own[min(len(own) - 1, int(len(own) * 0.95))] and got[key].max == own[-1]
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
 def test_salted_join_equals_broadcast_join(rows, how):
     small = rows.sparkSession.createDataFrame([("hot", 1), ("a", 2)], "key string, x int")

@@ -40,14 +40,14 @@ def test_buckets_and_stray_hits(spark):
     assert (got.tasks, got.detailed, got.empty, got.failed) == (4, 1, 2, 1)
     assert (got.stray_hits, got.relevant_without_findings, got.matching_lines) == (1, 1, 3)
     assert O.stray_hits(df).first().checked_for == "lease"
-    assert "NOT examined" in O.failure_lines(df).first().text
+    assert "was not examined" in O.failure_lines(df).first().text
 
 
 def test_one_negative_over_twelve_slices(spark):
     df = frame(spark, [row(n, checks=[("beacon", False)]) for n in range(1, 13)])
     got = O.negative_checks(df).collect()
     assert [(r.checked_for, r.slices) for r in got] == [("beacon", 12)]
-    assert "'beacon': looked for in 12 slice(s), not found" in O.coverage_text(df).first().negatives
+    assert "'beacon': absent from 12 slice(s)" in O.coverage_text(df).first().negatives
 
 
 def test_negatives_are_bounded_with_ties_by_first_occurrence(spark):

@@ -28,7 +28,7 @@ BUDGET = 600
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(2)
-    parts = ["10.1.2.3", "wks-1", "x.bad-sync.net", "noise", "routine lookup", "2026-08-03T11:04:12Z", "Aug  3 10:58:41"]
+    parts = ["10.1.2.3", "wks-1", "x.bad-sync.net", "noise", "routine lookup", "2031-02-05T08:14:55Z", "Feb  5 07:31:09"]
     # hot.log holds nearly all lines.
     return {
         "hot.log": [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(2500)],
@@ -44,7 +44,7 @@ def lines(spark, texts):
 
 @pytest.fixture(scope="module")
 def directive(spark):
-    return I.directives(spark.sql(ALERT), irrelevant=["routine lookup"], time_window="2026-08-03T11:00:00Z/2026-08-03T12:00:00Z")
+    return I.directives(spark.sql(ALERT), irrelevant=["routine lookup"], time_window="2031-02-05T08:00:00Z/2031-02-05T09:00:00Z")
 
 
 INDICATORS = ["x.bad-sync.net", "bad-sync.net", "10.1.2.3", "wks-1"]
@@ -104,7 +104,7 @@ def test_exclusion_never_hides_a_hit(lines, directive, texts):
 
 
 def test_time_window(spark, directive):
-    stamps = ["2026-08-03T11:04:12Z in", "2026-08-03 12:30:00 out", "Aug  3 10:58:41 no year", "1785754800.123456 epoch", "none"]
+    stamps = ["2031-02-05T08:14:55Z in", "2031-02-05 09:30:00 out", "Feb  5 07:31:09 no year", "1928044800.123456 epoch", "none"]
     lines = spark.createDataFrame([("c", "f", i, t) for i, t in enumerate(stamps, 1)], "case_id string, file string, line_no bigint, text string")
     assert sorted(r.line_no for r in I.within_window(lines, directive).collect()) == [1, 3, 4, 5]
     assert sorted(r.line_no for r in I.within_window(lines, directive, keep_untimed=False).collect()) == [1, 4]
@@ -112,10 +112,10 @@ def test_time_window(spark, directive):
 
 
 def test_time_range_is_textual(spark):
-    rows = [("c", "a", 1, "Aug  3 10:58:41 x"), ("c", "a", 2, "1785754800.123456 y"), ("c", "b", 1, "no stamp")]
+    rows = [("c", "a", 1, "Feb  5 07:31:09 x"), ("c", "a", 2, "1928044800.123456 y"), ("c", "b", 1, "no stamp")]
     lines = spark.createDataFrame(rows, "case_id string, file string, line_no bigint, text string")
     got = {r.file: r.time_range for r in SL.file_times(lines).collect()}
-    assert got == {"a": "1785754800.123456/Aug  3 10:58:41", "b": "unknown (no timestamps recognised)"}
+    assert got == {"a": "1928044800.123456/Feb  5 07:31:09", "b": "unknown (no timestamps recognised)"}
 
 
 def test_fenced_alert_marks_owned_fields(spark):
@@ -133,9 +133,9 @@ def test_token_hits_match_parent_domains_only_on_label_borders(spark):
 
 
 def test_ground_outside_the_window_is_not_reported_clear(spark):
-    stamps = {1: "2026-08-03T11:04:12Z evil", 2: "2026-08-03T11:05:12Z x", 3: "2029-01-01T00:00:00Z evil", 4: "2029-01-01T00:00:00Z evil bad", 5: "2026-08-03T11:06:00Z bad"}
+    stamps = {1: "2031-02-05T08:04:12Z evil", 2: "2031-02-05T08:05:12Z x", 3: "2034-01-01T00:00:00Z evil", 4: "2034-01-01T00:00:00Z evil bad", 5: "2031-02-05T08:06:00Z bad"}
     lines = spark.createDataFrame([("c", "f", i, t) for i, t in stamps.items()], "case_id string, file string, line_no bigint, text string")
-    directive = spark.createDataFrame([("c", "look", ["evil", "bad", "none"], "2026-08-01T00:00:00Z/2026-09-01T00:00:00Z")],
+    directive = spark.createDataFrame([("c", "look", ["evil", "bad", "none"], "2031-02-01T00:00:00Z/2031-03-01T00:00:00Z")],
                                       "case_id string, alert_restatement string, indicators array<string>, time_window string")
     slices = spark.createDataFrame([("c", "f", f"f-000{k}", k, a, b) for k, a, b in ((1, 1, 2), (2, 3, 4), (3, 5, 5))],
                                    "case_id string, file string, slice_id string, window_index bigint, start_line bigint, end_line bigint")
@@ -145,7 +145,7 @@ def test_ground_outside_the_window_is_not_reported_clear(spark):
     assert {(r.checked_for, r.slices) for r in O.negatives_by_difference(outcomes, directive).collect()} == {("none", 3), ("evil", 1), ("bad", 1)}
     assert {(r.checked_for, r.slices) for r in O.seen_outside(outcomes).collect()} == {("bad", 1), ("evil", 1)}
     text = jobs.collapse(outcomes, directive).first()
-    assert "'none': looked for in 3 slice(s), not found" in text.negatives and "'evil': looked for in 1" in text.negatives
+    assert "'none': absent from 3 slice(s)" in text.negatives and "'evil': absent from 1" in text.negatives
 
 
 @pytest.mark.parametrize("listed", [100_000, 3])
