@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences: rules, language, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next stage's docs. All
-but the last return rows of `documents` with all their columns.
+but the last return rows of `documents` with all their columns, whatever other columns the table has and however they are named.
+
+Defined results: a null or empty text fails the rules and goes; a null language is one of its own for the rules and no example for the
+language model. Of repeated rows one stays, of rows that share an id and differ in text each is a document of its own; rows with a
+null id are linked with nothing and stay. Ties go to the smallest id. An empty table gives empty tables at each stage.
 """
 
 from __future__ import annotations
