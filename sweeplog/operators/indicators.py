@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplog.functions import lines as L
@@ -17,6 +17,8 @@ FEW = 64
 SEED = 4
 LISTED_SEEDS = 100_000
 SAMPLE_LINES = 20_000
+# Lines of a file whose hits are put together before its parts are.
+PART_LINES = 1 << 20
 # How the result of a check begins that found its subject only beyond the time window.
 OUTSIDE = "outside the time window only: "
 
@@ -149,19 +151,19 @@ def _refs(numbers: Column) -> Column:
 def mentions(hits: DataFrame) -> DataFrame:
     """Per file and indicator: how often, first and last line, and the first five refs.
 
-    The five refs come from a ranked limit that each task applies before the shuffle, so a hot file sends five rows per
-    task and not its lines.
+    Hits are read once: parts of `PART_LINES` lines of a file keep their count, ends and first five lines, and the parts are put
+    together, so a hot file's hits are spread over its parts.
     """
     keys = [*KEYS, "indicator"]
-    totals = hits.groupBy(*keys).agg(
-        F.count("*").alias("match_count"), F.min("line_no").alias("_first"), F.max("line_no").alias("_last")
+    few = lambda numbers: F.slice(F.array_sort(numbers), 1, MAX_REPRESENTATIVE_REFS)
+    part = F.floor(F.col("line_no") / PART_LINES).alias("_part")
+    parts = hits.groupBy(*keys, part).agg(
+        F.count("*").alias("_n"), F.min("line_no").alias("_from"), F.max("line_no").alias("_to"), few(F.collect_list("line_no")).alias("_few")
     )
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    first = hits.select(*keys, "line_no").withColumn("_rank", F.row_number().over(order)).filter(
-        F.col("_rank") <= MAX_REPRESENTATIVE_REFS
+    whole = parts.groupBy(*keys).agg(
+        F.sum("_n").alias("match_count"), F.min("_from").alias("_first"), F.max("_to").alias("_last"), few(F.flatten(F.collect_list("_few"))).alias("_samples")
     )
-    samples = first.groupBy(*keys).agg(F.array_sort(F.collect_list("line_no")).alias("_samples"))
-    return totals.join(samples, keys).select(
+    return whole.select(
         *keys,
         "match_count",
         L.line_ref(F.col("file"), F.col("_first")).alias("first_ref"),
@@ -209,12 +211,12 @@ def line_totals(hits: DataFrame) -> DataFrame:
 
 
 def cross_file(hits: DataFrame) -> DataFrame:
-    """Indicators seen in more than one file of a case, one row per file. Grouped; no pairs of files are formed."""
-    per_file = hits.groupBy("case_id", "indicator", "file").agg(
+    """Indicators seen in more than one file of a case, one row per file. Grouped; no pairs of files are formed, hits are read once."""
+    per_file = materialize(hits.groupBy("case_id", "indicator", "file").agg(
         F.count("*").alias("line_count"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")
-    )
+    ), "hits-per-file")
     spread = per_file.groupBy("case_id", "indicator").agg(F.count("*").alias("files")).filter("files > 1")
-    return per_file.join(spread, ["case_id", "indicator"])
+    return join_small(per_file, spread, ["case_id", "indicator"], spread=["file"])
 
 
 def within_window(lines: DataFrame, directive: DataFrame, *, keep_untimed: bool = True) -> DataFrame:
