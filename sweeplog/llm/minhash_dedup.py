@@ -9,7 +9,7 @@ Groups of near copies, whose members stay together anyway, are left out of that.
 
 Pairs that look similar are confirmed on the full sets. A node first gives a spanning forest of its similar pairs, so a large group
 of copies gives about as many pairs as members. When these are confirmed and the components known, the nodes are read again for
-the pairs whose members are still apart, which are all confirmed too. Members that twelve choices do not part are all compared too,
+the pairs whose members are still apart; those that are similar by many more coordinates of their sets are all confirmed too. Members that twelve choices do not part are all compared too,
 tile by tile; pairs that are linked already are left out, so near copies cost little, while a family of texts just below the threshold
 costs the square of its size.
 
@@ -50,7 +50,10 @@ TILE = 256
 HOT = 50_000
 HELD = 200_000
 
-_SALT = tb.mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+# Further coordinates by which pairs of the second reading of the nodes are compared, before their sets are.
+FINE = 512
+
+_SALT = tb.mixed(np.arange(1, COORDINATES + FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = tb.mixed(_SALT) | np.uint64(1)
 
 
@@ -77,16 +80,22 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(text, np.arange(len(texts) + 1))
 
 
-def minima(hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
+def minima(hashed: np.ndarray, at: np.ndarray, coordinates: range = range(COORDINATES)) -> np.ndarray:
     """The minwise value of each text (that has shingles) under each coordinate's permutation."""
     full = at[:-1][np.diff(at) > 0]
-    out = np.empty((len(full), COORDINATES), dtype=np.uint64)
+    out = np.empty((len(full), len(coordinates)), dtype=np.uint64)
     if len(full):
-        for k in range(COORDINATES):
-            out[:, k] = np.minimum.reduceat((hashed ^ _SALT[k]) * _ODD[k], full)
+        for place, k in enumerate(coordinates):
+            out[:, place] = np.minimum.reduceat((hashed ^ _SALT[k]) * _ODD[k], full)
     return out
 
 
+def floor_of(threshold: int, coordinates: int) -> float:
+    """The least share of equal coordinates of a pair that counts as similar: four deviations below the threshold."""
+    s = threshold / 100
+    return s - 4 * float(np.sqrt(s * (1 - s) / coordinates))
+
+
 def sketched(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, two sums that tell sets apart, the chosen tokens, and a byte of each minwise token."""
 
@@ -167,6 +176,9 @@ class Nodes:
         self.level = table.column("level").to_numpy().astype(np.int64)
         self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         self.component = table.column("component").to_numpy() if "component" in table.column_names else None
+        self.fine = None
+        if "fine" in table.column_names:
+            self.fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         self.row = np.arange(len(self.cid))
         # members that chosen pairs have linked so far have equal labels, whichever nodes they stand in
         self.label = np.arange(len(self.cid)) if self.component is None else np.unique(self.component, return_inverse=True)[1]
@@ -274,7 +286,8 @@ class Nodes:
             if x[0] == y[0]:
                 fit &= p[:, None] < q[None, :] if p is not odd_x else (p[:, None] < q[None, :]) | (label[q] == usual)[None, :]
             i, j = np.nonzero(fit)
-            out.append((p[i], q[j]))
+            good = self._finely(rows[p[i]], rows[q[j]], threshold)
+            out.append((p[i[good]], q[j[good]]))
         if not out:
             return x[:0], x[:0]
         return tuple(np.concatenate(z) for z in zip(*out, strict=True))
@@ -286,8 +299,18 @@ class Nodes:
         i, j = i[fit], j[fit]
         same = np.concatenate([(self.sketch[i[a : a + 50_000]] == self.sketch[j[a : a + 50_000]]).sum(axis=1) for a in range(0, len(i), 50_000)] or [np.zeros(0, int)])
         good = same >= floor * COORDINATES
+        i, j, same = i[good], j[good], same[good]
+        good = self._finely(i, j, threshold)
         return i[good], j[good], same[good]
 
+    def _finely(self, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+        """Which of the pairs are similar by the further coordinates too, where rows have them."""
+        if self.fine is None:
+            return np.ones(len(i), dtype=bool)
+        least = floor_of(threshold, FINE) * FINE
+        step = 20_000
+        return np.concatenate([(self.fine[i[a : a + step]] == self.fine[j[a : a + step]]).sum(axis=1) >= least for a in range(0, len(i), step)] or [np.zeros(0, dtype=bool)])
+
 
 def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs of places below `size` form a spanning forest, the first ones first."""
@@ -313,11 +336,11 @@ def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def node_pairs(classes: DataFrame, threshold: int) -> DataFrame:
     """a, b (a < b): pairs of classes that look similar in some node.
 
-    classes: cid, n_shingles, tokens, sketch, and possibly component; without it a node gives a spanning forest of its similar pairs,
-    with it all similar pairs whose components differ.
+    classes: cid, n_shingles, tokens, sketch, and possibly component and fine; without component a node gives a spanning forest of its
+    similar pairs, with it all similar pairs whose components differ; fine: bytes of further coordinates.
     """
-    floor = threshold / 100 - 4 * np.sqrt(threshold / 100 * (1 - threshold / 100) / COORDINATES)
-    more = ["component"] if "component" in classes.columns else []
+    floor = floor_of(threshold, COORDINATES)
+    more = [c for c in ("component", "fine") if c in classes.columns]
     rows = classes.select("cid", "n_shingles", "sketch", *more, F.posexplode("tokens").alias("tree", "node")).withColumn("level", F.lit(0))
     dealt = _branched(rows).repartition("tree", "node").sortWithinPartitions("tree", "node")
 
@@ -378,23 +401,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """cid, set: the full sets of the classes in members (cid, first: a document's id, and the sums of its set)."""
+    """cid, set: the full sets of the classes in members (cid, and the id and mark of its first document)."""
 
     def set_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "text"):
             hashed, at = shingles(block.column("text"), size)
-            full = np.diff(at) > 0
-            low, high = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
-            if full.any():
-                low[full] = np.add.reduceat(hashed, at[:-1][full]).view(np.int64)
-                high[full] = np.add.reduceat(tb.mixed(hashed), at[:-1][full]).view(np.int64)
             rows = [hashed[at[i] : at[i + 1]].tobytes() for i in range(block.num_rows)]
-            yield pa.RecordBatch.from_arrays([block.column("first"), pa.array(low), pa.array(high), pa.array(rows, pa.binary())], ["first", "low", "high", "set"])
+            yield pa.RecordBatch.from_arrays([block.column("cid"), pa.array(rows, pa.binary())], ["cid", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text", F.xxhash64("text").alias("mark"))
-    wanted = join_small(texts, members.select("first", "mark").distinct(), ["first", "mark"], "left_semi", spread=["mark"])
-    made = wanted.select("first", "text").mapInArrow(set_of, "first long, low long, high long, set binary")
-    return made.join(members.select("cid", "first", "low", "high"), ["first", "low", "high"]).select("cid", "set").dropDuplicates(["cid"])
+    wanted = join_small(texts, members.select("first", "mark", "cid"), ["first", "mark"], spread=["mark"])
+    return wanted.select("cid", "text").mapInArrow(set_of, "cid long, set binary").dropDuplicates(["cid"])
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """cid, fine: a byte of each of the further coordinates of the sets."""
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")]
+            for a in range(0, len(each), 500):
+                part = each[a : a + 500]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+                least = minima(np.concatenate(part), at, range(COORDINATES, COORDINATES + FINE))
+                rows = (tb.mixed(least) & np.uint64(0xFF)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("cid").slice(a, len(part)), pa.array([r.tobytes() for r in rows], pa.binary())], ["cid", "fine"])
+
+    return sets.mapInArrow(made, "cid long, fine binary")
 
 
 def _resolved(docs: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -414,7 +447,7 @@ def _resolved(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     links = materialize(_confirmed(pairs, sets, threshold), "links")
     found = materialize(connected(links, "a", "b"), "components")
     apart = plain.join(members, "cid", "left_semi").join(found.withColumnRenamed("id", "cid"), "cid", "left")
-    apart = apart.withColumn("component", F.coalesce("component", "cid"))
+    apart = apart.withColumn("component", F.coalesce("component", "cid")).join(_fine(sets), "cid")
     rest = materialize(node_pairs(apart, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_confirmed(rest, sets, threshold), "links")
     if not more.isEmpty():
