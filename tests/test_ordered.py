@@ -95,3 +95,17 @@ def test_salted_join_equals_broadcast_join(rows, how):
     narrow = session.join_small(rows, small, ["key"], how)
     assert wide.count() == narrow.count()
     assert wide.select(F.sum("id")).first() == narrow.select(F.sum("id")).first()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_small_side_is_not_broadcast_after_all(rows):
+    small = rows.sparkSession.createDataFrame([("hot", 1), ("a", 2)], "key string, x int")
+    assert "Broadcast" not in _plan(session.join_small(rows, small, ["key"], spread=["id"], limit_bytes=0))
+    assert "Broadcast" not in _plan(session.join_small(rows, small, ["key"], limit_bytes=0))
+
+
+def test_ranks_of_many_keys_are_not_broadcast(rows):
+    assert "Broadcast" not in _plan(quantiles.latency_spread(rows, ["key"], "value"))
