@@ -171,3 +171,10 @@ def test_transitions_outside_the_table(spark):
         step(1, "x", "TASKING", before="RECEIVED"), step(2, "x", "DONE", before="TASKING"), step(3, "x", "SWEEPING", before="DONE")]))
     got = sorted((r.from_state, r.to_state) for r in R.illegal_transitions(log).collect())
     assert got == [("DONE", "SWEEPING"), ("TASKING", "DONE")]
+
+
+def test_statistics_of_many_runs_are_not_broadcast(spark):
+    log = runlog.records(lines(spark, [step(1, "2026-08-14T10:00:00.000+00:00", "COLLECTING"), call(2, "grunt", 1000.0)]))
+    inventory = spark.createDataFrame([("r", 10, 2)], "investigation_id string, line_count bigint, slice_count bigint")
+    plan = R.run_stats(log, inventory=inventory)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [investigation_id" not in plan
