@@ -138,10 +138,12 @@ def _split(text: str, python_splitlines: bool) -> list[str]:
     return found[:-1] if found[-1] == "" else found
 
 
-def _dealt(ranges: DataFrame, piece_bytes: int, task_bytes: int = 64 * 1024 * 1024, most: int = 50_000) -> DataFrame:
-    """Ranges in tasks of about `task_bytes` of their files; without a number few bytes of names would be put into one task."""
-    count = ranges.count()
-    tasks = max(2 * ranges.sparkSession.sparkContext.defaultParallelism, count * piece_bytes // task_bytes)
+def _dealt(ranges: DataFrame, piece_bytes: int, task_bytes: int = 64 * 1024 * 1024, task_ranges: int = 2_000, most: int = 50_000) -> DataFrame:
+    """Ranges in tasks of about `task_bytes` of their files or `task_ranges` ranges, as small files cost their opening; without a number
+    few bytes of names would be put into one task."""
+    held = F.least(F.lit(piece_bytes).cast("bigint"), F.col("size") - F.col("block"))
+    count, size = ranges.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    tasks = max(2 * ranges.sparkSession.sparkContext.defaultParallelism, size // task_bytes, count // task_ranges)
     return ranges.repartition(max(1, min(tasks, count, most)), "path", "block")
 
 

@@ -105,3 +105,10 @@ def test_case_audit_names_what_is_wrong(spark, tmp_path):
     complete = CF.read_lines(spark, str(tmp_path), found)
     rest = {r.problem for r in CF.case_audit(found, CF.read_alerts(spark, str(tmp_path)), complete).collect()}
     assert "listed but not read" not in rest
+
+
+def test_many_small_files_share_tasks(spark):
+    many = spark.range(30_000).selectExpr("concat('/x/', id) AS path", "3000L AS size", "0L AS block")
+    assert CF._dealt(many, CF.PIECE_BYTES).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    large = spark.range(64).selectExpr("'/x' AS path", f"64L * {CF.PIECE_BYTES} AS size", f"id * {CF.PIECE_BYTES} AS block")
+    assert CF._dealt(large, CF.PIECE_BYTES).rdd.getNumPartitions() == 64
