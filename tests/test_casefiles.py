@@ -112,3 +112,12 @@ def test_many_small_files_share_tasks(spark):
     assert CF._dealt(many, CF.PIECE_BYTES).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     large = spark.range(64).selectExpr("'/x' AS path", f"64L * {CF.PIECE_BYTES} AS size", f"id * {CF.PIECE_BYTES} AS block")
     assert CF._dealt(large, CF.PIECE_BYTES).rdd.getNumPartitions() == 64
+
+
+def test_case_folder_below_a_uri_holds_names_with_blanks(spark, tmp_path, monkeypatch):
+    from sweeplog.binding import files as binding
+
+    monkeypatch.setattr(binding, "staging_path", lambda *_: f"file://{tmp_path}/cases")
+    root = binding.case_folder(spark, "/root/testdata/sf0.001")
+    found = CF.list_cases(CF.case_folders(spark, root)).filter("kind = 'log'")
+    assert found.filter("contains(file, ' ')").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id % 50 = 0 AND text IS NOT NULL").count() > 0
