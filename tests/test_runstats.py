@@ -178,3 +178,13 @@ def test_statistics_of_many_runs_are_not_broadcast(spark):
     inventory = spark.createDataFrame([("r", 10, 2)], "investigation_id string, line_count bigint, slice_count bigint")
     plan = R.run_stats(log, inventory=inventory)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin [investigation_id" not in plan
+
+
+def test_folders_of_the_sink_do_not_grow_with_the_runs(spark, tmp_path):
+    events = spark.range(3000).selectExpr("concat('r', id % 1500) AS investigation_id", "timestamp_micros(id) AS ts", "id AS sequence", "'llm_call' AS kind")
+    path = str(tmp_path / "log")
+    runlog.append_events(runlog.number_events(events), path)
+    assert len(list((tmp_path / "log").glob("runs=*"))) <= runlog.FOLDERS
+    back = runlog.read_run_log(spark, path).groupBy("investigation_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count("*").alias("n"))
+    assert back.filter("a = 1 AND b = 2 AND n = 2").count() == 1500
+    assert [r.event_id for r in runlog.read_run(spark, path, "r7").orderBy("event_id").collect()] == [1, 2]
