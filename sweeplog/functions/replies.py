@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +22,20 @@ REPORT = {"slice_metadata": OBJECT, "relevant": FLAG, "findings": LIST, "checked
 CONFIDENCES = ("low", "medium", "high")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once a row, however often `body` names it. Plain columns are worked out at each naming."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_fences(text: Column) -> Column:
     """Reply without a surrounding code fence."""
-    body = python_strip(text)
-    opened = F.when(F.contains(body, F.lit("\n")), F.regexp_replace(body, r"(?s)^[^\n]*\n", "")).otherwise(body)
-    closed = F.regexp_replace(opened, r"(?sU)```\s*$", "")
-    return python_strip(F.when(F.startswith(body, F.lit("```")), closed).otherwise(body))
+
+    def stripped(body: Column) -> Column:
+        opened = F.when(F.contains(body, F.lit("\n")), F.regexp_replace(body, r"(?s)^[^\n]*\n", "")).otherwise(body)
+        closed = F.regexp_replace(opened, r"(?sU)```\s*$", "")
+        return F.when(F.startswith(body, F.lit("```")), python_strip(closed)).otherwise(body)
+
+    return once(python_strip(text), stripped)
 
 
 def _kind(value: Column) -> Column:
@@ -35,33 +45,42 @@ def _kind(value: Column) -> Column:
 def object_problems(value: Column, fields: dict[str, str], optional: tuple[str, ...] = (), prefix: Column | None = None) -> Column:
     """Missing, mistyped and unknown fields of a variant that is an object."""
     prefix = F.lit("") if prefix is None else prefix
-    checks = []
-    for name, wanted in fields.items():
-        kind = _kind(F.variant_get(value, f"$.{name}", "variant"))
-        label = F.concat(F.lit("field "), prefix, F.lit(name))
-        if name not in optional:
-            checks.append(F.when(kind.isNull(), F.concat(label, F.lit(": Field required"))))
-        checks.append(F.when(~F.startswith(kind, F.lit(wanted)), F.concat(label, F.lit(f": expected {wanted.rstrip('<')}"))))
-    keys = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
-    unknown = F.transform(
-        F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in fields]))),
-        lambda k: F.concat(F.lit("field "), prefix, k, F.lit(": Extra inputs are not permitted")),
-    )
-    return F.concat(F.array_compact(F.array(*checks)), unknown)
-
-
-def parse_problems(text: Column, fields: dict[str, str], optional: tuple[str, ...] = (), nested: Column | None = None) -> Column:
-    """Problems of a reply: not JSON, not an object, else its fields."""
-    value = F.try_parse_json(strip_fences(text))
-    shaped = object_problems(value, fields, optional)
-    if nested is not None:
-        shaped = F.concat(shaped, nested)
-    return (
-        F.when(value.isNull(), F.array(F.lit("Response was not valid JSON. Return one JSON object and nothing else.")))
-        .when(~F.startswith(_kind(value), F.lit(OBJECT)),
-              F.array(F.lit("Response must be a single JSON object, not a bare value or list.")))
-        .otherwise(shaped)
-    )
+
+    def problems(kinds: Column) -> Column:
+        checks = []
+        for name, wanted in fields.items():
+            kind = F.try_element_at(kinds, F.lit(name))
+            label = F.concat(F.lit("field "), prefix, F.lit(name))
+            if name not in optional:
+                checks.append(F.when(kind.isNull(), F.concat(label, F.lit(": Field required"))))
+            checks.append(F.when(~F.startswith(kind, F.lit(wanted)), F.concat(label, F.lit(f": expected {wanted.rstrip('<')}"))))
+        keys = F.coalesce(F.map_keys(kinds), F.array().cast("array<string>"))
+        unknown = F.transform(
+            F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in fields]))),
+            lambda k: F.concat(F.lit("field "), prefix, k, F.lit(": Extra inputs are not permitted")),
+        )
+        return F.concat(F.array_compact(F.array(*checks)), unknown)
+
+    held = F.try_variant_get(value, "$", "map<string,variant>")
+    return once(F.transform_values(held, lambda k, v: _kind(v)), problems)
+
+
+def parse_problems(text: Column, fields: dict[str, str], optional: tuple[str, ...] = (),
+                   nested: Callable[[Column], Column] | None = None) -> Column:
+    """Problems of a reply: not JSON, not an object, else its fields and what `nested` finds in the parsed reply."""
+
+    def problems(value: Column) -> Column:
+        shaped = object_problems(value, fields, optional)
+        if nested is not None:
+            shaped = F.concat(shaped, nested(value))
+        return (
+            F.when(value.isNull(), F.array(F.lit("Response was not valid JSON. Return one JSON object and nothing else.")))
+            .when(~F.startswith(_kind(value), F.lit(OBJECT)),
+                  F.array(F.lit("Response must be a single JSON object, not a bare value or list.")))
+            .otherwise(shaped)
+        )
+
+    return once(F.try_parse_json(strip_fences(text)), problems)
 
 
 def _elements(value: Column, path: str, fields: dict[str, str], optional: tuple[str, ...] = ()) -> Column:
@@ -76,9 +95,7 @@ def _elements(value: Column, path: str, fields: dict[str, str], optional: tuple[
     )
 
 
-def report_reply_problems(text: Column) -> Column:
-    """Field problems of a worker report, with its nested records."""
-    value = F.try_parse_json(strip_fences(text))
+def _report_parts(value: Column) -> Column:
     metadata = F.variant_get(value, "$.slice_metadata", "variant")
     confidence = F.transform(
         F.coalesce(F.try_variant_get(value, "$.findings", "array<variant>"), F.array().cast("array<variant>")),
@@ -87,7 +104,7 @@ def report_reply_problems(text: Column) -> Column:
             F.concat(F.lit("field findings."), i.cast("string"), F.lit(".confidence: Input should be 'low', 'medium' or 'high'")),
         ),
     )
-    nested = F.concat(
+    return F.concat(
         F.when(F.startswith(_kind(metadata), F.lit(OBJECT)),
                object_problems(metadata, SLICE_METADATA, prefix=F.lit("slice_metadata.")))
         .otherwise(F.array().cast("array<string>")),
@@ -95,17 +112,21 @@ def report_reply_problems(text: Column) -> Column:
         _elements(value, "checked_for", CHECK),
         F.array_compact(confidence),
     )
-    return parse_problems(text, REPORT, ("findings", "checked_for"), nested)
+
+
+def report_reply_problems(text: Column) -> Column:
+    """Field problems of a worker report, with its nested records."""
+    return parse_problems(text, REPORT, ("findings", "checked_for"), _report_parts)
 
 
 def parse_report(text: Column, report_ddl: str) -> Column:
     """Typed report, null where the reply has problems; absent lists become empty."""
-    parsed = F.from_json(strip_fences(text), report_ddl)
-    return F.when(
+    whole = lambda parsed: F.when(
         parsed.isNotNull(),
         parsed.withField("findings", F.coalesce(parsed["findings"], F.from_json(F.lit("[]"), "array<" + _inner(report_ddl, "findings") + ">")))
         .withField("checked_for", F.coalesce(parsed["checked_for"], F.from_json(F.lit("[]"), "array<" + _inner(report_ddl, "checked_for") + ">"))),
     )
+    return once(F.from_json(strip_fences(text), report_ddl), whole)
 
 
 def _inner(ddl: str, field: str) -> str:

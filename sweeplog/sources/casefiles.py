@@ -229,15 +229,17 @@ _ENTITY = {"kind": R.TEXT, "value": R.TEXT, "note": R.TEXT}
 
 def alert_problems(text: Column) -> Column:
     """Missing, mistyped and unknown fields of an alert document."""
-    value = F.try_parse_json(text)
-    entities = R._elements(value, "entities", _ENTITY, ("note",))
-    fields = F.try_variant_get(value, "$.raw_detector_fields", "map<string,variant>")
-    mistyped = F.transform(
-        F.array_sort(F.map_keys(F.map_filter(F.coalesce(fields, F.create_map().cast("map<string,variant>")),
-                                             lambda k, v: ~F.startswith(F.schema_of_variant(v), F.lit(R.TEXT))))),
-        lambda k: F.concat(F.lit("field raw_detector_fields."), k, F.lit(": expected STRING")),
-    )
-    return R.parse_problems(text, _ALERT_FIELDS, ("entities", "raw_detector_fields"), F.concat(entities, mistyped))
+    none = F.create_map().cast("map<string,variant>")
+
+    def nested(value: Column) -> Column:
+        fields = F.coalesce(F.try_variant_get(value, "$.raw_detector_fields", "map<string,variant>"), none)
+        mistyped = F.transform(
+            F.array_sort(F.map_keys(F.map_filter(fields, lambda k, v: ~F.startswith(F.schema_of_variant(v), F.lit(R.TEXT))))),
+            lambda k: F.concat(F.lit("field raw_detector_fields."), k, F.lit(": expected STRING")),
+        )
+        return F.concat(R._elements(value, "entities", _ENTITY, ("note",)), mistyped)
+
+    return R.parse_problems(text, _ALERT_FIELDS, ("entities", "raw_detector_fields"), nested)
 
 
 def read_alerts(spark: SparkSession, parent: str) -> DataFrame:

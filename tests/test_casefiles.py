@@ -121,3 +121,9 @@ def test_case_folder_below_a_uri_holds_names_with_blanks(spark, tmp_path, monkey
     root = binding.case_folder(spark, "/root/testdata/sf0.001")
     found = CF.list_cases(CF.case_folders(spark, root)).filter("kind = 'log'")
     assert found.filter("contains(file, ' ')").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id % 50 = 0 AND text IS NOT NULL").count() > 0
+
+
+def test_an_alert_is_parsed_once(spark):
+    documents = spark.createDataFrame([("c", json.dumps(ALERT))], "case_id string, value string")
+    plan = CF.parse_alerts(documents)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") <= 2
