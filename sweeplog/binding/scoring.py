@@ -51,8 +51,9 @@ def judged_replies(spark, sf_dir):
 def literal_reader(lines, task: dict, feedback: list[str]) -> str:
     """Reads a slice for the literal indicators. On every fifth window its first answer cites a line that is not there."""
     found, checks = [], []
+    rows = list(zip(lines["ref"].tolist(), lines["text"].tolist()))
     for indicator in sorted(task["indicators"]):
-        refs = [ref for ref, text in zip(lines["ref"], lines["text"]) if indicator in text]
+        refs = [ref for ref, text in rows if indicator in text]
         if refs:
             cited = refs[:5] if feedback or task["window_index"] % 5 else ["nowhere.txt:L1"]
             found.append({"description": f"lines that contain '{indicator}'", "match_count": len(refs), "representative_refs": cited,

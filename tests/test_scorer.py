@@ -80,3 +80,12 @@ def test_unknown_field_is_rejected(outcomes):
 
 def test_nothing_found_is_a_report(outcomes):
     assert outcomes["quiet.log"].outcome == "report" and not outcomes["quiet.log"].report.relevant
+
+
+def test_a_reply_is_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from sweeplog.functions import replies
+
+    plan = spark.createDataFrame([("{}",)], "reply string").select(replies.report_reply_problems(F.col("reply")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") <= 2
