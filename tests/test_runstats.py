@@ -188,3 +188,11 @@ def test_folders_of_the_sink_do_not_grow_with_the_runs(spark, tmp_path):
     back = runlog.read_run_log(spark, path).groupBy("investigation_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count("*").alias("n"))
     assert back.filter("a = 1 AND b = 2 AND n = 2").count() == 1500
     assert [r.event_id for r in runlog.read_run(spark, path, "r7").orderBy("event_id").collect()] == [1, 2]
+
+
+def test_edges_of_many_runs_are_not_broadcast(spark):
+    log = runlog.records(lines(spark, [step(n, f"2026-08-14T10:00:0{n}.000+00:00", "COLLECTING") for n in range(1, 4)]))
+    gaps = R.phase_gaps(log)
+    assert sorted(r.micros for r in gaps.collect()) == [1_000_000, 1_000_000]
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
