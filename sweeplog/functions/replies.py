@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -68,6 +69,12 @@ def object_problems(value: Column, fields: dict[str, str], optional: tuple[str,
 def parse_problems(text: Column, fields: dict[str, str], optional: tuple[str, ...] = (),
                    nested: Callable[[Column], Column] | None = None) -> Column:
     """Problems of a reply: not JSON, not an object, else its fields and what `nested` finds in the parsed reply."""
+    return _body_problems(strip_fences(text), fields, optional, nested)
+
+
+def _body_problems(body: Column, fields: dict[str, str], optional: tuple[str, ...] = (),
+                   nested: Callable[[Column], Column] | None = None) -> Column:
+    """parse_problems of a reply whose fence is off."""
 
     def problems(value: Column) -> Column:
         shaped = object_problems(value, fields, optional)
@@ -80,7 +87,7 @@ def parse_problems(text: Column, fields: dict[str, str], optional: tuple[str, ..
             .otherwise(shaped)
         )
 
-    return once(F.try_parse_json(strip_fences(text)), problems)
+    return once(F.try_parse_json(body), problems)
 
 
 def _elements(value: Column, path: str, fields: dict[str, str], optional: tuple[str, ...] = ()) -> Column:
@@ -119,14 +126,55 @@ def report_reply_problems(text: Column) -> Column:
     return parse_problems(text, REPORT, ("findings", "checked_for"), _report_parts)
 
 
+def _listed(fields: dict[str, str]) -> str:
+    """Pattern of the kind of a list that is empty or holds objects with these fields only."""
+    each = ", ".join(f"{name}: " + ("ARRAY<(?:STRING|VOID)>" if kind == LIST else kind) for name, kind in sorted(fields.items()))
+    return f"ARRAY<(?:VOID|OBJECT<{each}>)>"
+
+
+_METADATA = "OBJECT<" + ", ".join(f"{name}: {kind}" for name, kind in sorted(SLICE_METADATA.items())) + ">"
+_PLAIN = f"^OBJECT<checked_for: {_listed(CHECK)}, findings: {_listed(FINDING)}, relevant: {FLAG}, slice_metadata: {_METADATA}>$"
+
+
+def _plain(body: Column, report: Column) -> Column:
+    """Whether a reply surely has no problem: one look at its kind and at the typed report.
+
+    Kinds of a list's elements come as one, which hides a field that some of them lack or hold as null; typed, that is a null. False and
+    null say nothing: such a reply goes through all rules.
+    """
+    lacking = lambda fields: lambda item: functools.reduce(lambda a, b: a | b, [item[name].isNull() for name in fields], item.isNull())
+    filled = report["relevant"].isNotNull() & ~F.exists(F.array(report["slice_metadata"]), lacking(SLICE_METADATA))
+    filled &= ~F.exists(report["findings"], lacking(FINDING)) & ~F.exists(report["checked_for"], lacking(CHECK))
+    known = F.forall(report["findings"], lambda f: f["confidence"].isin(*CONFIDENCES))
+    return _kind(F.try_parse_json(body)).rlike(_PLAIN) & filled & known
+
+
+def read_report(text: Column, report_ddl: str) -> Column:
+    """problems (as `report_reply_problems`; null without a reply) and report (as `parse_report`; null with problems) of a reply, whose
+    text is stripped once and goes through the single rules only where its kind is not that of a plain report."""
+
+    def read(body: Column) -> Column:
+        def held(report: Column) -> Column:
+            problems = F.when(_plain(body, report), F.array().cast("array<string>")).otherwise(_body_problems(body, REPORT, ("findings", "checked_for"), _report_parts))
+            return once(problems, lambda p: F.struct(p.alias("problems"), F.when(F.size(p) == 0, report).alias("report")))
+
+        return once(_typed(body, report_ddl), held)
+
+    return once(strip_fences(text), read)
+
+
 def parse_report(text: Column, report_ddl: str) -> Column:
     """Typed report, null where the reply has problems; absent lists become empty."""
+    return _typed(strip_fences(text), report_ddl)
+
+
+def _typed(body: Column, report_ddl: str) -> Column:
     whole = lambda parsed: F.when(
         parsed.isNotNull(),
         parsed.withField("findings", F.coalesce(parsed["findings"], F.from_json(F.lit("[]"), "array<" + _inner(report_ddl, "findings") + ">")))
         .withField("checked_for", F.coalesce(parsed["checked_for"], F.from_json(F.lit("[]"), "array<" + _inner(report_ddl, "checked_for") + ">"))),
     )
-    return once(F.from_json(strip_fences(text), report_ddl), whole)
+    return once(F.from_json(body, report_ddl), whole)
 
 
 def _inner(ddl: str, field: str) -> str:
