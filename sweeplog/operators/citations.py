@@ -14,12 +14,18 @@ def _given(prefix: str = "") -> dict:
     return {name: F.col(prefix + name) for name in ("slice_id", "file", "start_line", "end_line")}
 
 
-def with_problems(reports: DataFrame, slices: DataFrame, *rules) -> DataFrame:
-    """Add `problems`: every rule a report breaks against the slice it was made from. Extra rules are columns."""
+def with_problems(reports: DataFrame, slices: DataFrame | None, *rules) -> DataFrame:
+    """Add `problems`: every rule a report breaks against the slice it was made from. Extra rules are columns.
+
+    Without `slices` the reports hold the file, start_line and end_line of their slices themselves, and do not move.
+    """
+    checked = lambda given: P.with_rules(P.report_problems(F.col("report"), given), *rules)
+    if slices is None:
+        return reports.withColumn("problems", checked(_given()))
     known = slices.select("case_id", "slice_id", "file", "start_line", "end_line")
     shared = [c for c in ("file", "start_line", "end_line") if c in reports.columns]
     joined = reports.drop(*shared).join(known, ["case_id", "slice_id"])
-    return joined.withColumn("problems", P.with_rules(P.report_problems(F.col("report"), _given()), *rules))
+    return joined.withColumn("problems", checked(_given()))
 
 
 def cited_refs(reports: DataFrame) -> DataFrame:

@@ -130,3 +130,23 @@ def test_judging_reads_a_reply_once(spark):
     slices = spark.createDataFrame([("c", "s", "f", 1, 2)], "case_id string, slice_id string, file string, start_line bigint, end_line bigint")
     plan = SC.judge(answers, slices)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("from_json(") == 1 and plan.count("```") == 2  # typed once, and its fence is taken off once
+
+
+def test_answers_hold_their_place_and_are_judged_without_a_join(spark):
+    fields = "task_id string, case_id string, slice_id string, file string, start_line bigint, end_line bigint, refs array<string>, texts array<string>, feedback array<string>"
+    rows = [(f"c/sweep/{f}-0001", "c", f"{f}-0001", f, 4, 5, [f"{f}:L4", f"{f}:L5"], ["a", "b"], []) for f in ("good.log", "retry.log", "raise.log", "cut.log")]
+    answers = SC.score(spark.createDataFrame(rows, fields), reader)
+    alone = SC.judge(answers, None)
+    assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    slices = spark.createDataFrame([r[1:6] for r in rows], "case_id string, slice_id string, file string, start_line bigint, end_line bigint")
+    picked = lambda df: {(r.slice_id, r.file, r.start_line, r.end_line, r.report is None, tuple(r.problems)) for r in df.collect()}
+    assert picked(alone) == picked(SC.judge(answers, slices)) and len(picked(alone)) == 4
+    assert {(r.task_id, r.file, r.start_line, r.end_line) for r in answers.collect()} == {(r[0], r[3], 4, 5) for r in rows}
+
+
+def test_texts_without_the_end_of_a_name_hold_no_domain():
+    from sweeplog.binding import views as V
+    from sweeplog.functions import lines as L
+
+    ends = L.DOMAIN.rsplit("(?:", 1)[1].removesuffix(r")\b").split("|")
+    assert L.DOMAIN.endswith(r"\.)+(?:" + "|".join(ends) + r")\b") and V.DOMAIN_ENDS == tuple(f".{end}" for end in ends)
