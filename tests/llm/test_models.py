@@ -74,6 +74,90 @@ def test_kneser_ney_sums_to_one():
         assert abs(total - 1) < 1e-9
 
 
+def _kneser_ney(counts, context, shorter):
+    """Plain interpolated modified Kneser-Ney: P(gram) under counts of its last signs and a model of shorter n-grams. context: the part of
+    a counted n-gram that the rest follows; shorter(gram) has the whole n-gram, as it may ask for its classes."""
+    n = [sum(c == k for c in counts.values()) for k in range(5)]
+    cut = [0.0, 0.5, 1.0, 1.5]
+    if all(n[1:]):
+        y = n[1] / (n[1] + 2 * n[2])
+        found = [0.0] + [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+        cut = [f if f > 0 else c for f, c in zip(found, cut)]
+    total, left = Counter(), Counter()
+    for gram, c in counts.items():
+        total[gram[:-1]] += c
+        left[gram[:-1]] += cut[min(c, 3)]
+
+    def p(gram):
+        own = gram[len(gram) - context - 1 :]
+        c, of = counts.get(own, 0), total[own[:-1]]
+        return (c - cut[min(c, 3)] + left[own[:-1]] * shorter(gram)) / of if of else shorter(gram)
+
+    return p
+
+
+def _text_model(texts):
+    """P(third byte | first two) of a trigram of bytes, by the words of texts."""
+    as_class = [int(c) for c in quality_rules._CLASS]
+    grams = Counter(g for t in texts for g in _byte_trigrams(t))
+    classes = Counter()
+    for g, c in grams.items():
+        classes[tuple(as_class[b] for b in g)] += c
+    pairs = Counter(g[1:] for g in classes)
+    single = _kneser_ney(Counter(g[1:] for g in pairs), 0, lambda g: 1 / 96)
+    by_class = _kneser_ney(classes, 2, _kneser_ney(pairs, 1, single))
+    once = [1 + sum(c for g, c in grams.items() if g[2] == b) for b in range(256)]
+    share = [once[b] / sum(once[x] for x in range(256) if as_class[x] == as_class[b]) for b in range(256)]
+    pair = _kneser_ney(Counter(g[1:] for g in grams), 1, lambda g: by_class(tuple(as_class[b] for b in g)) * share[g[2]])
+    return _kneser_ney(grams, 2, pair)
+
+
+def _byte_trigrams(text):
+    data = b"  " + b" ".join(w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")) + b" "
+    return list(zip(data, data[1:], data[2:])) if len(data) > 3 else []
+
+
+def test_perplexity_equals_plain_model_of_whole_texts(spark, prose):
+    rng = random.Random(5)
+    rows = [(i, t + f" {rng.randint(0, 10**6)} " + "".join(rng.choices("äöß世ñ", k=4)), lang) for i, t, lang in prose[:30]] + [(900, "", "en"), (901, None, "de"), (902, "\n a  b\tc ", "de")]
+    docs = _frame(spark, rows).select("doc_id", "text", quality_rules.lang_key("lang").alias("lang_key"))
+    models = quality_rules.fit_language_models(docs.where("doc_id % 4 <> 1"))
+    got = {r.doc_id: r.log_perplexity for r in quality_rules.score(docs, models).collect()}
+    for lang in ("en", "de"):
+        plain = _text_model([t for i, t, x in rows if x == lang and i % 4 != 1])
+        for i, t, x in rows:
+            grams = _byte_trigrams(t) if x == lang else []
+            if grams:
+                assert got[i] == pytest.approx(-sum(math.log10(plain(g)) for g in grams) / len(grams), abs=1e-9)
+    assert got[900] is None and got[901] is None
+
+
+def test_text_model_sums_to_one(prose):
+    grams = Counter((a << 16) + (b << 8) + c for _, t, _ in prose[:20] for a, b, c in _byte_trigrams(t + " 17 über"))
+    model = quality_rules.text_model(np.array(sorted(grams)), np.array([grams[g] for g in sorted(grams)]))
+    for a, b in ((32, 32), (116, 104), (0xC3, 0xBC), (122, 122), (0, 255)):
+        assert abs((10 ** model.log_probabilities((a << 16) + (b << 8) + np.arange(256))).sum() - 1) < 1e-9
+
+
+def test_bytes_of_a_class_and_neighbours_of_words_tell_texts_apart(spark):
+    rng = random.Random(26)
+    alike = str.maketrans("абвгдежз01234", "ийклмноп56789")  # letters that differ in one bit of their second byte, and digits
+
+    def prose(letters):  # a word begins with the letter that ends the word before
+        out = [letters[0]]
+        for _ in range(rng.randint(60, 200)):
+            out.append(out[-1][-1] + "".join(rng.choices("01234", k=rng.randint(0, 2))) + "".join(rng.choices(letters, k=rng.randint(1, 5))))
+        return " ".join(out)
+
+    clean = [(i, prose("abcdefgh" if i % 2 else "абвгдежз"), "en" if i % 2 else "ru") for i in range(800)]
+    other = [(1000 + i, prose("абвгдежз").translate(alike), "ru") for i in range(20)]
+    shuffled = [(2000 + i, " ".join(rng.sample(t.split(), len(t.split()))), "en") for i, t, lang in clean[:40] if lang == "en"]
+    got = {r.doc_id: r for r in quality_rules.judge(_frame(spark, [*clean, *other, *shuffled])).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i, _, _ in clean) >= 0.99 * len(clean)
+    assert not any(got[i].kept for i, _, _ in [*other, *shuffled])
+
+
 def test_odd_perplexity_is_rejected_and_prose_kept(spark, prose):
     junk = (999, " ".join("qxzj%07d~^" % (k * 7919 % 9999) for k in range(60)), "en")
     docs = _frame(spark, [*prose, junk])
